@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from spindrift.llm.bpe import op3_bpe
 from spindrift.llm.line_dedup import op9_line_dedup
 from spindrift.llm.mixing import op10_mixing
 from spindrift.llm.sharding import op6_sharding
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op6_sharding": op6_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
