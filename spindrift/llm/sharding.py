@@ -53,11 +53,13 @@ _STARTS = """aggregate(atoms, named_struct('used', 0L, 'starts', array(atoms[0].
 def cuts(atoms: DataFrame, shards: int = SHARDS) -> DataFrame:
     """From (cell, bytes), one row: the smallest feasible capacity and each shard's first cell."""
     fits = _FITS.format(capacity="((s.low + s.high) div 2L)", shards=shards)
-    return (atoms.agg(F.array_sort(F.collect_list(F.struct("cell", "bytes"))).alias("atoms"),
+    capacity = _CAPACITY.format(fits=fits, shards=shards)
+    # what a lambda's variable holds is computed once, a column's expression may be moved into the loop
+    found = f"""transform(array(cells), atoms -> transform(array({capacity}),
+        capacity -> named_struct('capacity', capacity, 'starts', {_STARTS}))[0])[0]"""
+    return (atoms.agg(F.array_sort(F.collect_list(F.struct("cell", "bytes"))).alias("cells"),
                       F.sum("bytes").alias("total"), F.max("bytes").alias("largest"))
-            .filter("total is not null")
-            .withColumn("capacity", F.expr(_CAPACITY.format(fits=fits, shards=shards)))
-            .select("capacity", F.expr(_STARTS).alias("starts")))
+            .filter("total is not null").select(F.expr(found).alias("found")).select("found.*"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
