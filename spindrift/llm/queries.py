@@ -6,8 +6,10 @@ from spindrift.llm.bpe import op3_bpe
 from spindrift.llm.line_dedup import op9_line_dedup
 from spindrift.llm.mixing import op10_mixing
 from spindrift.llm.sharding import op6_sharding
+from spindrift.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op3_bpe": op3_bpe,
     "op6_sharding": op6_sharding,
     "op9_line_dedup": op9_line_dedup,
