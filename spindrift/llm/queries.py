@@ -5,11 +5,13 @@ from __future__ import annotations
 from spindrift.llm.bpe import op3_bpe
 from spindrift.llm.line_dedup import op9_line_dedup
 from spindrift.llm.mixing import op10_mixing
+from spindrift.llm.pii import op1_pii
 from spindrift.llm.sharding import op6_sharding
 from spindrift.llm.sketches import op2_fingerprints
 from spindrift.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_fingerprints": op2_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op3_bpe": op3_bpe,
