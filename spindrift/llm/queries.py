@@ -6,12 +6,14 @@ from spindrift.llm.bpe import op3_bpe
 from spindrift.llm.line_dedup import op9_line_dedup
 from spindrift.llm.mixing import op10_mixing
 from spindrift.llm.nearest import op7_nearest
+from spindrift.llm.ngram_join import op5_jaccard_join
 from spindrift.llm.pii import op1_pii
 from spindrift.llm.sharding import op6_sharding
 from spindrift.llm.sketches import op2_fingerprints
 from spindrift.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_nearest": op7_nearest,
     "op1_pii": op1_pii,
     "op2_fingerprints": op2_fingerprints,
