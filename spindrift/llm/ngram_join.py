@@ -14,10 +14,12 @@ n - ceil(t n) + 1 of each; candidates must do so under three orders:
 
 Within the group of a token the class with the least place, which has the
 fewest tokens of its own, meets all others; pairs that pass the filters are
-verified, and verified links are merged into components. Only classes of one
-group that are still in different components meet one another after that, so
-a group of thousands of near copies costs links in proportion to its size and
-no true link between components is lost.
+verified, and verified links are merged into components. Groups that are then
+still in several components are done again under a first order that ranks all
+their tokens, not only a part of the hash space, by frequency. There the
+places are as good as exact, and only the pairs in different components that
+pass by them meet. So a group of thousands of near copies costs links in
+proportion to its size, and no link between components is lost.
 
 Defined results: null and empty texts, and texts of white space, have the
 empty set and are linked with nothing; fewer words than a shingle make one
@@ -94,28 +96,59 @@ def representatives(rows: DataFrame) -> DataFrame:
     return (rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
 
 
-def postings(rows: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
-    """token, rep, n and place of the prefix tokens, in the first order, that several classes have."""
-    low = F.lit(join.low)
-    # a set is worth comparing if one token more or less still leaves it linked
-    able = reps.filter(((F.col("n") + 1) * join.num <= F.col("n") * join.den) | (F.col("n") * join.num <= (F.col("n") - 1) * join.den))
-    own = rows.join(able.select("h1", "h2", "n", F.col("rep").alias("doc_id")), ["h1", "h2", "n", "doc_id"]).dropDuplicates(["doc_id", "h1", "h2"])
-    own = materialize(own.select(F.col("doc_id").alias("rep"), "n", "h1", "first"), "join-classes")
+def able(reps: DataFrame, join: Join) -> DataFrame:
+    """Classes that one token more or one less leaves linked; smaller sets are linked with equal ones only."""
+    n = F.col("n")
+    return reps.filter(((n + 1) * join.num <= n * join.den) | (n * join.num <= (n - 1) * join.den))
+
+
+def postings(own: DataFrame, join: Join, low: int) -> DataFrame:
+    """token, rep, n and place of the prefix tokens, in the first order, that several classes have.
+
+    own has rep, h1 (to tell sets of one rep apart), n and first. Tokens below low are ranked by
+    how many classes have them, those above, which come after them, by hash.
+    """
+    is_low = lambda t: t <= F.lit(low)
+    last = F.lit(2**62)
     flat = own.select("rep", "h1", F.explode("first").alias("token"))
     common = flat.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1")
-    shared = (flat.join(common, "token").groupBy("rep", "h1")
-              .agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("token") < low, F.col("classes")).otherwise(F.lit(2**62)).alias("rank"),
-                                                        "token"))).alias("shared")))
-    lows = F.size(F.filter("first", lambda t: t < low))
-    shared_lows = F.size(F.filter("shared", lambda s: s["rank"] < F.lit(2**62)))
-    placed = own.join(shared, ["rep", "h1"]).select("rep", "n", "h1", "first", "shared", lows.alias("lows"), shared_lows.alias("shared_lows"))
-    rows = placed.select("rep", "n", "first", "lows", "shared_lows", F.posexplode("shared").alias("k", "s"))
-    place = F.when(F.col("s.rank") < F.lit(2**62), F.col("lows") - F.col("shared_lows") + F.col("k")).otherwise(
+    ranked = F.struct(F.when(is_low(F.col("token")), F.col("classes")).otherwise(last).alias("rank"), "token")
+    shared = flat.join(common, "token").groupBy("rep", "h1").agg(F.array_sort(F.collect_list(ranked)).alias("shared"))
+    # a class's tokens that no other has come before its shared ones
+    alone = F.size(F.filter("first", is_low)) - F.size(F.filter("shared", lambda s: s["rank"] < last))
+    rows = (own.join(shared, ["rep", "h1"]).select("rep", "n", "first", alone.alias("alone"), "shared")
+            .select("rep", "n", "first", "alone", F.posexplode("shared").alias("k", "s")))
+    place = F.when(F.col("s.rank") < last, F.col("alone") + F.col("k")).otherwise(
         F.array_position("first", F.col("s.token")).cast("int") - 1)
     return (rows.select(F.col("s.token").alias("token"), "rep", "n", place.cast("long").alias("place"))
             .filter(F.col("place") < join.prefix(F.col("n"))))
 
 
+def near_rows(found: DataFrame, join: Join) -> DataFrame:
+    """The postings that can be half of a linked pair, with hub, the row with the least place of their token."""
+    best = (found.groupBy("token").agg(F.min(F.struct("place", "n", "rep")).alias("hub"), F.count("*").alias("rows"))
+            .filter("rows > 1"))
+    fits = join.places_fit(F.col("n"), F.col("place"), F.col("n") * 2, F.col("hub.place"))
+    return found.join(best, "token").filter((F.col("rep") == F.col("hub.rep")) | fits).select("token", "rep", "n", "place", "hub")
+
+
+def with_hub(near: DataFrame, join: Join) -> DataFrame:
+    """Candidates (u, v) of each token's hub with all others."""
+    fits = (join.sizes_fit(F.col("n"), F.col("hub.n"))
+            & join.places_fit(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
+    return (near.filter((F.col("rep") != F.col("hub.rep")) & fits)
+            .select(F.least("rep", "hub.rep").alias("u"), F.greatest("rep", "hub.rep").alias("v")).distinct())
+
+
+def unsettled(near: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """near with part, the component by the links so far, for tokens whose rows are in several parts."""
+    parts = components(links).withColumnRenamed("id", "rep")
+    marked = near.join(parts, "rep", "left").select("token", "rep", "n", "place", F.coalesce("component", "rep").alias("part"))
+    marked = materialize(marked, name)
+    mixed = marked.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
+    return marked.join(mixed, "token", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """The pairs (u, v) of representatives that share prefix tokens in the other orders and are linked."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
@@ -138,32 +171,28 @@ def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = classes(docs, join)
     reps = materialize(representatives(rows), "join-reps")
-    found = materialize(postings(rows, reps, join), "join-postings")
-    # the least place in each token's group; rows that fit with no place go at once
-    best = found.groupBy("token").agg(F.min(F.struct("place", "n", "rep")).alias("hub"), F.count("*").alias("rows")).filter("rows > 1")
-    near = (found.join(best, "token").filter((F.col("rep") == F.col("hub.rep")) | join.places_fit(
-        F.col("n"), F.col("place"), F.col("n") * 2, F.col("hub.place"))))
-    near = materialize(near.select("token", "rep", "n", "place", "hub"), "join-near")
-    met = (near.filter((F.col("rep") != F.col("hub.rep")) & join.sizes_fit(F.col("n"), F.col("hub.n"))
-                       & join.places_fit(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
-           .select(F.least("rep", "hub.rep").alias("u"), F.greatest("rep", "hub.rep").alias("v")).distinct())
-    links = materialize(verified(materialize(met, "join-met"), docs, join), "join-links")
-    parts = materialize(components(links), "join-parts")
-    marked = (near.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-              .select("token", "rep", "n", "place", F.coalesce("component", "rep").alias("part")))
-    marked = materialize(marked, "join-marked")
-    mixed = marked.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
-    rest = marked.join(mixed, "token", "left_semi")
+    own = (rows.join(able(reps, join).withColumn("doc_id", F.col("rep")), ["h1", "h2", "n", "doc_id"])
+           .dropDuplicates(["doc_id", "h1", "h2"]).select("rep", "h1", "n", "first"))
+    near = materialize(near_rows(postings(materialize(own, "join-classes"), join, join.low), join), "join-near")
+    met = materialize(with_hub(near, join), "join-met")
+    links = materialize(verified(met, docs, join), "join-links")
+    # what is left open is ranked anew, with all its tokens counted among what is left open
+    open_ids = unsettled(near, links, "join-open").select(F.col("rep").alias("doc_id")).distinct()
+    own = (docs.join(open_ids, "doc_id").select(F.col("doc_id").alias("rep"), token_set(text_of(), join.width).alias("first"))
+           .select("rep", F.xxhash64("first").alias("h1"), F.size("first").alias("n"), "first").dropDuplicates(["rep", "h1"]))
+    near = materialize(near_rows(postings(materialize(own, "join-classes"), join, 2**63 - 1), join), "join-near")
+    again = materialize(with_hub(near, join).join(met, ["u", "v"], "left_anti"), "join-met")
+    links = links.union(materialize(verified(again, docs, join), "join-links"))
+    rest = materialize(unsettled(near, links, "join-open"), "join-rest")
     x, y = rest.alias("x"), rest.alias("y")
-    left = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part"))
+    last = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part"))
                    & join.sizes_fit(F.col("x.n"), F.col("y.n"))
                    & join.places_fit(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
             .select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).distinct())
-    left = materialize(left.join(met, ["u", "v"], "left_anti"), "join-left")
-    more = verified(left, docs, join)
-    # rows that share a doc_id stand for one document
+    last = materialize(last.join(met.union(again), ["u", "v"], "left_anti"), "join-left")
+    links = links.union(verified(last, docs, join))
     same = rows.join(reps, ["h1", "h2", "n"]).filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    parts = components(links.union(more).union(same))
+    parts = components(links.union(same))
     return (rows.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
