@@ -17,9 +17,9 @@ fewest tokens of its own, meets all others; pairs that pass the filters are
 verified, and verified links are merged into components. Groups that are then
 still in several components are done again under a first order that ranks all
 their tokens, not only a part of the hash space, by frequency. There the
-places are as good as exact, and only the pairs in different components that
-pass by them meet. So a group of thousands of near copies costs links in
-proportion to its size, and no link between components is lost.
+places are as good as exact. What is still open then, near copies just below
+the threshold, is compared block by block inside tasks that return links
+only. No pairs of a group are written, and no link between components is lost.
 
 Defined results: null and empty texts, and texts of white space, have the
 empty set and are linked with nothing; fewer words than a shingle make one
@@ -33,6 +33,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ from spindrift.llm.common import documents, let, materialize, text_of, words_of
 from spindrift.llm.components import components
 from spindrift.llm.sketches import shingle_hashes
 
+#: Classes of a cluster that one block holds.
+BLOCK = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -166,6 +170,73 @@ def verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
             .filter(join.linked(shared, F.size("a.tokens"), F.size("b.tokens"))).select("u", "v").distinct())
 
 
+def _first_by(tokens: np.ndarray, mix: int, length: int) -> np.ndarray:
+    """Those of the tokens that another order ranks first."""
+    mixed = (tokens.astype(np.uint64) ^ np.uint64(mix)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    return tokens[np.argsort(mixed * np.uint64(0xBF58476D1CE4E5B9), kind="stable")[:length]]
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the sets share."""
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared, step = np.zeros((len(sets), len(sets)), np.float32), 4096
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows[order]
+    for low in range(0, int(ids[-1]) + 1, step):
+        a, b = np.searchsorted(ids, [low, low + step])
+        part = np.zeros((len(sets), step), np.float32)
+        part[rows[a:b], ids[a:b] - low] = 1
+        shared += part @ part.T
+    return shared.astype(np.int64)
+
+
+def _links_in_block(join: Join):
+    def found(table: pa.Table) -> pa.Table:
+        reps, parts, blocks = (table[c].to_numpy() for c in ("rep", "part", "block"))
+        sets = [np.array(x, np.int64) for x in table["tokens"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        one_block = table["i"][0].as_py() == table["j"][0].as_py()
+        ok = (reps[:, None] < reps[None]) & (parts[:, None] != parts[None])
+        ok &= np.minimum(n[:, None], n[None]) * join.den >= np.maximum(n[:, None], n[None]) * join.num
+        if not one_block:
+            ok &= blocks[:, None] != blocks[None]
+        first = [int(k - -(-k * join.num // join.den) + 1) for k in n]
+        for mix in (2, 3):
+            if ok.any():
+                ok &= _common([_first_by(x, mix, k) for x, k in zip(sets, first)]) > 0
+        u, v = np.nonzero(ok)
+        if len(u):
+            shared = _common(sets)[u, v]
+            linked = shared * join.den >= (n[u] + n[v] - shared) * join.num
+            u, v = u[linked], v[linked]
+        return pa.table({"u": pa.array(reps[u], pa.int64()), "v": pa.array(reps[v], pa.int64())})
+    return found
+
+
+def block_links(rest: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
+    """All links between the parts of rest (token, rep, part).
+
+    Classes that share tokens make a cluster; a cluster is dealt into blocks
+    of about BLOCK classes, and every two blocks meet in one task, which
+    filters by the other orders, verifies, and returns links only.
+    """
+    least = rest.groupBy("token").agg(F.min("rep").alias("least"))
+    near = rest.join(least, "token").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
+    clusters = components(near).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    clusters = materialize(clusters, "join-clusters")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    members = (rest.select("rep", "part").distinct().join(clusters, "rep").join(sizes, "cluster")
+               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    sets = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep").select(
+        "rep", "part", "cluster", "block", "blocks", token_set(text_of(), join.width).alias("tokens"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    pairs = sets.select("rep", "part", "cluster", "block", "tokens", other).select(
+        "rep", "part", "cluster", "block", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return (pairs.groupBy("cluster", "i", "j").applyInArrow(_links_in_block(join), "u long, v long").distinct())
+
+
 def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -184,13 +255,7 @@ def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     again = materialize(with_hub(near, join).join(met, ["u", "v"], "left_anti"), "join-met")
     links = links.union(materialize(verified(again, docs, join), "join-links"))
     rest = materialize(unsettled(near, links, "join-open"), "join-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    last = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part"))
-                   & join.sizes_fit(F.col("x.n"), F.col("y.n"))
-                   & join.places_fit(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
-            .select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).distinct())
-    last = materialize(last.join(met.union(again), ["u", "v"], "left_anti"), "join-left")
-    links = links.union(verified(last, docs, join))
+    links = links.union(block_links(rest, docs, join))
     same = rows.join(reps, ["h1", "h2", "n"]).filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     parts = components(links.union(same))
     return (rows.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
