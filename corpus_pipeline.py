@@ -1,26 +1,65 @@
-"""A pipeline from raw documents to token ids, in stages over the whole corpus."""
+"""A pipeline from raw documents to token ids, in stages over the whole corpus.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is
+written as Parquet and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spindrift.llm import bpe, line_dedup, mixing, ngram_join, toxicity
 from spindrift.llm.common import documents, materialize
-from spindrift.llm.mixing import mix
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it learns from the labelled ones."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, keep_text=True)
+    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stay in a later one; n_chars follows the text."""
+    kept = line_dedup.drop_lines(docs)
+    text = F.when(~F.col("_null"), F.col("_kept"))
+    return kept.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group linked by five-word shingles at 0.8."""
+    found = ngram_join.jaccard_components(docs, ngram_join.Join(5, 80, 100))
+    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.select(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return kept if ids[0] == ids[1] else kept.dropDuplicates(["doc_id", "text"])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mix(docs)
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts."""
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), decode=True))
 
 
-STAGES = [("mixing", mixing)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_copies),
+    ("mixing sources", mixed),
+    ("byte-pair encoding", encoded),
+]
 
-#: Trained classifiers and byte-pair merges are beyond SQL.
+#: Trained classifiers and byte-pair merges are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spindrift.llm.bpe import op3_bpe
 from spindrift.llm.line_dedup import op9_line_dedup
+from spindrift.llm.lm_scoring import op4_lm_scoring
 from spindrift.llm.mixing import op10_mixing
 from spindrift.llm.nearest import op7_nearest
 from spindrift.llm.ngram_join import op5_jaccard_join
@@ -13,13 +14,14 @@ from spindrift.llm.sketches import op2_fingerprints
 from spindrift.llm.toxicity import op8_toxicity
 
 QUERIES = {
-    "op5_jaccard_join": op5_jaccard_join,
-    "op7_nearest": op7_nearest,
     "op1_pii": op1_pii,
     "op2_fingerprints": op2_fingerprints,
-    "op8_toxicity": op8_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_sharding": op6_sharding,
+    "op7_nearest": op7_nearest,
+    "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
