@@ -2,10 +2,394 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spindrift.functions import rendering, text
+from spindrift.operators import estimate, graph, lookup, search, stats, store, vectors
+from spindrift.plans.domain import table, with_views
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+class Tables:
+    """Project tables, and the test tables as they are, of one folder."""
+
+    def __init__(self, spark, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    def raw(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = with_views(sql)
+        return f
+    return add
+
+
+@query("""WITH c AS (
+    SELECT 'total' AS facet, NULL AS value, count(*) AS n FROM issues
+    UNION ALL SELECT 'status', status, count(*) FROM issues GROUP BY 2 UNION ALL SELECT 'issue_type', issue_type, count(*) FROM issues GROUP BY 2
+    UNION ALL SELECT 'project_key', project_key, count(*) FROM issues GROUP BY 2
+    UNION ALL (SELECT 'assignee', assignee, count(*) AS n FROM issues GROUP BY 2 ORDER BY n DESC, assignee NULLS LAST LIMIT 15)) SELECT * FROM c""")
+def multi_group_stats(t):
+    return stats.issue_stats(t.issues)
+
+
+ISSUE_COLUMNS = "issue_key, project_key, summary, issue_type, status, assignee, updated"
+
+
+@query(f"""SELECT {ISSUE_COLUMNS} FROM issues WHERE project_key = 'PRJ3' AND status ILIKE 'f' AND assignee ILIKE '%dev1%'
+    ORDER BY updated DESC NULLS LAST, issue_key LIMIT 50""")
+def filter_search_topk(t):
+    return search.query_issues(t.issues, project="prj3", status="f", assignee="DEV1")
+
+
+@query(f"""SELECT {ISSUE_COLUMNS} FROM issues WHERE summary ILIKE '%ustomer 12%' OR description ILIKE '%ustomer 12%'
+    ORDER BY updated DESC NULLS LAST, issue_key LIMIT 50""")
+def search_fallback_ilike(t):
+    return search.query_issues(t.issues, search="ustomer 12")
+
+
+@query(f"""SELECT {ISSUE_COLUMNS} FROM issues WHERE list_has_all(string_split_regex(lower(summary || ' ' || description), '[^a-z0-9]+'), ['urgent', 'customer'])
+    ORDER BY updated DESC NULLS LAST, issue_key LIMIT 50""")
+def issue_text_search(t):
+    return search.query_issues(t.issues, search="the URGENT customer")
+
+
+@query("""SELECT doc_id FROM documents WHERE list_has_all(string_split_regex(lower(text), '[^a-z0-9]+'), ['thing', 'tion'])""")
+def fts_and_match(t):
+    return t.raw("documents").filter(text.matches(F.col("text"), "thing tion")).select("doc_id")
+
+
+@query("""SELECT hash, message, author, committed_at, repo_path FROM commits WHERE author ILIKE '%dev1%' AND committed_at >= TIMESTAMP '1995-01-01'
+    AND committed_at <= TIMESTAMP '2030-01-01' AND hash IN (SELECT commit_hash FROM commit_files WHERE file_path ILIKE '%m7/%')
+    ORDER BY committed_at DESC NULLS LAST, hash LIMIT 50""")
+def semi_join_file_filter(t):
+    return search.query_commits(t.commits, t.commit_files, author="dev1", since="1995-01-01", until="2030-01-01", file_path="m7/")
+
+
+@query("""SELECT * FROM pull_requests WHERE state = 'merged' AND author ILIKE '%dev2%' AND base_ref = 'main' AND updated_at >= TIMESTAMP '2024-01-10'
+    ORDER BY updated_at DESC NULLS LAST, repo_full_name, number LIMIT 50""")
+def pr_filter_topk(t):
+    return search.query_prs(t.pull_requests, state="Merged", author="dev2", base_ref="main", since="2024-01-10")
+
+
+@query("""SELECT * FROM issue_changelogs WHERE issue_key = 'PRJ3-10' ORDER BY changed_at DESC NULLS LAST, field, to_value LIMIT 20""")
+def entity_detail_recent(t):
+    return lookup.latest(t.issue_changelogs, "issue_key", "PRJ3-10", "changed_at", 20, "field", "to_value")
+
+
+@query("""SELECT hash, author, committed_at, count(file_path) AS files, CAST(sum(additions) AS BIGINT) AS additions
+    FROM commits LEFT JOIN commit_files ON hash = commit_hash WHERE hash IN (SELECT commit_hash FROM commit_issue_refs WHERE issue_key = 'PRJ1-7') GROUP BY ALL""")
+def cross_ref_join_rollup(t):
+    rows = lookup.issue_commits(t.commits, t.commit_issue_refs, t.commit_files, "prj1-7")
+    return rows.select("hash", "author", "committed_at", F.coalesce(F.size("files"), F.lit(0)).cast("long").alias("files"),
+                       F.aggregate("files", F.lit(0).cast("long"), lambda s, f: s + f["additions"]).alias("additions"))
+
+
+@query("""SELECT repo_full_name, pr_number, author, string_agg(reviewer || ' ' || r.state, ', ' ORDER BY submitted_at, reviewer, r.state) AS reviews
+    FROM pull_requests p JOIN pr_issue_refs i USING (repo_full_name) LEFT JOIN pr_reviews r USING (repo_full_name, pr_number)
+    WHERE p.number = i.pr_number AND issue_key = 'PRJ5-12' GROUP BY ALL""")
+def pr_reviews_of_issue(t):
+    rows = lookup.issue_prs(t.pull_requests, t.pr_issue_refs, t.pr_reviews, "PRJ5-12")
+    said = F.transform("reviews", lambda r: F.concat_ws(" ", r["reviewer"], r["state"]))
+    return rows.select("repo_full_name", "pr_number", "author", F.array_join(said, ", ").alias("reviews"))
+
+
+@query("""SELECT issue_key, created AS at, 'created' AS kind, 0 AS kind_order, summary AS detail FROM issues WHERE created IS NOT NULL
+    UNION ALL SELECT issue_key, changed_at, 'changed', 1, to_value FROM issue_changelogs WHERE changed_at IS NOT NULL
+    UNION ALL SELECT issue_key, committed_at, 'commit', 2, message FROM commit_issue_refs JOIN commits ON hash = commit_hash
+    UNION ALL SELECT issue_key, created_at, 'pr_opened', 3, title FROM pr_issue_refs i JOIN pull_requests p ON number = pr_number AND i.repo_full_name = p.repo_full_name
+    UNION ALL SELECT issue_key, submitted_at, 'pr_reviewed', 4, reviewer FROM pr_issue_refs JOIN pr_reviews USING (repo_full_name, pr_number)
+    UNION ALL SELECT issue_key, merged_at, 'pr_merged', 5, title FROM pr_issue_refs i JOIN pull_requests p ON number = pr_number AND i.repo_full_name = p.repo_full_name
+        WHERE merged_at IS NOT NULL""")
+def timeline_union(t):
+    prs = t.pr_issue_refs.join(t.pull_requests.withColumnRenamed("number", "pr_number"), ["repo_full_name", "pr_number"])
+    part = lambda df, at, detail: df.select("issue_key", F.col(at).alias("at"), F.col(detail).alias("detail"))
+    commits = t.commits
+    refs = t.commit_issue_refs
+    return lookup.timeline({
+        "created": part(t.issues, "created", "summary"), "changed": part(t.issue_changelogs, "changed_at", "to_value"),
+        "commit": part(refs.join(commits, refs["commit_hash"] == commits["hash"]), "committed_at", "message"),
+        "pr_opened": part(prs, "created_at", "title"), "pr_merged": part(prs, "merged_at", "title"),
+        "pr_reviewed": part(t.pr_issue_refs.join(t.pr_reviews, ["repo_full_name", "pr_number"]), "submitted_at", "reviewer")})
+
+
+@query("""SELECT 'total' AS facet, NULL AS value, count(*) AS n FROM commits
+    UNION ALL (SELECT 'author', author, count(*) AS n FROM commits GROUP BY author ORDER BY n DESC, author LIMIT 15)
+    UNION ALL (SELECT 'file_path', file_path, count(*) AS n FROM commit_files GROUP BY file_path ORDER BY n DESC, file_path LIMIT 15)
+    UNION ALL SELECT 'linked_issues', NULL, count(DISTINCT issue_key) FROM commit_issue_refs""")
+def commit_stats_topn(t):
+    return stats.commit_stats(t.commits, t.commit_files, t.commit_issue_refs)
+
+
+@query("""SELECT 'tables' AS facet, NULL AS value, count(*) AS n, CAST(NULL AS BIGINT) AS row_count FROM db_tables
+    UNION ALL SELECT 'columns', NULL, count(*), NULL FROM db_columns UNION ALL SELECT 'foreign_keys', NULL, count(*), NULL FROM db_columns
+    UNION ALL SELECT 'indexes', NULL, count(*), NULL FROM db_columns
+    UNION ALL SELECT 'schema', schema_name, count(*), CAST(coalesce(sum(row_count), 0) AS BIGINT) FROM db_tables GROUP BY schema_name
+    UNION ALL (SELECT 'largest', table_name, 1, coalesce(row_count, 0) AS r FROM db_tables ORDER BY r DESC, schema_name, table_name LIMIT 10)""")
+def catalog_stats(t):
+    return stats.db_stats(t.db_tables, t.db_columns, t.db_columns, t.db_columns, "main")
+
+
+def _query_vector(t) -> list[float]:
+    return [float(x) for x in t.raw("embeddings").filter("vec_id = 7").first()["embedding"]]
+
+
+COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7))"
+
+
+@query(f"SELECT vec_id, round({COSINE}, 5) AS similarity FROM embeddings ORDER BY {COSINE} DESC, vec_id LIMIT 20")
+def cosine_topk(t):
+    return vectors.semantic_search(t.raw("embeddings"), "vec_id", "embedding", _query_vector(t), 20).withColumn("similarity", F.round("similarity", 5))
+
+
+@query(f"SELECT vec_id, round({COSINE}, 5) AS similarity FROM embeddings WHERE {COSINE} >= 0.2 ORDER BY {COSINE} DESC, vec_id LIMIT 1000")
+def cosine_threshold(t):
+    found = vectors.semantic_search(t.raw("embeddings"), "vec_id", "embedding", _query_vector(t), 1000, 0.2)
+    return found.withColumn("similarity", F.round("similarity", 5))
+
+
+@query(f"""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY s DESC, doc_id) AS t FROM (SELECT doc_id, n_chars AS s FROM documents ORDER BY s DESC, doc_id LIMIT 20)),
+    b AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS v FROM (SELECT vec_id AS id, {COSINE} AS s FROM embeddings WHERE {COSINE} >= 0.1 ORDER BY s DESC, id LIMIT 20))
+    SELECT id, round(1.0::DOUBLE / (60 + coalesce(t, 1000)) + 1.0::DOUBLE / (60 + coalesce(v, 1000)), 9) AS score,
+        CASE WHEN t IS NOT NULL AND v IS NOT NULL THEN 'both' WHEN t IS NOT NULL THEN 'text' ELSE 'semantic' END AS source
+    FROM a FULL JOIN b USING (id) ORDER BY 1.0::DOUBLE / (60 + coalesce(t, 1000)) + 1.0::DOUBLE / (60 + coalesce(v, 1000)) DESC, id LIMIT 10""")
+def rrf_hybrid(t):
+    near = vectors.semantic_search(t.raw("embeddings").withColumnRenamed("vec_id", "id"), "id", "embedding", _query_vector(t), 20, 0.1)
+    words = t.raw("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    return vectors.hybrid_search(words, near.withColumnRenamed("similarity", "score"), "id").withColumn("score", F.round("score", 9))
+
+
+@query("""SELECT issue_key, to_value FROM issue_changelogs WHERE field = 'assignee' AND to_value <> ''
+    QUALIFY row_number() OVER (PARTITION BY issue_key ORDER BY changed_at NULLS LAST, to_value) = 1""")
+def distinct_on_first(t):
+    return estimate.real_developers(t.issue_changelogs)
+
+
+@query("SELECT issue_key, author, CAST(sum(time_spent_seconds) AS BIGINT) AS seconds FROM issue_worklogs GROUP BY ALL")
+def worklog_sum(t):
+    return estimate.worklog_sums(t.issue_worklogs)
+
+
+@query("""WITH f AS (SELECT commit_hash, sum(additions) AS a, sum(deletions) AS d FROM commit_files GROUP BY 1)
+    SELECT issue_key, count(*) AS commits, string_agg(DISTINCT author, ', ' ORDER BY author) AS authors, CAST(coalesce(sum(a), 0) AS BIGINT) AS additions,
+        CAST(coalesce(sum(d), 0) AS BIGINT) AS deletions, min(committed_at) AS first_commit, max(committed_at) AS last_commit
+    FROM commit_issue_refs r JOIN commits c ON c.hash = r.commit_hash LEFT JOIN f ON f.commit_hash = c.hash GROUP BY 1""")
+def distinct_listagg(t):
+    return estimate.commit_rollup(t.commit_issue_refs, t.commits, t.commit_files)
+
+
+@query("""WITH k AS (SELECT issue_key FROM issues WHERE project_key = 'PRJ2')
+    SELECT parent_key AS parent, issue_key FROM issues WHERE parent_key IN (SELECT * FROM k) AND issue_key NOT IN (SELECT * FROM k)
+    UNION ALL SELECT source_key, target_key FROM issue_links WHERE source_key IN (SELECT * FROM k) AND target_key IN (SELECT issue_key FROM issues)
+        AND target_key NOT IN (SELECT * FROM k)""")
+def related_bug_rows(t):
+    return estimate.related_bugs(t.issues, t.issue_links, t.issues.filter("project_key = 'PRJ2'").select("issue_key"))
+
+
+COEFFICIENTS = """b AS (SELECT * FROM issues WHERE status_category = 'Done' AND original_estimate > 0 AND time_spent > 0
+        AND issue_type NOT IN ('Bug', 'Sub-bug') AND time_spent / original_estimate < 5),
+    g AS (SELECT * FROM issues WHERE issue_type IN ('Bug', 'Sub-bug') AND time_spent > 0),
+    s AS (SELECT owner, sum(time_spent) AS bug_time FROM (SELECT parent_key AS owner, time_spent FROM g WHERE parent_key IS NOT NULL
+        UNION ALL SELECT source_key, time_spent FROM (SELECT DISTINCT source_key, target_key, link_type FROM issue_links) JOIN g ON target_key = issue_key) GROUP BY 1),
+    r AS (SELECT b.*, coalesce(bug_time, 0) AS bug_time FROM b LEFT JOIN s ON issue_key = owner)"""
+COEFFICIENT_COLUMNS = """assignee, count(DISTINCT issue_key) AS tasks, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY time_spent / original_estimate), 6) AS coefficient,
+    round(percentile_cont(0.5) WITHIN GROUP (ORDER BY (time_spent + bug_time) / original_estimate), 6) AS coefficient_with_bugs,
+    round(avg(bug_time / time_spent), 6) AS bug_ratio"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("coefficient", "coefficient_with_bugs", "bug_ratio")})
+
+
+@query(f"WITH {COEFFICIENTS} SELECT {COEFFICIENT_COLUMNS} FROM r GROUP BY assignee HAVING count(DISTINCT issue_key) >= 3")
+def dev_coefficients(t):
+    return _rounded(estimate.coefficients(t.issues, t.issue_links))
+
+
+@query(f"""WITH {COEFFICIENTS}, c AS (SELECT {COEFFICIENT_COLUMNS} FROM r WHERE issue_type = 'Epic' AND assignee IS NOT NULL GROUP BY assignee HAVING count(DISTINCT issue_key) >= 5),
+    a AS (SELECT {COEFFICIENT_COLUMNS} FROM r GROUP BY assignee HAVING count(DISTINCT issue_key) >= 3)
+    SELECT *, 'context' AS source FROM c UNION ALL SELECT *, 'general' FROM a WHERE assignee NOT IN (SELECT assignee FROM c)""")
+def coefficients_with_fallback(t):
+    context = estimate.coefficients(t.issues.filter("assignee is not null or issue_type in ('Bug', 'Sub-bug')"), t.issue_links, ["Epic"], 5)
+    return _rounded(estimate.with_fallback(context, estimate.coefficients(t.issues, t.issue_links)))
+
+
+@query("""WITH h AS (SELECT project_key, time_spent / 3600.0::DOUBLE AS hours, CAST(1 + length(assignee) AS DOUBLE) / 10 AS weight FROM issues WHERE assignee IS NOT NULL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY hours, weight) AS place, count(*) OVER (PARTITION BY project_key) AS n FROM h)
+    SELECT project_key, max(n) AS tasks, round(sum(hours * weight) / sum(weight), 6) AS base_hours FROM p
+    WHERE place > greatest(1, floor(n * 0.1)) AND place <= n - greatest(1, floor(n * 0.1)) GROUP BY 1""")
+def trimmed_weighted_mean(t):
+    tasks = t.issues.filter("assignee is not null").select("project_key", (F.col("time_spent") / 3600.0).alias("hours"),
+                                                            ((1 + F.length("assignee")).cast("double") / 10).alias("weight"))
+    return estimate.base_hours(tasks, ["project_key"]).withColumn("base_hours", F.round("base_hours", 6))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) THEN 0 ELSE 8 * len(list_filter(
+        generate_series(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE), INTERVAL 1 DAY), lambda d: isodow(d) < 6)) END AS BIGINT) AS hours
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def business_hours(t):
+    rows = t.raw("lineitem").join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select("l_orderkey", "l_linenumber", rendering.business_hours(F.col("o_orderdate"), F.col("l_shipdate")).alias("hours"))
+
+
+@query("""SELECT component, count(DISTINCT issue_key) AS resolved_count, round(avg(time_spent) / 3600, 6) AS avg_time_hours, max(resolved) AS last_resolved
+    FROM (SELECT issue_key, time_spent, resolved, unnest(string_split(component_list, ',')) AS component FROM issues
+        WHERE assignee ILIKE '%dev1%' AND status_category = 'Done' AND time_spent > 0) GROUP BY 1""")
+def component_familiarity(t):
+    return estimate.familiarity(t.issues, "dev1").withColumn("avg_time_hours", F.round("avg_time_hours", 6))
+
+
+@query("""WITH s AS (SELECT issue_key, CASE WHEN issue_type = 'Story' THEN 1.0::DOUBLE ELSE 0.0 END AS type_match,
+        (CAST(list_contains(string_split(component_list, ','), 'c1') AS INT) + CAST(list_contains(string_split(component_list, ','), 'c2') AS INT)) / 2 AS component_overlap,
+        1 / (1 + epoch(TIMESTAMP '2025-01-01' - coalesce(resolved, updated)) / (86400.0::DOUBLE * 365)) AS temporal_weight FROM issues WHERE status_category = 'Done')
+    SELECT issue_key, round(0.25 * type_match + 0.35 * component_overlap + 0.1 * temporal_weight, 6) AS composite_score FROM s""")
+def composite_score(t):
+    rows = estimate.scored(t.issues.filter("status_category = 'Done'"), F.lit(0.0), "2025-01-01", "Story", ["c1", "c2"])
+    return rows.select("issue_key", F.round("composite_score", 6).alias("composite_score"))
+
+
+@query("""SELECT a.file_path AS first, b.file_path AS second, count(*) AS n FROM commit_files a JOIN commit_files b
+    ON a.commit_hash = b.commit_hash AND a.file_path < b.file_path GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, 1, 2 LIMIT 500""")
+def co_change_pairs(t):
+    return graph.co_changes(t.commit_files)
+
+
+@query("""SELECT u.event_id AS probe, p.event_id AS event_id, row_number() OVER (PARTITION BY u.event_id ORDER BY p.ts DESC, p.event_id) AS place
+    FROM events u JOIN events p ON p.ts < u.ts AND p.ts > u.ts - INTERVAL 14 DAY WHERE u.event_type = 'signup' AND p.event_type = 'purchase' QUALIFY place <= 5""")
+def range_join_suspects(t):
+    e = t.raw("events")
+    probes = e.filter("event_type = 'signup'").select(F.col("event_id").alias("probe"), F.col("ts").alias("at"))
+    found = graph.within_days(probes, e.filter("event_type = 'purchase'").select("event_id", F.col("ts").alias("event_at")), ties=("event_id",))
+    return found.select("probe", "event_id", F.col("place").cast("long").alias("place"))
+
+
+EDGE_COLUMNS = "source, source_type, type, target, target_type"
+ALL_EDGES = """SELECT issue_key AS source, 'issue' AS source_type, 'assigned_to' AS type, assignee AS target, 'developer' AS target_type, 1.0::DOUBLE AS weight
+        FROM issues WHERE assignee IS NOT NULL
+    UNION ALL SELECT issue_key, 'issue', 'reported_by', reporter, 'developer', 1 FROM issues
+    UNION ALL SELECT DISTINCT issue_key, 'issue', 'in_component', unnest(string_split(component_list, ',')), 'component', 1 FROM issues
+    UNION ALL SELECT parent_key, 'issue', 'parent_of', issue_key, 'issue', 1 FROM issues WHERE parent_key IS NOT NULL
+    UNION ALL SELECT DISTINCT author, 'developer', 'authored_commit_for', issue_key, 'issue', 1 FROM commits JOIN commit_issue_refs ON hash = commit_hash
+    UNION ALL SELECT author, 'developer', 'changed', 'src/' || split_part(file_path, '/', 2), 'module', count(*) FROM commits JOIN commit_files ON hash = commit_hash GROUP BY ALL"""
+
+
+def _graph(t) -> DataFrame:
+    issues = t.issues.withColumn("labels", F.array().cast("array<string>"))
+    return graph.issue_edges(issues).unionByName(graph.commit_edges(t.commits, t.commit_issue_refs, t.commit_files))
+
+
+@query(ALL_EDGES)
+def graph_build_edges(t):
+    return _graph(t)
+
+
+@query(f"""WITH RECURSIVE e AS ({ALL_EDGES}), u AS (SELECT source, source_type, target, target_type FROM e UNION SELECT target, target_type, source, source_type FROM e),
+    w AS (SELECT DISTINCT source AS name, source_type AS type, 0 AS depth FROM u WHERE source ILIKE '%m7%'
+        UNION SELECT target, target_type, depth + 1 FROM w JOIN u ON name = source AND type = source_type WHERE depth < 2)
+    SELECT name, type, min(depth) AS depth FROM w GROUP BY 1, 2 ORDER BY 3, 2, 1 LIMIT 200""")
+def graph_walk(t):
+    g = _graph(t)
+    return graph.walk(g, graph.seeds(g, "m7"), 2)
+
+
+@query(f"""WITH e AS ({ALL_EDGES}), i AS (SELECT source AS name, type FROM e WHERE source_type = 'developer' UNION ALL SELECT target, type FROM e WHERE target_type = 'developer')
+    SELECT name, count(*) AS total, CAST(count_if(type IN ('authored_commit_for', 'changed')) AS BIGINT) AS commits, CAST(count_if(type = 'reviewed') AS BIGINT) AS reviews,
+        CAST(count_if(type = 'assigned_to') AS BIGINT) AS assigned FROM i GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def graph_degree_rank(t):
+    found = graph.incident(_graph(t), "developer")
+    is_any = lambda *k: F.count_if(F.col("edge").isin(*k))
+    return (found.groupBy("name").agg(F.count("*").alias("total"), is_any("authored_commit_for", "changed").alias("commits"),
+                                      is_any("reviewed").alias("reviews"), is_any("assigned_to").alias("assigned"))
+            .orderBy(F.desc("total"), "name").limit(10))
+
+
+@query(f"""WITH e AS ({ALL_EDGES}) SELECT 'entity' AS facet, type AS value, count(*) AS n FROM (SELECT source AS name, source_type AS type FROM e
+    UNION SELECT target, target_type FROM e) GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM e GROUP BY 2""")
+def graph_stats(t):
+    return graph.stats(_graph(t))
+
+
+@query("""SELECT DISTINCT source_key AS source, CASE WHEN link_type = 'Blocks' THEN 'blocked_by' ELSE 'root_causes' END AS type, target_key AS target,
+    'confirmed' AS bucket FROM issue_links WHERE link_type <> 'Related'""")
+def root_cause_buckets(t):
+    return graph.link_edges(t.issue_links).withColumn("origin", F.lit("auto")).withColumn("bucket", graph.bucket()).select("source", "type", "target", "bucket")
+
+
+@query("""SELECT DISTINCT issue_key AS name, 'issue' AS type FROM issues WHERE issue_key NOT IN (SELECT source_key FROM issue_links WHERE link_type <> 'Related')
+    AND issue_key NOT IN (SELECT target_key FROM issue_links WHERE link_type <> 'Related')""")
+def orphan_entities(t):
+    return graph.orphans(t.issues.select(F.col("issue_key").alias("name"), F.lit("issue").alias("type")), graph.link_edges(t.issue_links))
+
+
+@query("""WITH r AS (SELECT DISTINCT issue_key, changed_at FROM issue_changelogs WHERE field = 'status' AND to_value = 'Reopened'),
+    m AS (SELECT concat('h', o_orderkey) AS pr, o_orderdate AS merged_at FROM orders WHERE o_orderkey % 50 = 0)
+    SELECT issue_key AS source, pr AS target FROM r JOIN m ON merged_at < changed_at AND merged_at > changed_at - INTERVAL 14 DAY
+    QUALIFY row_number() OVER (PARTITION BY issue_key, changed_at ORDER BY merged_at DESC, pr) <= 5""")
+def regression_suspects(t):
+    reopened = t.issue_changelogs.filter("field = 'status' and to_value = 'Reopened'").select(F.col("issue_key").alias("probe"), F.col("changed_at").alias("at")).distinct()
+    merged = t.raw("orders").filter("o_orderkey % 50 = 0").select(F.concat(F.lit("h"), "o_orderkey").alias("pr"), F.col("o_orderdate").alias("event_at"))
+    return graph.within_days(reopened, merged, ties=("pr",)).select(F.col("probe").alias("source"), F.col("pr").alias("target"))
+
+
+@query("SELECT commit_hash, issue_key FROM commit_issue_refs")
+def issue_key_extract(t):
+    from spindrift.sources.dumps import commit_refs
+
+    return commit_refs(t.commits)
+
+
+@query("""SELECT DISTINCT file_path, 'src/' || split_part(file_path, '/', 2) AS module FROM commit_files""")
+def module_names(t):
+    return t.commit_files.select("file_path").distinct().select("file_path", text.module_name(F.col("file_path")).alias("module"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN s < 1024 THEN s || 'B' WHEN s < 1048576 THEN CAST(floor(s / 1024 + 0.5) AS BIGINT) || 'KB'
+    WHEN s < 1073741824 THEN CAST(floor(s / 1048576 + 0.5) AS BIGINT) || 'MB' ELSE CAST(floor(s / 1073741824 + 0.5) AS BIGINT) || 'GB' END AS size
+    FROM (SELECT n_nationkey, CAST(n_nationkey AS BIGINT) * n_nationkey * n_nationkey * n_nationkey * n_nationkey * 300 AS s FROM nation)""")
+def bytes_rendered(t):
+    n = F.col("n_nationkey").cast("long")
+    return t.raw("nation").select("n_nationkey", rendering.format_bytes(n * n * n * n * n * 300).alias("size"))
+
+
+@query("""SELECT issue_key, status, assignee FROM issues WHERE NOT (created >= TIMESTAMP '1996-01-01' AND project_key = 'PRJ1')
+    UNION ALL SELECT issue_key, 'Changed', assignee FROM issues WHERE created >= TIMESTAMP '1996-01-01' AND project_key = 'PRJ1'""")
+def upsert_snapshot(t):
+    old = t.issues.select("issue_key", "status", "assignee")
+    new = t.issues.filter("created >= timestamp_ntz '1996-01-01' and project_key = 'PRJ1'").select("issue_key", F.lit("Changed").alias("status"), F.lit(None).cast("string").alias("assignee"))
+    return store.upsert(old, new, ["issue_key"], keep=("assignee",))
+
+
+@query("""SELECT issue_key, author, time_spent_seconds FROM issue_worklogs WHERE issue_key NOT IN (SELECT issue_key FROM issues WHERE project_key = 'PRJ4')
+    UNION ALL SELECT issue_key, 'nobody', 60 FROM issues WHERE project_key = 'PRJ4'""")
+def replaced_children(t):
+    parents = t.issues.filter("project_key = 'PRJ4'").select("issue_key")
+    return store.replace_children(t.issue_worklogs, parents.select("issue_key", F.lit("nobody").alias("author"), F.lit(60).cast("long").alias("time_spent_seconds")), parents, "issue_key")
+
+
+@query("SELECT repo_full_name, max(updated_at) AS latest, max(updated_at) - INTERVAL 60 SECOND AS since FROM pull_requests GROUP BY 1")
+def high_water_mark(t):
+    return store.high_water(t.pull_requests, "repo_full_name", "updated_at")
+
+
+@query("SELECT DISTINCT project_key FROM issues")
+def project_list(t):
+    return search.projects(t.issues)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
