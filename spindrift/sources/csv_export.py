@@ -51,7 +51,7 @@ class Layout:
 def read(spark: SparkSession, path: str, since: str | None = None) -> tuple[DataFrame, Layout]:
     """Rows as cells (an array), without the header and empty lines; older updates than since are left out."""
     options = {"multiLine": True, "escape": '"', "header": False}
-    lines = spark.read.options(wholetext=False).text(path)
+    lines = spark.read.text(path)
     head = lines.filter("trim(value) <> ''").first()
     headers = next(csv.reader([head.value])) if head else []
     names = [f"c{i}" for i in range(max(1, len(headers)))]

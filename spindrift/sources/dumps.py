@@ -99,7 +99,7 @@ def pr_refs(prs: DataFrame) -> DataFrame:
 
 def board_tasks(spark: SparkSession, folder: str) -> DataFrame:
     """Tasks from Markdown files: the first heading is the title; front matter and folders tell the rest."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
     front = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
     key = lambda name: F.nullif(F.trim(F.regexp_extract(front, rf"(?m)^{name}:[ \t]*(.*)$", 1)), F.lit(""))
     title = F.coalesce(F.nullif(F.trim(F.regexp_extract("value", r"(?m)^# (.*)$", 1)), F.lit("")), F.lit("Untitled"))
@@ -111,14 +111,14 @@ def board_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 def imports(spark: SparkSession, folder: str, glob: str = "*.{ts,tsx,js,jsx,mjs,cjs,mts,cts}") -> DataFrame:
     """(path, target) for each relative import or require in source files."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     found = F.regexp_extract_all("value", F.lit(r"(?:import[^'\"]*?from\s*|require\(\s*)['\"](\.[^'\"]*)['\"]"), F.lit(1))
     return files.select(F.input_file_name().alias("path"), F.explode(F.array_distinct(found)).alias("target"))
 
 
 def packages(spark: SparkSession, manifest: str) -> DataFrame:
     """Names of a manifest's dependencies of both kinds."""
-    doc = spark.read.option("wholetext", True).text(manifest).withColumnRenamed("value", "doc")
+    doc = spark.read.text(manifest, wholetext=True).withColumnRenamed("value", "doc")
     names = [F.coalesce(F.map_keys(F.from_json(F.get_json_object("doc", f"$.{k}"), "map<string,string>")), F.array().cast("array<string>"))
              for k in ("dependencies", "devDependencies")]
     return doc.select(F.explode(F.array_union(*names)).alias("package"))
