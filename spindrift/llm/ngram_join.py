@@ -144,11 +144,11 @@ def with_hub(near: DataFrame, join: Join) -> DataFrame:
             .select(F.least("rep", "hub.rep").alias("u"), F.greatest("rep", "hub.rep").alias("v")).distinct())
 
 
-def unsettled(near: DataFrame, links: DataFrame, name: str) -> DataFrame:
+def unsettled(near: DataFrame, links: DataFrame) -> DataFrame:
     """near with part, the component by the links so far, for tokens whose rows are in several parts."""
     parts = components(links).withColumnRenamed("id", "rep")
     marked = near.join(parts, "rep", "left").select("token", "rep", "n", "place", F.coalesce("component", "rep").alias("part"))
-    marked = materialize(marked, name)
+    marked = materialize(marked, "join-marked")
     mixed = marked.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
     return marked.join(mixed, "token", "left_semi")
 
@@ -237,6 +237,17 @@ def block_links(rest: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     return (pairs.groupBy("cluster", "i", "j").applyInArrow(_links_in_block(join), "u long, v long").distinct())
 
 
+def _open_links(docs: DataFrame, open_ids: DataFrame, met: DataFrame, links: DataFrame, join: Join) -> DataFrame:
+    """Links among the classes left open, but for pairs that have met."""
+    own = (docs.join(open_ids, "doc_id").select(F.col("doc_id").alias("rep"), token_set(text_of(), join.width).alias("first"))
+           .select("rep", F.xxhash64("first").alias("h1"), F.size("first").alias("n"), "first").dropDuplicates(["rep", "h1"]))
+    near = materialize(near_rows(postings(materialize(own, "join-classes"), join, 2**63 - 1), join), "join-near")
+    again = materialize(with_hub(near, join).join(met, ["u", "v"], "left_anti"), "join-met")
+    more = materialize(verified(again, docs, join), "join-links")
+    rest = materialize(unsettled(near, links.union(more)), "join-rest")
+    return more if rest.isEmpty() else more.union(block_links(rest, docs, join))
+
+
 def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -247,15 +258,13 @@ def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     near = materialize(near_rows(postings(materialize(own, "join-classes"), join, join.low), join), "join-near")
     met = materialize(with_hub(near, join), "join-met")
     links = materialize(verified(met, docs, join), "join-links")
-    # what is left open is ranked anew, with all its tokens counted among what is left open
-    open_ids = unsettled(near, links, "join-open").select(F.col("rep").alias("doc_id")).distinct()
-    own = (docs.join(open_ids, "doc_id").select(F.col("doc_id").alias("rep"), token_set(text_of(), join.width).alias("first"))
-           .select("rep", F.xxhash64("first").alias("h1"), F.size("first").alias("n"), "first").dropDuplicates(["rep", "h1"]))
-    near = materialize(near_rows(postings(materialize(own, "join-classes"), join, 2**63 - 1), join), "join-near")
-    again = materialize(with_hub(near, join).join(met, ["u", "v"], "left_anti"), "join-met")
-    links = links.union(materialize(verified(again, docs, join), "join-links"))
-    rest = materialize(unsettled(near, links, "join-open"), "join-rest")
-    links = links.union(block_links(rest, docs, join))
+    # tokens with a row that is not linked to their hub are ranked anew, with all tokens counted among what is left open
+    known = links.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    ends = [F.least("rep", "hub.rep") == F.col("a"), F.greatest("rep", "hub.rep") == F.col("b")]
+    tokens = near.filter(F.col("rep") != F.col("hub.rep")).join(known, ends, "left_anti").select("token").distinct()
+    open_ids = materialize(near.join(tokens, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-open")
+    if not open_ids.isEmpty():
+        links = links.union(_open_links(docs, open_ids, met, links, join))
     same = rows.join(reps, ["h1", "h2", "n"]).filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     parts = components(links.union(same))
     return (rows.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
