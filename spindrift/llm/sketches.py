@@ -76,10 +76,10 @@ def written(a: Column) -> Column:
 
 def read(text: Column) -> Column:
     """The sketch that was written as text."""
-    at = F.sequence(F.lit(0), F.length(text) / 16 - 1)
-    digits = lambda i, j: F.conv(F.substr(text, (i * 16 + j).cast("int"), F.lit(8)), 16, 10).cast("long")
+    at = F.sequence(F.lit(0), (F.length(text) / 16 - 1).cast("int"))
+    digits = lambda i, j: F.conv(F.substr(text, i * 16 + j, F.lit(8)), 16, 10).cast("long")
     return F.when(F.length(text) == 0, F.array().cast("array<long>")).otherwise(
-        F.transform(at.cast("array<int>"), lambda i: F.shiftleft(digits(i, 1), 32).bitwiseOR(digits(i, 9))))
+        F.transform(at, lambda i: F.shiftleft(digits(i, 1), 32).bitwiseOR(digits(i, 9))))
 
 
 def range_of(value: Column, cuts: list[int]) -> Column:

@@ -170,7 +170,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     held = [(labels[r.doc_id], r.score) for r in rows if r.held_out and r.doc_id in labels]
     toxic, plain = [s for y, s in held if y == 1], [s for y, s in held if y == 0]
-    assert sum(a > b for a in toxic for b in plain) / len(toxic) / len(plain) > 0.7
+    assert sum((a > b) + (a == b) / 2 for a in toxic for b in plain) / len(toxic) / len(plain) > 0.7
 
 
 def test_toxicity_of_odd_rows(spark, odd, none):
