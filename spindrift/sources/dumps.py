@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.functions.rich_text import markdown_of
 from spindrift.functions.text import issue_keys
 
 # How file changes are named, by a git letter or a service's word.
@@ -42,7 +43,7 @@ def issues(rows: DataFrame) -> DataFrame:
     times = {"created": "created", "updated": "updated", "resolved": "resolutiondate"}
     return rows.select(
         at("key").alias("issue_key"), F.split(at("key"), "-")[0].alias("project_key"), at("id").alias("issue_id"),
-        F.get_json_object("doc", "$.fields.description").alias("description"),
+        markdown_of(F.get_json_object("doc", "$.fields.description")).alias("description"),
         F.coalesce(at("fields.sprint.name"), at("fields.sprint")).alias("sprint"),
         *(at(f"fields.{v}").alias(k) for k, v in names.items()),
         *(at(f"fields.{v}").try_cast("timestamp").alias(k) for k, v in times.items()),
