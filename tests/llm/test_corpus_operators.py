@@ -90,7 +90,7 @@ def test_jaccard_join_of_odd_rows(odd, none):
     got = collections.defaultdict(set)
     for r in ngram_join.jaccard_components(odd).collect():
         got[r.doc_id].add((r.n_shingles, r.component_id))
-    assert got[0] == {(0, 0)} and got[6] == got[14] == got[15] == {(3, 6)} and got[None] == {(1, None)}
+    assert got[0] == {(0, 0)} and got[6] == got[14] == got[15] == {(3, 6)} and got[None] == {(2, None)}
     assert ngram_join.jaccard_components(none).count() == 0
 
 
