@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Used only where the cluster names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Whether an execution's shuffle files go when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,11 +25,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage, so that a lost executor costs a reread and not a
-    recomputation, and so that a table used twice is made once.
+    recomputation, and so that a table used twice is made once. Nothing reads
+    the shuffle files behind a written table again, so they go with the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE)
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
