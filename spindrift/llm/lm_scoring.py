@@ -1,39 +1,49 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Words and pairs of neighbouring words are counted over all documents. The
-model has a fixed vocabulary, its ``vocabulary`` most frequent words; all
-others are one unknown word. A pair's score is its count over its first
-word's; a pair counted less than ``least`` times backs off to 0.4 times its
-second word's share of all words. A document's score is the mean of its
-words' logarithmic scores.
-
-The vocabulary, bounded by its parameter, is looked up where texts are read.
-A document's pairs are exploded as one row for each distinct pair with its
-number. The count table is grouped by the pair, combined on the map side and
-dealt by the pair's hash, and is joined to the exploded pairs by it; sums
-combine on the map side again. A pair that a third of all rows hold is
-one row a task in the counts, and adaptive execution splits its join.
+Words and pairs of neighbouring words are counted over all documents, every
+word and every pair. A pair's score is its count over its first word's; a pair
+counted less than ``least`` times backs off to 0.4 times its second word's
+share of all words. A document's score is the mean of its words' logarithmic
+scores. As the corpus scores itself, each of its pairs is counted at least
+once, and a pair met once would vouch for itself: hence ``least``.
+
+A word is known by a 64-bit hash and a pair by those of its words, 128 bits. A
+document's words, and its pairs, are exploded as one row for each distinct one
+with its number. Words and pairs are counted by themselves, combined on the map
+side and dealt by the word or pair. Each word's backed-off score is joined to
+the exploded words; each pair counted often enough has the difference of its
+score from that, which is joined to the exploded pairs and added. So pairs that
+back off are counted but need no row of their own in a join. Pairs meet their
+scores for a part of the documents after another, so that the disk holds the
+exploded pairs of one part at a time. A word or pair
+that a third of all rows hold is one row a task in the counts, and adaptive
+execution splits its join. All tables are in the shared folder, and nothing but
+two sums goes to the driver, unless ``size`` bounds the vocabulary to its most
+frequent words and makes all others one unknown word.
 
 Defined results: rows that share a doc_id (null is one too) are one document;
 null and empty texts have no words, and a document without words a null
-score; equally frequent words enter the vocabulary by their hash; an empty
-table gives an empty result; columns other than doc_id and text are ignored.
+score; equally frequent words enter a bounded vocabulary by their hash; an
+empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import documents, materialize, text_of, words_of
+from spindrift.llm.common import SPACE, documents, materialize, text_of, words_of
 
 BACKOFF = 0.4
 LEAST = 2
-VOCABULARY = 8192
-#: Ids of the unknown word and of a text's start; words follow.
-UNKNOWN, START, FIRST = 0, 1, 2
+#: Parts of the documents whose exploded pairs are shuffled one after another.
+PARTS = 4
+#: Stand for the unknown word and for a text's start among the words' hashes.
+UNKNOWN, START = 1, 0
 
 
 def word_hashes(docs: DataFrame) -> DataFrame:
@@ -41,66 +51,69 @@ def word_hashes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", words.alias("words"))
 
 
-def vocabulary(hashed: DataFrame, size: int = VOCABULARY) -> list[tuple[int, int]]:
-    """(hash, count) of the most frequent words, and (None, count) of all others together."""
-    counts = materialize(hashed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "lm-words")
-    top = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return [*top, (None, total - sum(n for _, n in top))]
+def vocabulary(hashed: DataFrame, size: int) -> np.ndarray:
+    """Hashes of the most frequent words, in order."""
+    counts = hashed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return np.array(sorted(r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()), np.int64)
+
+
+def _rows(known: np.ndarray | None, pairs: bool):
+    """doc_id, first, second and n of each text's distinct pairs, or doc_id, word and n of its words.
 
+    In each batch equal ones stand together, which packs their hashes well.
+    """
 
-def _pairs(hashes: np.ndarray, ids: np.ndarray, base: int):
     def explode(batches):
         for batch in batches:
             lists = batch.column(1)
             ends = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]]
             ends = ends - ends[0]
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
-                word = np.where(hashes[at] == flat, ids[at], UNKNOWN)
-            else:
-                word = np.full(len(flat), UNKNOWN)
-            before = np.r_[START, word[:-1]][:len(word)]
-            before[ends[:-1][ends[:-1] < ends[1:]]] = START
-            pair = before.astype(np.int64) * base + word
+            if known is not None:
+                flat = np.where(np.isin(flat, known), flat, UNKNOWN)
+            words, key = np.unique(np.r_[np.int64(START), flat], return_inverse=True)
+            start, key = key[0], key[1:].astype(np.int64)
+            if pairs:
+                before = np.r_[start, key[:-1]][:len(key)]
+                before[ends[:-1][ends[:-1] < ends[1:]]] = start
+                key = before * len(words) + key
             row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            order = np.lexsort((pair, row))
-            pair, row = pair[order], row[order]
-            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])][:len(pair)])
-            count = np.diff(np.r_[new, len(pair)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[new])), pa.array(pair[new]), pa.array(count.astype(np.int32))],
-                ["doc_id", "pair", "n"])
+            order = np.argsort(key, kind="stable")  # rows of a key stay in order
+            key, row = key[order], row[order]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][:len(key)])
+            count = pa.array(np.diff(np.r_[new, len(key)]).astype(np.int32))
+            doc_id, key = batch.column(0).take(pa.array(row[new])), key[new]
+            columns = {"first": words[key // len(words)], "second": words[key % len(words)]} if pairs else {"word": words[key]}
+            yield pa.RecordBatch.from_arrays([doc_id, *map(pa.array, columns.values()), count], ["doc_id", *columns, "n"])
     return explode
 
 
-def score(docs: DataFrame, size: int = VOCABULARY, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
+def score(docs: DataFrame, size: int | None = None, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words and score of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = word_hashes(docs)
-    *top, (_, unknown) = vocabulary(hashed, size)
-    total = unknown + sum(n for _, n in top)
-    known = sorted((h, i) for i, (h, _) in enumerate(top, FIRST))
-    base = len(top) + FIRST
-    explode = _pairs(np.array([h for h, _ in known], np.int64), np.array([i for _, i in known], np.int64), base)
-    rows = hashed.mapInArrow(explode, "doc_id long, pair long, n int")
-    table = rows.groupBy("pair").agg(F.sum("n").alias("count")).filter(F.col("count") >= least)
-    starts = docs.filter(F.size(words_of(text_of())) > 0).count()
-    # the vocabulary's logarithms, at most size + 2 numbers, indexed by id
-    word_count = np.array([unknown, starts, *(n for _, n in top)], float)
-    logs = F.lit([float(x) for x in np.log(np.maximum(word_count, 1))])
-    joined = rows.join(table, "pair", "left")
-    first, second = F.floor(F.col("pair") / base), F.col("pair") % base
-    of = lambda i: F.get(logs, i.cast("int"))
-    value = F.when(F.col("count").isNotNull(), F.log("count") - of(first)).otherwise(
-        of(second) + float(np.log(backoff) - np.log(max(total, 1))))
-    sums = joined.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * value).alias("sum"))
-    ids = docs.select("doc_id").distinct().alias("d")
-    s = sums.alias("s")
-    return (ids.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
-            .select("d.doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"),
-                    F.round(F.col("sum") / F.col("n_words"), 6).alias("score")))
+    known = None if size is None else vocabulary(hashed, size)
+    words = hashed.mapInArrow(_rows(known, False), "doc_id long, word long, n int")
+    pairs_of = lambda part: part.mapInArrow(_rows(known, True), "doc_id long, first long, second long, n int")
+    single = materialize(words.groupBy("word").agg(F.sum("n").alias("all")), "lm-words")
+    total = single.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    starts = docs.filter(F.col("text").rlike(f"[^{SPACE}]")).count()
+    backed = F.log("all") + float(np.log(backoff) - np.log(max(total, 1)))
+    often = materialize(pairs_of(hashed).groupBy("first", "second").agg(F.sum("n").alias("count")).filter(F.col("count") >= least), "lm-pairs")
+    of_first = single.select(F.col("word").alias("first"), F.col("all").alias("all_first"))
+    more = F.log("count") - F.log(F.coalesce("all_first", F.lit(starts))) - backed
+    gain = materialize(often.join(single.withColumnRenamed("word", "second"), "second").join(of_first, "first", "left")
+                       .select("first", "second", more.alias("more")), "lm-gains")
+    of_pairs = []
+    for k in range(PARTS):
+        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k)
+        met = pairs_of(word_hashes(part)).join(gain, ["first", "second"])
+        of_pairs.append(materialize(met.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("more")).alias("sum")), "lm-sums").withColumn("n", F.lit(0)))
+    of_words = words.join(single.select("word", backed.alias("value")), "word").select("doc_id", "n", (F.col("n") * F.col("value")).alias("sum"))
+    none = docs.select("doc_id", F.lit(0).alias("n"), F.lit(None).cast("double").alias("sum"))
+    parts = functools.reduce(DataFrame.unionByName, [none, of_words, *of_pairs])
+    return (parts.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_words"), F.sum("sum").alias("sum"))
+            .select("doc_id", "n_words", F.round(F.col("sum") / F.col("n_words"), 6).alias("score")))
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

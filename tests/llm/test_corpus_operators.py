@@ -34,6 +34,19 @@ def test_lm_scores_of_odd_rows(odd, none):
     assert lm_scoring.score(none).count() == 0
 
 
+def test_lm_scores_know_words_past_any_rank(spark):
+    """20,000 equally frequent words: each of the pairs is met twice, and none is an unknown word."""
+    rows = [(i, " ".join(f"w{i * 100 + k}" for k in range(100))) for i in range(200)]
+    rows += [(200 + i, t) for i, t in rows] + [(400, " ".join(f"w{k}" for k in range(19_999, 0, -100)))]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    single = collections.Counter(w for _, t in rows for w in ["<s>", *t.split()])
+    pairs = collections.Counter(p for _, t in rows for p in zip(["<s>", *t.split()], t.split()))
+    total = sum(single.values()) - single["<s>"]
+    for i, t in rows:
+        each = [math.log(pairs[p] / single[p[0]]) if pairs[p] >= 2 else math.log(0.4 * single[p[1]] / total) for p in zip(["<s>", *t.split()], t.split())]
+        assert abs(got[i].score - sum(each) / len(each)) < 2e-6
+
+
 def brute_join(rows, width, num):
     sets = {i: frozenset(tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
             for i, w in ((i, words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows)}
