@@ -14,9 +14,11 @@ returns the best k for each query, which are merged by query. Equal vectors
 are indexed once with the k + 1 smallest ids, as no more can be in a result,
 so a vector that a third of all rows share is one entry.
 
-Rotations are fitted on ``sample`` vectors chosen by a hash; the radius is
-the one that holds all but 2 % of the exact neighbours of ``calibration``
-queries, which are compared with every row.
+Rotations are fitted on ``sample`` vectors chosen by a hash; the first radius
+is the one that holds all but 2 % of the exact neighbours of ``calibration``
+distinct query vectors, chosen by id, which are compared with every row.
+Queries that find fewer than k within it are asked again by the same index
+with twice the radius, until they have k or the radius is all bits.
 
 Defined results: vectors that are null, zero, of another length than the
 first, or hold null or non-finite components take no part; rows with a null
@@ -182,10 +184,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
     picked = picked or index.select("embedding").limit(1).collect()
     directions = learn(np.array(sorted(r[0] for r in picked)))
     blocks, query_blocks = -(-n // BLOCK), -(-n_queries // QUERIES)
-    trial = asked.filter(share(calibration, n_queries)).orderBy("vec_id").limit(2 * calibration)
+    once = materialize(asked.groupBy("_hash", "embedding").agg(F.min("vec_id").alias("vec_id")), "nearest-queries")
+    one_in = min(1.0, calibration / max(1, once.count()))
+    trial = once.filter(F.shiftrightunsigned(F.xxhash64(F.lit(3), "vec_id"), 33) < F.lit(int(2**31 * one_in))).orderBy("vec_id").limit(2 * calibration)
     exact = _top(_meet(index, trial, blocks, 1, _search(directions, None, k)), k)
     radius = exact.select(F.percentile_approx("far", HELD, 1000)).first()[0]
-    return _top(_meet(index, asked, blocks, query_blocks, _search(directions, radius if radius is not None else 8 * BYTES, k)), k).drop("far")
+    radius = radius if radius is not None else 8 * BYTES
+    found = materialize(_top(_meet(index, asked, blocks, query_blocks, _search(directions, radius, k)), k), "nearest-found")
+    while radius < 8 * BYTES:
+        enough = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+        short = materialize(asked.join(enough, "vec_id", "left_anti"), "nearest-short")
+        n_short = short.count()
+        if not n_short:
+            break
+        radius = min(8 * BYTES, 2 * max(radius, BYTES // 2))
+        wider = _top(_meet(index, short, blocks, -(-n_short // QUERIES), _search(directions, radius, k)), k)
+        kept = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
+        found = materialize(kept.unionByName(wider), "nearest-found")
+    return found.drop("far")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

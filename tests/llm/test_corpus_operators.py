@@ -170,6 +170,17 @@ def test_nearest(spark):
     assert nearest.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_nearest_widens_for_outlying_queries(spark):
+    rng = np.random.default_rng(5)
+    dense = rng.normal(size=64) + 0.02 * rng.normal(size=(500, 64))
+    base = np.concatenate([dense, rng.normal(size=(12, 64))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = collections.Counter(r.query_id for r in nearest.nearest(table, table.filter("vec_id % 20 = 0 or vec_id >= 500")).collect())
+    assert len(got) == 37 and set(got.values()) == {20}
+    few = collections.Counter(r.query_id for r in nearest.nearest(table.filter("vec_id >= 495"), table.filter("vec_id >= 495")).collect())
+    assert len(few) == 17 and set(few.values()) == {16}  # all there are
+
+
 def test_multi_index_finds_all_codes_in_radius():
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 256, (500, 16), dtype=np.uint8)
