@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import materialize
+from spindrift.llm.common import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -42,6 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
     links = materialize(links.distinct(), "links")
     while not _are_stars(links):
-        links = materialize(_small_star(_large_star(links)), "links")
+        before, links = links, materialize(_small_star(_large_star(links)), "links")
+        discard(before)
     stars = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())

@@ -38,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import documents, let, materialize, text_of, words_of
+from spindrift.llm.common import discard, documents, mapped, materialize, small
 from spindrift.llm.components import components
-from spindrift.llm.sketches import shingle_hashes
+from spindrift.llm.shingling import LOWER, arrays, binary_texts, lists, mixed, shingle_set, word_hashes
 
 #: Classes of a cluster that one block holds.
 BLOCK = 256
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -59,6 +58,9 @@ class Join:
         """How many first tokens of n must share one with any linked set's."""
         return n - F.ceil(n * self.num / self.den) + 1
 
+    def prefix_of(self, n: int) -> int:
+        return n + (-n * self.num) // self.den + 1
+
     @property
     def low(self) -> int:
         """Hashes below this come first in the first order: 1.5 times a prefix's share."""
@@ -76,64 +78,82 @@ class Join:
         return shared * self.den >= (n + m - shared) * self.num
 
 
-def token_set(text: Column, width: int) -> Column:
-    """Sorted hashes of a text's distinct shingles."""
-    return F.sort_array(F.array_distinct(shingle_hashes(words_of(F.translate(text, UPPER, LOWER)), width)))
+def with_sets(docs: DataFrame, join: Join, made: str, columns) -> DataFrame:
+    """docs with columns of the DDL made in place of text, by columns() from a list of token sets."""
+    width = join.width
+
+    def run(batch):
+        return columns([shingle_set(word_hashes(t.translate(LOWER)), width) for t in binary_texts(batch.column(0))])
+
+    return mapped(docs, {"text": F.col("text")}, run, made, without=["text"])
 
 
-def other_order(tokens: Column, seed: int, length: Column) -> Column:
+def token_sets(docs: DataFrame, join: Join) -> DataFrame:
+    """docs with tokens, the sorted hashes of the text's distinct shingles."""
+    return with_sets(docs, join, "tokens array<long>", lambda sets: [lists(sets)])
+
+
+def other_order(tokens: np.ndarray, seed: int, length: int) -> np.ndarray:
     """The first tokens, as ranked by another hash."""
-    return F.slice(F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(seed)))), 1, length.cast("int"))
+    return np.sort(mixed(tokens, seed))[:length]
+
 
+def document_sets(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, n, h1 and h2 (a hash of the set), first (the tokens that can be in a prefix) and how many of them are low."""
 
-def classes(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, rep (the least doc_id with the same set), n and first, the tokens that can be in a prefix."""
-    tokens = docs.select("doc_id", token_set(text_of(), join.width).alias("tokens"))
-    first = let(F.col("tokens"), lambda t: F.slice(
-        t, 1, F.greatest(join.prefix(F.size(t)).cast("int"), F.size(F.filter(t, lambda x: x < F.lit(join.low))))))
-    rows = tokens.select("doc_id", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("h1"),
-                         F.xxhash64(F.lit(1), "tokens").alias("h2"), F.when(F.size("tokens") > 0, first).alias("first"))
-    return materialize(rows, "join-sets")
+    def columns(sets):
+        import xxhash
 
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.tobytes()) for t in sets), "<i8").reshape(-1, 2)
+        low = [int(np.searchsorted(t, join.low)) for t in sets]
+        first = [t[:max(k, join.prefix_of(len(t)))] for t, k in zip(sets, low)]
+        return [pa.array([len(t) for t in sets], pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()),
+                pa.array(low, pa.int32()), lists(first)]
 
-def representatives(rows: DataFrame) -> DataFrame:
-    return (rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
+    return materialize(with_sets(docs, join, "n int, h1 long, h2 long, n_low int, first array<long>", columns), "join-sets")
 
 
-def able(reps: DataFrame, join: Join) -> DataFrame:
-    """Classes that one token more or one less leaves linked; smaller sets are linked with equal ones only."""
-    n = F.col("n")
-    return reps.filter(((n + 1) * join.num <= n * join.den) | (n * join.num <= (n - 1) * join.den))
+def classes(rows: DataFrame) -> DataFrame:
+    """One row for each set with tokens: h1, h2, n, n_low, first and rep, the least doc_id with it."""
+    return (rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n", "n_low")
+            .agg(F.min("doc_id").alias("rep"), F.first("first").alias("first")))
 
 
-def postings(own: DataFrame, join: Join, low: int) -> DataFrame:
+def able(n: Column, join: Join) -> Column:
+    """Whether one token more or one less leaves a set linked; smaller sets are linked with equal ones only."""
+    return ((n + 1) * join.num <= n * join.den) | (n * join.num <= (n - 1) * join.den)
+
+
+def postings(own: DataFrame, join: Join) -> DataFrame:
     """token, rep, n and place of the prefix tokens, in the first order, that several classes have.
 
-    own has rep, h1 (to tell sets of one rep apart), n and first. Tokens below low are ranked by
-    how many classes have them, those above, which come after them, by hash.
+    own has rep, h1 (to tell sets of one rep apart), n, first and n_low. The first n_low tokens of
+    first are ranked by how many classes have them; those after them keep their place.
     """
-    is_low = lambda t: t <= F.lit(low)
     last = F.lit(2**62)
-    flat = own.select("rep", "h1", F.explode("first").alias("token"))
-    common = flat.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1")
-    ranked = F.struct(F.when(is_low(F.col("token")), F.col("classes")).otherwise(last).alias("rank"), "token")
-    shared = flat.join(common, "token").groupBy("rep", "h1").agg(F.array_sort(F.collect_list(ranked)).alias("shared"))
+    flat = own.select("rep", "h1", "n", "n_low", F.posexplode("first").alias("pos", "token"))
+    common = own.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1")
+    ranked = F.struct(F.when(F.col("pos") < F.col("n_low"), F.col("classes")).otherwise(last).alias("rank"), "token", "pos")
+    shared = flat.join(common, "token").groupBy("rep", "h1", "n", "n_low").agg(F.array_sort(F.collect_list(ranked)).alias("shared"))
     # a class's tokens that no other has come before its shared ones
-    alone = F.size(F.filter("first", is_low)) - F.size(F.filter("shared", lambda s: s["rank"] < last))
-    rows = (own.join(shared, ["rep", "h1"]).select("rep", "n", "first", alone.alias("alone"), "shared")
-            .select("rep", "n", "first", "alone", F.posexplode("shared").alias("k", "s")))
-    place = F.when(F.col("s.rank") < last, F.col("alone") + F.col("k")).otherwise(
-        F.array_position("first", F.col("s.token")).cast("int") - 1)
+    alone = F.col("n_low") - F.size(F.filter("shared", lambda s: s["rank"] < last))
+    # alone is computed before the explosion, whose rows must not hold the whole list
+    rows = shared.select("rep", "n", alone.alias("alone"), "shared").select("rep", "n", "alone", F.posexplode("shared").alias("k", "s"))
+    place = F.when(F.col("s.rank") < last, F.col("alone") + F.col("k")).otherwise(F.col("s.pos"))
     return (rows.select(F.col("s.token").alias("token"), "rep", "n", place.cast("long").alias("place"))
             .filter(F.col("place") < join.prefix(F.col("n"))))
 
 
-def near_rows(found: DataFrame, join: Join) -> DataFrame:
+def near_rows(own: DataFrame, join: Join) -> DataFrame:
     """The postings that can be half of a linked pair, with hub, the row with the least place of their token."""
+    found = materialize(postings(own, join), "join-postings")
     best = (found.groupBy("token").agg(F.min(F.struct("place", "n", "rep")).alias("hub"), F.count("*").alias("rows"))
             .filter("rows > 1"))
     fits = join.places_fit(F.col("n"), F.col("place"), F.col("n") * 2, F.col("hub.place"))
-    return found.join(best, "token").filter((F.col("rep") == F.col("hub.rep")) | fits).select("token", "rep", "n", "place", "hub")
+    near = found.join(best, "token").filter((F.col("rep") == F.col("hub.rep")) | fits).select("token", "rep", "n", "place", "hub")
+    near = materialize(near, "join-near")
+    discard(found)
+    return near
 
 
 def with_hub(near: DataFrame, join: Join) -> DataFrame:
@@ -146,35 +166,33 @@ def with_hub(near: DataFrame, join: Join) -> DataFrame:
 
 def unsettled(near: DataFrame, links: DataFrame) -> DataFrame:
     """near with part, the component by the links so far, for tokens whose rows are in several parts."""
-    parts = components(links).withColumnRenamed("id", "rep")
+    parts = small(components(links)).withColumnRenamed("id", "rep")
     marked = near.join(parts, "rep", "left").select("token", "rep", "n", "place", F.coalesce("component", "rep").alias("part"))
     marked = materialize(marked, "join-marked")
-    mixed = marked.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
-    return marked.join(mixed, "token", "left_semi")
+    mixed_tokens = marked.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
+    return marked.join(small(materialize(mixed_tokens, "join-mixed")), "token", "left_semi")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """The pairs (u, v) of representatives that share prefix tokens in the other orders and are linked."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    chosen = docs.filter("doc_id is not null").join(ids, "doc_id").select("doc_id", token_set(text_of(), join.width).alias("tokens"))
-    length = lambda t: join.prefix(F.size(t))
-    sets = materialize(chosen.select("doc_id", "tokens", other_order(F.col("tokens"), 2, length(F.col("tokens"))).alias("second"),
-                                     other_order(F.col("tokens"), 3, length(F.col("tokens"))).alias("third")), "join-tokens")
+    ids = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "join-ids")
+    chosen = docs.filter("doc_id is not null").join(small(ids), "doc_id")
+
+    def columns(sets):
+        first = lambda seed: lists([other_order(t, seed, join.prefix_of(len(t))) for t in sets])
+        return [lists(sets), first(2), first(3)]
+
+    sets = materialize(with_sets(chosen, join, "tokens array<long>, second array<long>, third array<long>", columns), "join-tokens")
     filters = sets.select("doc_id", "second", "third")
     a, b = filters.alias("a"), filters.alias("b")
     passed = (pairs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id"))
               .filter(F.arrays_overlap("a.second", "b.second") & F.arrays_overlap("a.third", "b.third")).select("u", "v").distinct())
     a, b = sets.select("doc_id", "tokens").alias("a"), sets.select("doc_id", "tokens").alias("b")
     shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    return (passed.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id"))
-            .filter(join.linked(shared, F.size("a.tokens"), F.size("b.tokens"))).select("u", "v").distinct())
-
-
-def _first_by(tokens: np.ndarray, mix: int, length: int) -> np.ndarray:
-    """Those of the tokens that another order ranks first."""
-    mixed = (tokens.astype(np.uint64) ^ np.uint64(mix)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    return tokens[np.argsort(mixed * np.uint64(0xBF58476D1CE4E5B9), kind="stable")[:length]]
+    links = materialize(passed.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id"))
+                        .filter(join.linked(shared, F.size("a.tokens"), F.size("b.tokens"))).select("u", "v").distinct(), "join-links")
+    discard(ids, sets)
+    return links
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -195,17 +213,16 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 def _links_in_block(join: Join):
     def found(table: pa.Table) -> pa.Table:
         reps, parts, blocks = (table[c].to_numpy() for c in ("rep", "part", "block"))
-        sets = [np.array(x, np.int64) for x in table["tokens"].to_pylist()]
+        sets = arrays(table["tokens"])
         n = np.array([len(x) for x in sets])
         one_block = table["i"][0].as_py() == table["j"][0].as_py()
         ok = (reps[:, None] < reps[None]) & (parts[:, None] != parts[None])
         ok &= np.minimum(n[:, None], n[None]) * join.den >= np.maximum(n[:, None], n[None]) * join.num
         if not one_block:
             ok &= blocks[:, None] != blocks[None]
-        first = [int(k - -(-k * join.num // join.den) + 1) for k in n]
-        for mix in (2, 3):
+        for seed in (2, 3):
             if ok.any():
-                ok &= _common([_first_by(x, mix, k) for x, k in zip(sets, first)]) > 0
+                ok &= _common([other_order(x, seed, join.prefix_of(len(x))) for x in sets]) > 0
         u, v = np.nonzero(ok)
         if len(u):
             shared = _common(sets)[u, v]
@@ -227,10 +244,9 @@ def block_links(rest: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     clusters = components(near).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     clusters = materialize(clusters, "join-clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = (rest.select("rep", "part").distinct().join(clusters, "rep").join(sizes, "cluster")
-               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
-    sets = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep").select(
-        "rep", "part", "cluster", "block", "blocks", token_set(text_of(), join.width).alias("tokens"))
+    members = materialize(rest.select("rep", "part").distinct().join(clusters, "rep").join(sizes, "cluster")
+                          .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "join-members")
+    sets = token_sets(docs.select(F.col("doc_id").alias("rep"), "text").join(small(members), "rep"), join)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("rep", "part", "cluster", "block", "tokens", other).select(
         "rep", "part", "cluster", "block", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -239,34 +255,38 @@ def block_links(rest: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
 
 def _open_links(docs: DataFrame, open_ids: DataFrame, met: DataFrame, links: DataFrame, join: Join) -> DataFrame:
     """Links among the classes left open, but for pairs that have met."""
-    own = (docs.join(open_ids, "doc_id").select(F.col("doc_id").alias("rep"), token_set(text_of(), join.width).alias("first"))
-           .select("rep", F.xxhash64("first").alias("h1"), F.size("first").alias("n"), "first").dropDuplicates(["rep", "h1"]))
-    near = materialize(near_rows(postings(materialize(own, "join-classes"), join, 2**63 - 1), join), "join-near")
-    again = materialize(with_hub(near, join).join(met, ["u", "v"], "left_anti"), "join-met")
-    more = materialize(verified(again, docs, join), "join-links")
+    own = token_sets(docs.join(small(open_ids), "doc_id").select(F.col("doc_id").alias("rep"), "text"), join)
+    own = own.select("rep", F.xxhash64("tokens").alias("h1"), F.size("tokens").alias("n"), F.size("tokens").alias("n_low"), F.col("tokens").alias("first"))
+    own = materialize(own.dropDuplicates(["rep", "h1"]), "join-own")
+    near = near_rows(own, join)
+    discard(own)
+    again = materialize(with_hub(near, join).join(small(met), ["u", "v"], "left_anti"), "join-met")
+    more = verified(again, docs, join)
     rest = materialize(unsettled(near, links.union(more)), "join-rest")
+    discard(near, again)
     return more if rest.isEmpty() else more.union(block_links(rest, docs, join))
 
 
 def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = classes(docs, join)
-    reps = materialize(representatives(rows), "join-reps")
-    own = (rows.join(able(reps, join).withColumn("doc_id", F.col("rep")), ["h1", "h2", "n", "doc_id"])
-           .dropDuplicates(["doc_id", "h1", "h2"]).select("rep", "h1", "n", "first"))
-    near = materialize(near_rows(postings(materialize(own, "join-classes"), join, join.low), join), "join-near")
+    rows = document_sets(docs, join)
+    own = materialize(classes(rows), "join-classes")
+    near = near_rows(own.filter(able(F.col("n"), join)), join)
     met = materialize(with_hub(near, join), "join-met")
-    links = materialize(verified(met, docs, join), "join-links")
+    links = verified(met, docs, join)
     # tokens with a row that is not linked to their hub are ranked anew, with all tokens counted among what is left open
     known = links.select(F.col("u").alias("a"), F.col("v").alias("b"))
     ends = [F.least("rep", "hub.rep") == F.col("a"), F.greatest("rep", "hub.rep") == F.col("b")]
-    tokens = near.filter(F.col("rep") != F.col("hub.rep")).join(known, ends, "left_anti").select("token").distinct()
-    open_ids = materialize(near.join(tokens, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-open")
+    tokens = materialize(near.filter(F.col("rep") != F.col("hub.rep")).join(small(known), ends, "left_anti").select("token").distinct(), "join-open-tokens")
+    open_ids = materialize(near.join(small(tokens), "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-open")
+    discard(near, tokens)
     if not open_ids.isEmpty():
         links = links.union(_open_links(docs, open_ids, met, links, join))
-    same = rows.join(reps, ["h1", "h2", "n"]).filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    same = (rows.filter("n > 0").join(own.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).filter("doc_id <> rep")
+            .select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     parts = components(links.union(same))
+    discard(met, own, open_ids)
     return (rows.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
