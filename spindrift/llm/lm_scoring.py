@@ -1,30 +1,31 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Words and pairs of neighbouring words are counted over all documents, every
-word and every pair. A pair's score is its count over its first word's; a pair
-counted less than ``least`` times backs off to 0.4 times its second word's
-share of all words. A document's score is the mean of its words' logarithmic
-scores. As the corpus scores itself, each of its pairs is counted at least
-once, and a pair met once would vouch for itself: hence ``least``.
-
-A word is known by a 64-bit hash and a pair by those of its words, 128 bits. A
-document's words, and its pairs, are exploded as one row for each distinct one
-with its number. Words and pairs are counted by themselves, combined on the map
-side and dealt by the word or pair. Each word's backed-off score is joined to
-the exploded words; each pair counted often enough has the difference of its
-score from that, which is joined to the exploded pairs and added. So pairs that
-back off are counted but need no row of their own in a join. Pairs meet their
-scores for a part of the documents after another, so that the disk holds the
-exploded pairs of one part at a time. A word or pair
-that a third of all rows hold is one row a task in the counts, and adaptive
-execution splits its join. All tables are in the shared folder, and nothing but
-two sums goes to the driver, unless ``size`` bounds the vocabulary to its most
-frequent words and makes all others one unknown word.
-
-Defined results: rows that share a doc_id (null is one too) are one document;
-null and empty texts have no words, and a document without words a null
-score; equally frequent words enter a bounded vocabulary by their hash; an
-empty table gives an empty result; columns other than doc_id and text are ignored.
+Words and pairs of neighbouring words are counted over all documents: every
+word and every pair, those met once too, in tables dealt by their hashes. As
+the corpus scores itself, and a text would vouch for each of its own pairs,
+every text is scored by the counts of all other texts, which are those of the
+corpus less its own. A pair's score is its count over its first word's; a pair
+that no other text has backs off to 0.4 times its second word's share of all
+words of the corpus, where a word that no other text has counts as half a
+word. A document's
+score is the mean of its words' logarithmic scores.
+
+A word is known by a 64-bit hash and a pair by those of its words. Each text's
+distinct words and pairs are exploded as one row each, with their number in
+the text and those of the words that their score needs. They are combined
+within batches and on the map side before the shuffle that counts them, and
+exploded anew, a part of the documents after another, to be joined to the
+counts by a 64-bit key, as writing them in between would cost more disk than
+the input; two keys of a corpus of 10^12 pairs are equal with a chance of
+10^-8 each. Pairs counted once in all are no other text's, so the join leaves
+them out without changing a score. A word or pair that a third of all rows
+hold is one row a batch in the counts, and adaptive execution splits its join.
+All tables are in the shared folder; the driver learns one sum.
+
+Defined results: rows that share a doc_id (null is one too) are texts of their
+own and vouch for one another, and their words make one mean; null and empty
+texts have no words, and a document without words a null score; an empty table
+gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,86 +34,121 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import SPACE, documents, materialize, text_of, words_of
+from spindrift.llm.common import discard, documents, materialize
+from spindrift.llm.shingling import binary_texts, mixed, word_hashes
 
 BACKOFF = 0.4
-LEAST = 2
-#: Parts of the documents whose exploded pairs are shuffled one after another.
+#: What a word counts that no other text has.
+UNSEEN = 0.5
+#: Parts of the documents whose exploded words and pairs are shuffled one after another.
 PARTS = 4
-#: Stand for the unknown word and for a text's start among the words' hashes.
-UNKNOWN, START = 1, 0
+#: Rows whose words and pairs are combined before they leave a worker.
+ROWS = 2048
+#: Stands for a text's start among the words' hashes.
+START = 0x5BD1E9955BD1E995
 
 
-def word_hashes(docs: DataFrame) -> DataFrame:
-    words = F.transform(words_of(text_of()), lambda w: F.xxhash64(w))
-    return docs.select("doc_id", words.alias("words"))
+def _positions(column: pa.Array):
+    """For each word of a batch: its row, its hash and that of the word before it; and whether it is a text's first."""
+    texts = [word_hashes(t) for t in binary_texts(column)]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    word = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+    first = np.r_[True, row[1:] != row[:-1]][:len(row)]
+    before = np.where(first, np.uint64(START), np.r_[word[:1], word[:-1]])
+    return row, word, before, first
 
 
-def vocabulary(hashed: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the most frequent words, in order."""
-    counts = hashed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return np.array(sorted(r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()), np.int64)
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """before, rotated by one bit, exclusive or word; pair_key() is the same on columns."""
+    return ((before << np.uint64(1)) | (before >> np.uint64(63))) ^ word
 
 
-def _rows(known: np.ndarray | None, pairs: bool):
-    """doc_id, first, second and n of each text's distinct pairs, or doc_id, word and n of its words.
+def pair_key(before: Column, word: Column) -> Column:
+    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(word)
 
-    In each batch equal ones stand together, which packs their hashes well.
-    """
 
-    def explode(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]]
-            ends = ends - ends[0]
-            if known is not None:
-                flat = np.where(np.isin(flat, known), flat, UNKNOWN)
-            words, key = np.unique(np.r_[np.int64(START), flat], return_inverse=True)
-            start, key = key[0], key[1:].astype(np.int64)
-            if pairs:
-                before = np.r_[start, key[:-1]][:len(key)]
-                before[ends[:-1][ends[:-1] < ends[1:]]] = start
-                key = before * len(words) + key
-            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            order = np.argsort(key, kind="stable")  # rows of a key stay in order
-            key, row = key[order], row[order]
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][:len(key)])
-            count = pa.array(np.diff(np.r_[new, len(key)]).astype(np.int32))
-            doc_id, key = batch.column(0).take(pa.array(row[new])), key[new]
-            columns = {"first": words[key // len(words)], "second": words[key % len(words)]} if pairs else {"word": words[key]}
-            yield pa.RecordBatch.from_arrays([doc_id, *map(pa.array, columns.values()), count], ["doc_id", *columns, "n"])
-    return explode
-
-
-def score(docs: DataFrame, size: int | None = None, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+def _counts(batches):
+    """first, second and n of each batch's distinct pairs; first is null for single words, a text's start among them."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            _, word, before, first = _positions(whole.slice(at, ROWS).column(0))
+            alone, n1 = np.unique(np.r_[word, before[first]], return_counts=True)
+            _, where, n2 = np.unique(_pair_keys(before, word), return_index=True, return_counts=True)
+            null = np.r_[np.ones(len(alone), bool), np.zeros(len(where), bool)]
+            firsts = np.r_[alone, before[where]].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(firsts, mask=null), _longs(np.r_[alone, word[where]]), pa.array(np.r_[n1, n2].astype(np.int64))],
+                ["first", "second", "n"])
+
+
+def _exploded(batches):
+    """doc_id, key, n, own and own_first: each text's distinct words and pairs.
+
+    own is how often the text has the (second) word, own_first how often it
+    has the first one, 0 for single words.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            row, word, before, first = _positions(batch.column(1))
+            of_row = mixed(row + 1)
+            _, where1, same1, n1 = np.unique(mixed(word) ^ of_row, return_index=True, return_inverse=True, return_counts=True)
+            own = n1[same1]
+            own_first = np.where(first, 1, np.r_[own[:1], own[:-1]])
+            key = _pair_keys(before, word)
+            _, where2, n2 = np.unique(mixed(key) ^ of_row, return_index=True, return_counts=True)
+            order = np.argsort(np.r_[word[where1], key[where2]], kind="stable")  # equal keys together pack well
+            take = np.r_[where1, where2][order]
+            n = np.r_[n1, n2][order]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[take])), _longs(np.r_[word[where1], key[where2]][order]), pa.array(n.astype(np.int32)),
+                 pa.array(own[take].astype(np.int32)), pa.array(np.r_[np.zeros(len(where1), int), own_first[where2]][order].astype(np.int32))],
+                ["doc_id", "key", "n", "own", "own_first"])
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """first, second and count of every pair of neighbouring words, and, with a null first, of every word."""
+    found = docs.select("text").mapInArrow(_counts, "first long, second long, n long")
+    return found.groupBy("first", "second").agg(F.sum("n").alias("count"))
+
+
+def score(docs: DataFrame, backoff: float = BACKOFF, unseen: float = UNSEEN) -> DataFrame:
     """doc_id, n_words and score of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = word_hashes(docs)
-    known = None if size is None else vocabulary(hashed, size)
-    words = hashed.mapInArrow(_rows(known, False), "doc_id long, word long, n int")
-    pairs_of = lambda part: part.mapInArrow(_rows(known, True), "doc_id long, first long, second long, n int")
-    single = materialize(words.groupBy("word").agg(F.sum("n").alias("all")), "lm-words")
-    total = single.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
-    starts = docs.filter(F.col("text").rlike(f"[^{SPACE}]")).count()
-    backed = F.log("all") + float(np.log(backoff) - np.log(max(total, 1)))
-    often = materialize(pairs_of(hashed).groupBy("first", "second").agg(F.sum("n").alias("count")).filter(F.col("count") >= least), "lm-pairs")
-    of_first = single.select(F.col("word").alias("first"), F.col("all").alias("all_first"))
-    more = F.log("count") - F.log(F.coalesce("all_first", F.lit(starts))) - backed
-    gain = materialize(often.join(single.withColumnRenamed("word", "second"), "second").join(of_first, "first", "left")
-                       .select("first", "second", more.alias("more")), "lm-gains")
-    of_pairs = []
+    # pairs met once are counted, and left out where the counts are joined, as no other text has them
+    table = materialize(counts(docs).filter("first is null or count > 1"), "lm-counts")
+    start = int(np.uint64(START).astype(np.int64))
+    words = table.filter("first is null").select("second", F.col("count").alias("all"))
+    total = words.filter(F.col("second") != start).agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    pairs = (table.filter("first is not null")
+             .join(words.withColumnRenamed("all", "all_second"), "second")
+             .join(words.select(F.col("second").alias("first"), F.col("all").alias("all_first")), "first")
+             .select(pair_key(F.col("first"), F.col("second")).alias("key"), "count", "all_first", "all_second"))
+    none = F.lit(None).cast("long")
+    model = materialize(words.select(F.col("second").alias("key"), none.alias("count"), none.alias("all_first"),
+                                     F.col("all").alias("all_second")).union(pairs), "lm-model")
+    others = F.greatest(F.col("all_second") - F.col("own"), F.lit(float(unseen)))
+    backed = F.log(others) + float(np.log(backoff) - np.log(max(total, 1)))
+    alone = F.col("count").isNull()
+    more = F.log(F.col("count") - F.col("n")) - F.log(F.col("all_first") - F.col("own_first")) - backed
+    sums = [docs.select("doc_id", F.lit(0).alias("n_words"), F.lit(None).cast("double").alias("sum"))]
     for k in range(PARTS):
-        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k)
-        met = pairs_of(word_hashes(part)).join(gain, ["first", "second"])
-        of_pairs.append(materialize(met.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("more")).alias("sum")), "lm-sums").withColumn("n", F.lit(0)))
-    of_words = words.join(single.select("word", backed.alias("value")), "word").select("doc_id", "n", (F.col("n") * F.col("value")).alias("sum"))
-    none = docs.select("doc_id", F.lit(0).alias("n"), F.lit(None).cast("double").alias("sum"))
-    parts = functools.reduce(DataFrame.unionByName, [none, of_words, *of_pairs])
-    return (parts.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_words"), F.sum("sum").alias("sum"))
+        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k).mapInArrow(
+            _exploded, "doc_id long, key long, n int, own int, own_first int")
+        met = part.join(model.hint("shuffle_hash"), "key").filter("count is null or count > n")
+        sums.append(materialize(met.groupBy("doc_id").agg(
+            F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("n_words"),
+            F.sum(F.col("n") * F.when(alone, backed).otherwise(more)).alias("sum")), "lm-sums"))
+    discard(table, model)
+    return (functools.reduce(DataFrame.union, sums).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("sum").alias("sum"))
             .select("doc_id", "n_words", F.round(F.col("sum") / F.col("n_words"), 6).alias("score")))
 
 

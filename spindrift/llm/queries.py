@@ -27,6 +27,19 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_lm_scoring": """
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS list FROM documents),
+        words AS (SELECT doc_id, unnest(list) AS word, generate_subscripts(list, 1) AS pos FROM texts),
+        pairs AS (SELECT doc_id, word, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), '') AS before FROM words),
+        own1 AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL UNION ALL SELECT DISTINCT doc_id, '', 1 FROM words),
+        own2 AS (SELECT doc_id, before, word, count(*) AS n FROM pairs GROUP BY ALL),
+        all1 AS (SELECT word, sum(n) AS n FROM own1 GROUP BY ALL), all2 AS (SELECT before, word, sum(n) AS n FROM own2 GROUP BY ALL),
+        scored AS (SELECT p.doc_id, p.n, CASE WHEN b.n > p.n THEN ln((b.n - p.n) / (f.n - fo.n))
+                ELSE ln(0.4 * greatest(s.n - so.n, 0.5) / (SELECT count(*) FROM words)) END AS score
+            FROM own2 p JOIN all2 b USING (before, word) JOIN all1 f ON f.word = p.before JOIN own1 fo ON fo.doc_id = p.doc_id AND fo.word = p.before
+            JOIN all1 s ON s.word = p.word JOIN own1 so ON so.doc_id = p.doc_id AND so.word = p.word)
+        SELECT doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_words, round(sum(n * score) / sum(n), 6) AS score
+        FROM documents LEFT JOIN scored USING (doc_id) GROUP BY doc_id""",
     "op9_line_dedup": """
         WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM texts),

@@ -17,34 +17,40 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def test_lm_scores(spark, docs):
-    rows = [(r.doc_id, ["<s>", *words(r.text)]) for r in docs.collect()]
-    got = {r.doc_id: r for r in lm_scoring.score(docs, size=10**6).collect()}
-    single = collections.Counter(w for _, t in rows for w in t)
-    pairs = collections.Counter(p for _, t in rows for p in zip(t, t[1:]))
-    total = sum(single.values()) - single["<s>"]
-    for i, t in rows:
-        wanted = sum(math.log(pairs[p] / single[p[0]]) if pairs[p] >= 2 else math.log(0.4 * single[p[1]] / total) for p in zip(t, t[1:])) / (len(t) - 1)
-        assert got[i].n_words == len(t) - 1 and abs(got[i].score - wanted) < 2e-6
+def brute_scores(rows):
+    """Stupid backoff of each text by the counts of all others."""
+    one = [(i, w, collections.Counter(["<s>", *w] if w else []), collections.Counter(zip(["<s>", *w], w))) for i, w in rows]
+    single, pairs = sum((x[2] for x in one), collections.Counter()), sum((x[3] for x in one), collections.Counter())
+    total, found = sum(single.values()) - single["<s>"], {}
+    for i, w, own, own2 in one:
+        each = [math.log((pairs[p] - own2[p]) / (single[p[0]] - own[p[0]])) if pairs[p] > own2[p]
+                else math.log(0.4 * max(0.5, single[p[1]] - own[p[1]]) / total) for p in zip(["<s>", *w], w)]
+        found[i] = (len(w), sum(each) / len(each) if each else None)
+    return found
+
+
+def test_lm_scores(spark, sf, docs):
+    wanted = brute_scores([(r.doc_id, words(r.text)) for r in docs.collect()])
+    got = queries.QUERIES["op4_lm_scoring"](spark, sf).collect()
+    assert len(got) == len(wanted)
+    for r in got:
+        assert r.n_words == wanted[r.doc_id][0] and abs(r.score - wanted[r.doc_id][1]) < 2e-6
 
 
 def test_lm_scores_of_odd_rows(odd, none):
     got = {r.doc_id: r for r in lm_scoring.score(odd).collect()}
-    assert len(got) == 17 and got[0].score is None and got[0].n_words == 0 and got[4].n_words == 1
+    assert len(got) == 22 and got[0].score is None and got[0].n_words == 0 and got[4].n_words == 1 and got[7].n_words == 18
     assert lm_scoring.score(none).count() == 0
 
 
 def test_lm_scores_know_words_past_any_rank(spark):
-    """20,000 equally frequent words: each of the pairs is met twice, and none is an unknown word."""
-    rows = [(i, " ".join(f"w{i * 100 + k}" for k in range(100))) for i in range(200)]
-    rows += [(200 + i, t) for i, t in rows] + [(400, " ".join(f"w{k}" for k in range(19_999, 0, -100)))]
-    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    single = collections.Counter(w for _, t in rows for w in ["<s>", *t.split()])
-    pairs = collections.Counter(p for _, t in rows for p in zip(["<s>", *t.split()], t.split()))
-    total = sum(single.values()) - single["<s>"]
-    for i, t in rows:
-        each = [math.log(pairs[p] / single[p[0]]) if pairs[p] >= 2 else math.log(0.4 * single[p[1]] / total) for p in zip(["<s>", *t.split()], t.split())]
-        assert abs(got[i].score - sum(each) / len(each)) < 2e-6
+    """20,000 equally frequent words, every pair met in two texts; a text alone backs off throughout."""
+    rows = [(i, [f"w{i * 100 + k}" for k in range(100)]) for i in range(200)]
+    rows += [(200 + i, t) for i, t in rows] + [(400, [f"w{k}" for k in range(19_999, 0, -100)]), (401, ["new", "words"])]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got, wanted = {r.doc_id: r for r in lm_scoring.score(table).collect()}, brute_scores(rows)
+    assert all(got[i].n_words == n and abs(got[i].score - s) < 2e-6 for i, (n, s) in wanted.items())
+    assert min(got[i].score for i in range(400)) > max(got[400].score, got[401].score)
 
 
 def brute_join(rows, width, num):
