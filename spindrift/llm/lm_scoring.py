@@ -10,17 +10,17 @@ words of the corpus, where a word that no other text has counts as half a
 word. A document's
 score is the mean of its words' logarithmic scores.
 
-A word is known by a 64-bit hash and a pair by those of its words. Each text's
-distinct words and pairs are exploded as one row each, with their number in
-the text and those of the words that their score needs. They are combined
-within batches and on the map side before the shuffle that counts them, and
-exploded anew, a part of the documents after another, to be joined to the
-counts by a 64-bit key, as writing them in between would cost more disk than
-the input; two keys of a corpus of 10^12 pairs are equal with a chance of
-10^-8 each. Pairs counted once in all are no other text's, so the join leaves
-them out without changing a score. A word or pair that a third of all rows
-hold is one row a batch in the counts, and adaptive execution splits its join.
-All tables are in the shared folder; the driver learns one sum.
+A word is known by a 64-bit hash and a pair by those of its words. Words and
+pairs are combined within batches of texts and on the map side, and counted
+dealt by their hashes. Then they are exploded anew, to be joined to the counts:
+a batch's word is one row with its documents, a text's pair one row with its
+number and those of its words, a part of the documents after another. Writing
+them in between would take more disk than the input. Pairs are joined by a
+64-bit key; among 10^12 pairs one equals some other with a chance of 10^-7.
+Pairs counted once in all are no other text's, so that join needs no row of
+theirs. A word or pair that a third of all rows hold is one row a batch in the
+counts, and adaptive execution splits its join. All tables are in the shared
+folder; the driver learns two sums.
 
 Defined results: rows that share a doc_id (null is one too) are texts of their
 own and vouch for one another, and their words make one mean; null and empty
@@ -37,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import discard, documents, materialize
+from spindrift.llm.common import SPACE, discard, documents, materialize
 from spindrift.llm.shingling import binary_texts, mixed, word_hashes
 
 BACKOFF = 0.4
 #: What a word counts that no other text has.
 UNSEEN = 0.5
-#: Parts of the documents whose exploded words and pairs are shuffled one after another.
-PARTS = 4
+#: Parts of the documents whose exploded pairs are shuffled one after another.
+PARTS = 2
 #: Rows whose words and pairs are combined before they leave a worker.
 ROWS = 2048
 #: Stands for a text's start among the words' hashes.
@@ -75,79 +75,100 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _counts(batches):
-    """first, second and n of each batch's distinct pairs; first is null for single words, a text's start among them."""
+def _slices(batches, size: int = ROWS):
     for whole in batches:
-        for at in range(0, whole.num_rows, ROWS):
-            _, word, before, first = _positions(whole.slice(at, ROWS).column(0))
-            alone, n1 = np.unique(np.r_[word, before[first]], return_counts=True)
-            _, where, n2 = np.unique(_pair_keys(before, word), return_index=True, return_counts=True)
-            null = np.r_[np.ones(len(alone), bool), np.zeros(len(where), bool)]
-            firsts = np.r_[alone, before[where]].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(firsts, mask=null), _longs(np.r_[alone, word[where]]), pa.array(np.r_[n1, n2].astype(np.int64))],
-                ["first", "second", "n"])
-
-
-def _exploded(batches):
-    """doc_id, key, n, own and own_first: each text's distinct words and pairs.
-
-    own is how often the text has the (second) word, own_first how often it
-    has the first one, 0 for single words.
-    """
-    for whole in batches:
-        for at in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(at, ROWS)
-            row, word, before, first = _positions(batch.column(1))
-            of_row = mixed(row + 1)
-            _, where1, same1, n1 = np.unique(mixed(word) ^ of_row, return_index=True, return_inverse=True, return_counts=True)
-            own = n1[same1]
-            own_first = np.where(first, 1, np.r_[own[:1], own[:-1]])
-            key = _pair_keys(before, word)
-            _, where2, n2 = np.unique(mixed(key) ^ of_row, return_index=True, return_counts=True)
-            order = np.argsort(np.r_[word[where1], key[where2]], kind="stable")  # equal keys together pack well
-            take = np.r_[where1, where2][order]
-            n = np.r_[n1, n2][order]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[take])), _longs(np.r_[word[where1], key[where2]][order]), pa.array(n.astype(np.int32)),
-                 pa.array(own[take].astype(np.int32)), pa.array(np.r_[np.zeros(len(where1), int), own_first[where2]][order].astype(np.int32))],
-                ["doc_id", "key", "n", "own", "own_first"])
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """first, second and count of every pair of neighbouring words, and, with a null first, of every word."""
-    found = docs.select("text").mapInArrow(_counts, "first long, second long, n long")
+        for at in range(0, whole.num_rows, size):
+            yield whole.slice(at, size)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _words(batches):
+    """word and n of each batch's distinct words."""
+    for batch in _slices(batches):
+        word, n = np.unique(_positions(batch.column(0))[1], return_counts=True)
+        yield _batch(word=_longs(word), n=_longs(n))
+
+
+def _pairs(batches):
+    """first, second and n of each batch's distinct pairs."""
+    for batch in _slices(batches):
+        _, word, before, _ = _positions(batch.column(0))
+        _, where, n = np.unique(_pair_keys(before, word), return_index=True, return_counts=True)
+        yield _batch(first=_longs(before[where]), second=_longs(word[where]), n=_longs(n))
+
+
+def _own_words(batches):
+    """word, docs and ns: each of a batch's words with its documents and its number in each of them."""
+    for batch in _slices(batches):
+        row, word, _, _ = _positions(batch.column(1))
+        order = np.lexsort((row, word))
+        row, word = row[order], word[order]
+        new_word = np.r_[True, word[1:] != word[:-1]][:len(word)]
+        new = np.flatnonzero(new_word | np.r_[True, row[1:] != row[:-1]][:len(row)])
+        starts = np.flatnonzero(new_word[new])
+        ends = pa.array(np.r_[starts, len(new)].astype(np.int32))
+        docs, ns = batch.column(0).take(pa.array(row[new])), pa.array(np.diff(np.r_[new, len(word)]).astype(np.int32))
+        yield _batch(word=_longs(word[new][starts]), docs=pa.ListArray.from_arrays(ends, docs), ns=pa.ListArray.from_arrays(ends, ns))
+
+
+def _own_pairs(batches):
+    """doc_id, key, n, own and own_first: each text's distinct pairs, and how often it has the second and the first word."""
+    for batch in _slices(batches):
+        row, word, before, first = _positions(batch.column(1))
+        of_row = mixed(row + 1)
+        same, n = np.unique(mixed(word) ^ of_row, return_inverse=True, return_counts=True)[1:]
+        own = n[same]
+        own_first = np.where(first, 1, np.r_[own[:1], own[:-1]])
+        key = _pair_keys(before, word)
+        where, n = np.unique(mixed(key) ^ of_row, return_index=True, return_counts=True)[1:]
+        yield _batch(doc_id=batch.column(0).take(pa.array(row[where])), key=_longs(key[where]), n=pa.array(n.astype(np.int32)),
+                     own=pa.array(own[where].astype(np.int32)), own_first=pa.array(own_first[where].astype(np.int32)))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and count of every word."""
+    return docs.select("text").mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("count"))
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """first, second and count of every pair of neighbouring words; a text's first word follows START."""
+    found = docs.select("text").mapInArrow(_pairs, "first long, second long, n long")
     return found.groupBy("first", "second").agg(F.sum("n").alias("count"))
 
 
 def score(docs: DataFrame, backoff: float = BACKOFF, unseen: float = UNSEEN) -> DataFrame:
     """doc_id, n_words and score of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # pairs met once are counted, and left out where the counts are joined, as no other text has them
-    table = materialize(counts(docs).filter("first is null or count > 1"), "lm-counts")
-    start = int(np.uint64(START).astype(np.int64))
-    words = table.filter("first is null").select("second", F.col("count").alias("all"))
-    total = words.filter(F.col("second") != start).agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
-    pairs = (table.filter("first is not null")
-             .join(words.withColumnRenamed("all", "all_second"), "second")
-             .join(words.select(F.col("second").alias("first"), F.col("all").alias("all_first")), "first")
-             .select(pair_key(F.col("first"), F.col("second")).alias("key"), "count", "all_first", "all_second"))
-    none = F.lit(None).cast("long")
-    model = materialize(words.select(F.col("second").alias("key"), none.alias("count"), none.alias("all_first"),
-                                     F.col("all").alias("all_second")).union(pairs), "lm-model")
-    others = F.greatest(F.col("all_second") - F.col("own"), F.lit(float(unseen)))
-    backed = F.log(others) + float(np.log(backoff) - np.log(max(total, 1)))
-    alone = F.col("count").isNull()
-    more = F.log(F.col("count") - F.col("n")) - F.log(F.col("all_first") - F.col("own_first")) - backed
-    sums = [docs.select("doc_id", F.lit(0).alias("n_words"), F.lit(None).cast("double").alias("sum"))]
+    words = materialize(word_counts(docs), "lm-words")
+    total = words.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    starts = docs.filter(F.col("text").rlike(f"[^{SPACE}]")).count()
+    # pairs met once are counted too, and then left out, as no other text has them
+    often = materialize(pair_counts(docs).filter("count > 1"), "lm-pairs")
+    pairs = (often.join(words.select(F.col("word").alias("second"), F.col("count").alias("all_second")), "second")
+             .join(words.select(F.col("word").alias("first"), F.col("count").alias("all_first")), "first", "left")
+             .select(pair_key(F.col("first"), F.col("second")).alias("key"), "count",
+                     F.coalesce("all_first", F.lit(starts)).alias("all_first"), "all_second"))
+    model = materialize(pairs, "lm-model")
+    discard(often)
+
+    def backed(own: str, count: str) -> Column:
+        others = F.greatest(F.col(count) - F.col(own), F.lit(float(unseen)))
+        return F.log(others) + float(np.log(backoff) - np.log(max(total, 1)))
+
+    own = docs.mapInArrow(_own_words, "word long, docs array<long>, ns array<int>").join(words.hint("shuffle_hash"), "word")
+    own = own.select("count", F.explode(F.arrays_zip("docs", "ns")).alias("x")).select("count", F.col("x.docs").alias("doc_id"), F.col("x.ns").alias("n"))
+    sums = [docs.select("doc_id", F.lit(0).alias("n_words"), F.lit(None).cast("double").alias("sum")),
+            materialize(own.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * backed("n", "count")).alias("sum")), "lm-sums")]
+    more = F.log(F.col("count") - F.col("n")) - F.log(F.col("all_first") - F.col("own_first")) - backed("own", "all_second")
     for k in range(PARTS):
-        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k).mapInArrow(
-            _exploded, "doc_id long, key long, n int, own int, own_first int")
-        met = part.join(model.hint("shuffle_hash"), "key").filter("count is null or count > n")
-        sums.append(materialize(met.groupBy("doc_id").agg(
-            F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("n_words"),
-            F.sum(F.col("n") * F.when(alone, backed).otherwise(more)).alias("sum")), "lm-sums"))
-    discard(table, model)
+        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k)
+        part = part.mapInArrow(_own_pairs, "doc_id long, key long, n int, own int, own_first int")
+        met = part.join(model.hint("shuffle_hash"), "key").filter("count > n")
+        sums.append(materialize(met.groupBy("doc_id").agg(F.lit(0).alias("n_words"), F.sum(F.col("n") * more).alias("sum")), "lm-sums"))
+    discard(words, model)
     return (functools.reduce(DataFrame.union, sums).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("sum").alias("sum"))
             .select("doc_id", "n_words", F.round(F.col("sum") / F.col("n_words"), 6).alias("score")))
 
