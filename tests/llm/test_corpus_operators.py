@@ -232,11 +232,29 @@ def test_mixing(spark, sf, docs):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.QUERIES["op10_mixing"](spark, sf).collect()))
 
 
+def test_mixing_in_rounds_and_without_broadcast(spark, docs, monkeypatch):
+    rows = docs.select("doc_id", "source", "text")
+    sizes = mixing.materialize(mixing.sizes_of(rows), "test")
+    plain = sorted(map(tuple, mixing.plan(sizes).collect()), key=str)
+    monkeypatch.setattr(mixing, "LAST", 1)
+    monkeypatch.setattr(mixing, "BUCKET_BITS", 2)
+    plan = mixing.plan(sizes)
+    assert [(r[0], r[1], r[3]) for r in sorted(map(tuple, plan.collect()), key=str)] == [(r[0], r[1], r[3]) for r in plain]
+    counts = {most: sorted((r._row.doc_id, r.copies) for r in mixing.with_copies(rows, plan, mixing.draw(), most).collect()) for most in (0, 10**6)}
+    assert counts[0] == counts[10**6] and len(counts[0]) == docs.count()
+    taken = collections.Counter()
+    for r in mixing.with_copies(sizes, plan, F.col("draw")).collect():
+        taken[r._row.source, r.target] += r.copies * r._row.size
+    assert all(abs(n - target) <= 20_000 for (_, target), n in taken.items())
+
+
 def test_mixing_of_odd_rows(odd, none):
     out = mixing.mix(odd)
     assert out.columns == odd.columns
-    counts = collections.Counter(r.doc_id for r in out.collect())
+    rows = out.collect()
+    counts = collections.Counter(r.doc_id for r in rows)
     assert all(n <= 4 for n in counts.values()) and out.filter("source is null").count() > 0
+    assert all(r.draw in ("draw", None) and r.target in ("target", None) for r in rows)
     assert mixing.mix(none).count() == 0
 
 
