@@ -140,6 +140,18 @@ def test_cuts_are_minimax(spark):
         assert max(sum(sizes[a:b]) for a, b in zip(row.starts, ends)) == row.capacity
 
 
+def test_sharding_is_minimax_over_groups(spark):
+    """Few bits a round, so that cells are split over and over; sizes alike, skewed, and with a group of a third of all."""
+    rng = np.random.default_rng(6)
+    for sizes, bits in (([int(x) for x in rng.integers(1, 50, 900)], 6), ([int(x) for x in rng.pareto(1.1, 500) * 10 + 1], 3), ([5000, *[10] * 1000], 4), ([7], 13)):
+        hashes = sorted(int(x) for x in rng.integers(-2**63, 2**63, len(sizes)))
+        table = spark.createDataFrame(list(zip(hashes, sizes)), "hash long, bytes long")
+        capacity, starts = sharding.minimax(table, 24, bits, 2)
+        assert capacity == least_capacity(sizes, 24) and len(starts) <= 24
+        ends = [*starts[1:], 2**63]
+        assert max(sum(n for h, n in zip(hashes, sizes) if a <= h < b) for a, b in zip(starts, ends)) == capacity
+
+
 def test_sharding(spark, sf, docs, odd, none):
     rows = queries.QUERIES["op6_sharding"](spark, sf).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -151,6 +163,14 @@ def test_sharding(spark, sf, docs, odd, none):
         slots[r.shard].append(r.slot)
     assert all(len(h) == 1 for h in homes.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len(rows) == len(texts)
+    groups = collections.Counter()
+    for t in texts.values():
+        groups[t or ""] += len((t or "").encode()) + 8
+    hashed = spark.createDataFrame(list(groups.items()), "text string, bytes long").orderBy(F.xxhash64("text")).collect()
+    filled = collections.Counter()
+    for r in rows:
+        filled[r.shard] += r.size
+    assert max(filled.values()) == least_capacity([r.bytes for r in hashed], 24)
     assert sharding.shard(odd).count() == odd.count() and sharding.shard(none).count() == 0
 
 
