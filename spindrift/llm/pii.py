@@ -1,23 +1,26 @@
 """Personal data by rules and a skip-chain conditional random field.
 
 Rules find e-mail addresses, IP addresses, card and phone numbers. The field
-then labels the document's tokens that hold a digit or an at sign. Neighbours
-share a chain potential; distant tokens share skip potentials when they repeat
-one another (the same characters, the same digits, or an address's name part)
-or look alike (the same shape). Tokens under a rule's match are fixed, loopy
-message passing spreads their labels over the document, and tokens that end up
-with a label at high probability become further spans. Rules' spans stay.
-
-Of a group of k similar tokens only consecutive ones are joined, k - 1 edges,
-so a document's field grows with its length.
-
-The potentials are trained, by pseudo-likelihood with the rules as labels, on
-about ``sample`` documents chosen by a hash; only those go through the driver.
-Documents are labelled one by one in tasks, without a shuffle.
+then labels every document's tokens that hold a digit or an at sign.
+Neighbours share a chain potential; distant tokens that repeat one another
+(the same characters, the same digits, or an address's name part) or look
+alike (the same shape) share skip potentials. All tokens of such a group are
+joined to one hidden label of the group, so any two are two steps apart, how
+far they stand from one another, and a group of k tokens has k edges. Tokens
+under a rule's match are fixed, loopy message passing runs until no message
+changes, and tokens that end up with a label at high probability become
+further spans. Rules' spans stay.
+
+The potentials are trained by pseudo-likelihood with the rules as labels, on
+about ``sample`` documents chosen by a hash; a token that no rule found but
+that repeats a found one trains nothing. Tasks turn these documents into rows
+of features and labels and Spark counts equal rows, so no text goes through
+the driver. Documents are labelled one by one in tasks, without a shuffle.
 
 Defined results: null and empty texts have no spans; rows are independent, so
 repeated rows get equal spans; with no tokens to train on the rules alone
-count; an empty table gives an empty result; other columns are kept.
+count; an empty table gives an empty result; other columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import documents, text_of
+from spindrift.llm.common import documents, mapped, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that training looks at, about this many, twice this many at most.
+#: Documents that training looks at, about this many.
 SAMPLE = 3000
 #: Probability from which the field's label adds a span.
 SURE = 0.95
-ROUNDS = 8
-ROWS = 512
+#: Rounds of messages at most; they end once none changes by STILL.
+ROUNDS = 300
+STILL = 1e-4
 
 # At signs, digit runs and plus signs are looked for first, which keeps long runs linear.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -49,6 +53,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TELLING = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+DIGITS = re.compile(r"[0-9]+")
 EDGES = "\"'`.,;:!?()[]{}<>#$%&*|=_"
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -63,7 +68,7 @@ def luhn(digits: str) -> bool:
 def valid(kind: str, match: str) -> bool:
     digits = NOT_DIGIT.sub("", match)
     if kind == "ip":
-        return all(len(p) <= 3 or len(p.lstrip("0")) <= 3 for p in match.split(".")) and all(int(p) <= 255 for p in match.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in match.split(".")))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15
@@ -98,9 +103,9 @@ def node_features(token: str) -> list[float]:
     n = len(digits)
     plain = token.strip(EDGES)
     return [1.0, "@" in token, "@" in token and "." in token.rpartition("@")[2], token.count(".") == 3, token[0] == "+",
-            token[0] == "(", "-" in token, plain.isdigit(), any(c.isalpha() for c in token), n <= 2, n == 3, 4 <= n <= 6,
+            token[0] == "(", "-" in token, bool(DIGITS.fullmatch(plain)), any(c.isalpha() for c in token), n <= 2, n == 3, 4 <= n <= 6,
             7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n > 19, 13 <= n <= 19 and luhn(digits),
-            token.count(".") == 3 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in plain.split(".")), len(token) > 20]
+            bool(IP.fullmatch(plain)) and valid("ip", plain), len(token) > 20]
 
 
 class Field:
@@ -119,24 +124,35 @@ class Field:
                     self.labels[k], self.fixed[k] = KINDS.index(kind) + 1, True
                 k += 1
         self.features = np.array([node_features(t) for t in tokens], float).reshape(len(tokens), -1)
-        self.edges = {"chain": [], "same": [], "alike": []}
-        last: dict[tuple[str, str], int] = {}
+        self.chain = [(i - 1, i) for i in range(1, len(tokens)) if not text[self.at[i - 1][1]:self.at[i][0]].strip(" ")]
+        groups: dict[tuple[str, str], list[int]] = {}
         for i, token in enumerate(tokens):
-            if i and text[self.at[i - 1][1]:self.at[i][0]].count(" ") == self.at[i][0] - self.at[i - 1][1]:
-                self.edges["chain"].append((i - 1, i))
             core, digits = token.strip(EDGES).lower(), NOT_DIGIT.sub("", token)
             keys = {("same", core), ("alike", shape(core))} if len(core) >= 4 else set()
             if "@" in core:
                 keys.add(("same", core.partition("@")[0]))
             if len(digits) >= 7:
                 keys |= {("same", digits), ("same", digits[-7:])}
-            for key in sorted(keys):
-                if key in last and last[key] != i:
-                    self.edges[key[0]].append((last[key], i))
-                last[key] = i
+            for key in keys:
+                groups.setdefault(key, []).append(i)
+        self.groups = [(kind, np.array(m)) for (kind, _), m in sorted(groups.items()) if len(m) > 1]
 
-
-KIND_OF_EDGE = ("chain", "same", "alike")
+    def training_rows(self) -> np.ndarray:
+        """Features, neighbours' labels and label of each token that a rule tells something about."""
+        k = len(KINDS) + 1
+        one = np.eye(k)[self.labels]
+        back, fore = np.zeros((len(one), k)), np.zeros((len(one), k))
+        for a, b in self.chain:
+            back[b], fore[a] = one[a], one[b]
+        said = {"same": np.zeros((len(one), k)), "alike": np.zeros((len(one), k))}
+        known = np.ones(len(one), bool)
+        for kind, members in self.groups:
+            others = one[members].sum(0) - one[members]
+            said[kind][members] += np.eye(k)[others.argmax(1)]
+            if kind == "same" and self.fixed[members].any():
+                known[members[~self.fixed[members]]] = False
+        rows = np.concatenate([self.features, back, fore, np.minimum(said["same"], 3), np.minimum(said["alike"], 3), self.labels[:, None]], 1)
+        return rows[known].astype(np.int8)
 
 
 class SkipChainModel:
@@ -145,59 +161,55 @@ class SkipChainModel:
     def __init__(self, n_features: int):
         k = len(KINDS) + 1
         self.nodes = np.zeros((n_features, k))
-        self.tables = {e: np.zeros((k, k)) for e in KIND_OF_EDGE}
+        self.tables = {e: np.zeros((k, k)) for e in ("chain", "same", "alike")}
 
-    def fit(self, fields: list[Field], steps: int = 300, rate: float = 0.1, shrink: float = 1e-3) -> None:
-        """Pseudo-likelihood: each token given its features and its neighbours' labels."""
+    def fit(self, rows: np.ndarray, counts: np.ndarray, steps: int = 300, rate: float = 0.1, shrink: float = 1e-3) -> None:
+        """Pseudo-likelihood: each token given its features and its neighbours' labels; counts are the rows' numbers."""
         k = len(KINDS) + 1
-        xs, ys = [], []
-        for f in fields:
-            one = np.eye(k)[f.labels]
-            blocks = [f.features]
-            for kind in KIND_OF_EDGE:
-                back, fore = np.zeros((len(one), k)), np.zeros((len(one), k))
-                for a, b in f.edges[kind]:
-                    back[b] += one[a]
-                    fore[a] += one[b]
-                blocks += [back, fore] if kind == "chain" else [back + fore]
-            xs.append(np.concatenate(blocks, 1))
-            ys.append(f.labels)
-        x, y = np.concatenate(xs), np.concatenate(ys)
+        x, y = rows[:, :-1].astype(float), np.eye(k)[rows[:, -1].astype(int)]
+        share = (counts / counts.sum())[:, None]
         w, m, v = np.zeros((x.shape[1], k)), 0.0, 0.0
         for t in range(1, steps + 1):
             p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = x.T @ (p - np.eye(k)[y]) / len(y) + shrink * w
+            g = x.T @ (share * (p - y)) + shrink * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         n = x.shape[1] - 4 * k
         self.nodes = w[:n]
-        self.tables = {"chain": (w[n:n + k] + w[n + k:n + 2 * k].T) / 2,
-                       **{e: (t + t.T) / 2 for e, t in (("same", w[n + 2 * k:n + 3 * k]), ("alike", w[n + 3 * k:]))}}
+        back, fore, same, alike = w[n:].reshape(4, k, k)
+        self.tables = {"chain": (back + fore.T) / 2, "same": (same + same.T) / 2, "alike": (alike + alike.T) / 2}
 
     def marginals(self, field: Field, rounds: int = ROUNDS) -> np.ndarray:
-        """Each token's label probabilities by loopy belief propagation."""
+        """Each token's label probabilities by loopy belief propagation over tokens and groups."""
+        n, k = len(field.at), len(KINDS) + 1
         base = field.features @ self.nodes
         base[field.fixed] = -1e3
         base[field.fixed, field.labels[field.fixed]] = 0.0
-        ends, tables = [], []
-        for kind in KIND_OF_EDGE:
-            for a, b in field.edges[kind]:
-                ends += [(a, b), (b, a)]
-                tables += [self.tables[kind], self.tables[kind].T]
+        base = np.concatenate([base, np.zeros((len(field.groups), k))])
+        parts = [(np.array(field.chain, int).reshape(-1, 2), self.tables["chain"])]
+        for g, (kind, members) in enumerate(field.groups):
+            parts.append((np.stack([members, np.full(len(members), n + g)], 1), self.tables[kind]))
+        ends = np.concatenate([e for e, _ in parts])
         belief = base
-        if ends:
-            source, target = np.array(ends).T
-            table = np.array(tables)
-            back = np.arange(len(ends)) ^ 1
-            said = np.zeros((len(ends), base.shape[1]))
+        if len(ends):
+            tables = np.repeat(np.array([t for _, t in parts]), [len(e) for e, _ in parts], 0)
+            source, target = np.r_[ends[:, 0], ends[:, 1]], np.r_[ends[:, 1], ends[:, 0]]
+            tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
+            order = np.argsort(target, kind="stable")
+            at, starts = np.unique(target[order], return_index=True)
+            said = np.zeros((len(source), k))
             for _ in range(rounds):
-                z = (belief[source] - said[back])[:, :, None] + table
+                z = (belief[source] - np.roll(said, len(ends), 0))[:, :, None] + tables
                 top = z.max(1, keepdims=True)
                 new = np.log(np.exp(z - top).sum(1)) + top[:, 0]
-                said = 0.5 * said + 0.5 * (new - new.max(1, keepdims=True))
-                belief = base.copy()
-                np.add.at(belief, target, said)
+                new = 0.5 * said + 0.5 * (new - new.max(1, keepdims=True))
+                moved = np.abs(new - said).max()
+                said, belief = new, base.copy()
+                belief[at] += np.add.reduceat(said[order], starts)
+                if moved < STILL:
+                    break
+        belief = belief[:n]
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -206,7 +218,7 @@ class SkipChainModel:
         if not TELLING.search(text):
             return []
         field = Field(text, spans)
-        if field.fixed.all() or not field.fixed.any():  # nothing to spread, or nothing to spread to
+        if field.fixed.all():  # nothing to label
             return []
         p = self.marginals(field)
         added = []
@@ -222,40 +234,42 @@ class SkipChainModel:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> SkipChainModel | None:
     count = docs.count()
     mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33)
-    rows = (docs.filter(mark < F.lit(int(2**31 * min(1.0, sample / max(1, count))))).filter(F.col("text").rlike("[0-9@]"))
-            .select("text").limit(2 * sample).collect())
-    fields = [f for f in (Field(r.text, rule_spans(r.text)) for r in sorted(rows)) if len(f.at)]
-    if not fields:
+    chosen = docs.filter(mark < F.lit(int(2**31 * min(1.0, sample / max(1, count))))).filter(F.col("text").rlike("[0-9@]"))
+
+    def rows_of(batches):
+        for batch in batches:
+            fields = [Field(t, rule_spans(t)) for t in batch.column(0).to_pylist()]
+            rows = [f.training_rows() for f in fields if f.at]
+            found, n = np.unique(np.concatenate(rows), axis=0, return_counts=True) if rows else (np.empty((0, 1), np.int8), np.empty(0, int))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary()), pa.array(n, pa.int64())], ["row", "n"])
+
+    # rows of small numbers, of which equal ones are counted
+    rows = chosen.select("text").mapInArrow(rows_of, "row binary, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
+    if not rows:
         return None
-    model = SkipChainModel(fields[0].features.shape[1])
-    model.fit(fields)
+    table = np.array([np.frombuffer(r.row, np.int8) for r in sorted(rows)])
+    model = SkipChainModel(table.shape[1] - 1 - 4 * (len(KINDS) + 1))
+    model.fit(table, np.array([r.n for r in sorted(rows)], float))
     return model
 
 
 def find(docs: DataFrame, model: SkipChainModel | None) -> DataFrame:
-    """docs with base (the rules' spans) and spans (those and the field's), by kind and start."""
-    others = [c for c in docs.columns if c not in ("text", "base", "spans")]
+    """docs, without text, with base (the rules' spans) and spans (those and the field's), by kind and start."""
     order = {k: i for i, k in enumerate(KINDS)}
 
     def as_rows(spans):
         return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                base, spans = [], []
-                for text in batch.column(0).to_pylist():
-                    ruled = rule_spans(text)
-                    base.append(as_rows(ruled))
-                    more = model.more_spans(text, ruled) if model and ruled else []
-                    spans.append(as_rows(sorted({*ruled, *more}, key=lambda s: (order[s[0]], *s[1:]))) if more else base[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(base, SPAN_TYPE), pa.array(spans, SPAN_TYPE), *batch.columns[1:]],
-                                                 ["base", "spans", *batch.schema.names[1:]])
+    def run(batch):
+        base, spans = [], []
+        for text in batch.column(0).to_pylist():
+            ruled = rule_spans(text)
+            base.append(as_rows(ruled))
+            more = model.more_spans(text, ruled) if model else []
+            spans.append(as_rows(sorted({*ruled, *more}, key=lambda s: (order[s[0]], *s[1:]))) if more else base[-1])
+        return [pa.array(base, SPAN_TYPE), pa.array(spans, SPAN_TYPE)]
 
-    rows = docs.select(text_of().alias("_text"), *(F.col(f"`{c}`") for c in others))
-    rest = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"base {SPANS}, spans {SPANS}{rest}")
+    return mapped(docs, {"text": text_of()}, run, f"base {SPANS}, spans {SPANS}", without=["text"])
 
 
 def listed(spans: Column) -> Column:
@@ -272,4 +286,4 @@ def op1_pii(spark, sf_dir: str) -> DataFrame:
     found = find(docs, fit(docs))
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                        listed(F.col("spans")).alias("spans"))
+                        listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,20 +29,63 @@ def test_rules_take_long_runs():
         pii.rule_spans(text)
 
 
-def test_field_carries_labels_over_the_document(spark):
-    card = "4111111111111111"
-    texts = [f"pay {card} now and a{i} more" for i in range(40)] + [f"host 10.0.0.{i} and phone +1 (555) 555-{1000 + i}" for i in range(40)]
-    fields = [pii.Field(t, pii.rule_spans(t)) for t in texts]
-    model = pii.SkipChainModel(fields[0].features.shape[1])
-    model.fit(fields)
-    text = f"first {card} then both {card} {card} end"  # two in a row are no match of the rule
+def field_model(texts):
+    rows = np.concatenate([pii.Field(t, pii.rule_spans(t)).training_rows() for t in texts])
+    model = pii.SkipChainModel(rows.shape[1] - 21)
+    model.fit(rows, np.ones(len(rows)))
+    return model
+
+
+CARD = "4111111111111111"
+TEXTS = [f"pay {CARD} now and a{i} more, {CARD} again" for i in range(40)] + [
+    f"call +1 555 010 {1000 + i} or room {i} then +1 555 010 {1000 + i} for 3{i} days" for i in range(40)]
+
+
+def test_field_carries_labels_over_the_document():
+    model = field_model(TEXTS)
+    text = f"first {CARD} then both {CARD} {CARD} end"  # two in a row are no match of the rule
     ruled = pii.rule_spans(text)
     assert ruled == [("card", 6, 22)]
-    assert {s[0] for s in model.more_spans(text, ruled, sure=0.5)} <= {"card"}
     p = model.marginals(pii.Field(text, ruled))
     assert p.shape == (3, 5) and abs(p.sum(1) - 1).max() < 1e-9 and p[1, 3] > 0.5 and p[2, 3] > 0.5
 
 
+def test_field_reaches_far_mentions():
+    """The first of 80 mentions is a rule's match, the others run together in pairs, which is none."""
+    text = f"first {CARD} " + "".join(f"then {CARD} {CARD} and so on " for _ in range(40))
+    ruled = pii.rule_spans(text)
+    more = field_model(TEXTS).more_spans(text, ruled)
+    assert len(ruled) == 1 and len(more) == 80 and {k for k, _, _ in more} == {"card"}
+
+
+def test_messages_give_exact_marginals_on_a_tree():
+    """One chain and one group: no loop, so the marginals are those of all labellings."""
+    rng = np.random.default_rng(1)
+    field = pii.Field("call 5551234 5 or 5551234 now", [])
+    model = pii.SkipChainModel(field.features.shape[1])
+    model.nodes = rng.normal(size=model.nodes.shape)
+    model.tables = {k: (t + t.T) / 2 for k, t in ((k, rng.normal(size=(5, 5))) for k in ("chain", "same", "alike"))}
+    field.groups = field.groups[-1:]
+    base, wanted = field.features @ model.nodes, np.zeros((3, 5))
+    for labels in itertools.product(range(5), repeat=4):  # three tokens and the group
+        kind, members = field.groups[0]
+        score = sum(base[i, labels[i]] for i in range(3)) + sum(model.tables["chain"][labels[a], labels[b]] for a, b in field.chain)
+        score += sum(model.tables[kind][labels[i], labels[3]] for i in members)
+        for i in range(3):
+            wanted[i, labels[i]] += np.exp(score)
+    assert abs(model.marginals(field) - wanted / wanted.sum(1, keepdims=True)).max() < 1e-3
+
+
+def test_pii_query(spark, sf, docs):
+    rows = {r.doc_id: r for r in queries.QUERIES["op1_pii"](spark, sf).collect()}
+    for d in docs.collect():
+        plain = [(k, m.start(), m.end()) for k, p in RULES.items() for m in re.finditer(p, d.text or "") if k == "email" or pii.valid(k, m[0])]
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in plain)
+        r = rows[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in plain) for k in RULES)
+
+
 def test_pii_of_odd_rows(spark, odd, none):
     found = {(r.doc_id): r for r in pii.find(odd, pii.fit(odd)).collect()}
     assert [tuple(s) for s in found[13].base] == [("email", 11, 33), ("ip", 37, 45)]
