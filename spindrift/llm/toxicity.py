@@ -1,18 +1,21 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-One dictionary is trained on ordinary text, the other on that and on toxic
-text: the words of toxic documents whose character n-grams are met in many
-contexts there and hardly in ordinary documents. A document is cut into
-windows of ten words. A window's distance is its compressed length with the
-ordinary dictionary less that with the toxic one; windows whose distance is
-above a small threshold speak for toxicity. A logistic curve, calibrated on
-the labelled documents, turns the share and the strength of such windows into
-a score between 0 and 1.
+Two dictionaries are trained by zstandard: one on the windows of ordinary
+documents, one on the telling words of toxic documents, each as often as it
+occurs. A toxic document is ordinary text but for a few words, and the trainer
+keeps what is frequent: trained on whole toxic windows it learns ordinary text
+once more. Telling are words with character n-grams that are met in many
+contexts in toxic documents and hardly in ordinary ones. A document is cut
+into windows of ten words. A window's distance is its compressed length with
+the ordinary dictionary less that with the toxic one beside it; windows whose
+distance is above a small threshold speak for toxicity. A logistic curve,
+calibrated on the labelled documents, turns the share and the strength of such
+windows into a score between 0 and 1.
 
 Training uses a bounded sample of labelled rows: ``sample`` documents, those
-with the smallest hash of their id; its texts, and nothing else, go through
-the driver, and the model (two dictionaries of a few kilobytes) goes back.
-Scoring covers every whole text and needs no shuffle.
+with the smallest hash of their id, their whole texts; nothing else goes
+through the driver, and the model (two dictionaries of a few kilobytes) goes
+back. Scoring covers every whole text and needs no shuffle.
 
 Defined results: null and empty texts have one empty window and get the score
 of a text without evidence; without labelled documents of both kinds every
@@ -31,12 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import documents, text_of
+from spindrift.llm.common import documents, mapped, text_of
 
 #: Labelled documents that training looks at, at most about this many.
 SAMPLE = 4000
-#: Characters of one document that training looks at.
-SAMPLE_CHARS = 200_000
 WINDOW = 10
 LEVEL = 6
 ORDINARY_BYTES = 8192
@@ -45,7 +46,6 @@ THRESHOLD = 0.3
 #: Bytes that a window's distance must exceed to count.
 NOISE = 2
 HELD_OUT = 2
-ROWS = 512
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -69,8 +69,8 @@ def _met_in(texts: list[str], among: frozenset | None = None) -> Counter:
     return met
 
 
-def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words of the toxic texts that hold a telling n-gram, the most frequent last.
+def telling_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Words of the toxic texts that hold a telling n-gram, each as often as it occurs.
 
     An n-gram is telling if a share of the toxic texts holds it, of the
     ordinary ones a fraction of that share at most, and if it stands in words
@@ -80,17 +80,25 @@ def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
     met = {p: n for p, n in _met_in(toxic).items() if n >= least}
     plain = _met_in(ordinary, frozenset(met))
     telling = {p for p, n in met.items() if n / len(toxic) > 40 * (plain[p] + 1) / len(ordinary)}
-    held: dict[str, int] = Counter()
     contexts = defaultdict(set)
-    for text in toxic:
-        words = WORDS.findall(text.lower())
+    texts = [WORDS.findall(text.lower()) for text in toxic]
+    for words in texts:
         for before, word, after in zip(["", *words], words, [*words[1:], ""]):
             for piece in _pieces(word) & telling:
                 contexts[piece].add((before, after))
     telling = {p for p in telling if len(contexts[p]) >= 2 * least}
-    for text in toxic:
-        held.update(w for w in WORDS.findall(text.lower()) if _pieces(w) & telling)
-    return sorted(held, key=lambda w: (held[w], w))
+    held = {w for words in texts for w in words if _pieces(w) & telling}
+    return [f" {w} ".encode() for words in texts for w in words if w in held]
+
+
+def trained(samples: list[bytes], size: int, **how: int) -> bytes:
+    """A dictionary of at most size bytes trained on the samples; their end where there are too few to train on."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size + 1200, samples, **how).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 class CompressionModel:
@@ -136,16 +144,10 @@ class CompressionModel:
 
 
 def train(toxic: list[str], ordinary: list[str]) -> CompressionModel | None:
-    import zstandard
-
     if not toxic or not ordinary:
         return None
-    plain = [w for t in ordinary for w in windows(t)]
-    try:
-        shared = zstandard.train_dictionary(ORDINARY_BYTES + 1200, plain).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        shared = b"".join(plain)[-ORDINARY_BYTES:]
-    own = " ".join(toxic_words(toxic, ordinary)).encode()[-TOXIC_BYTES:]
+    shared = trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
+    own = trained(telling_words(toxic, ordinary), TOXIC_BYTES, k=50, d=8)
     model = CompressionModel(shared, shared + b" " + own + b" ")
     compressors = model.compressors()
     model.calibrate(np.array([model.features(t, compressors) for t in (*toxic, *ordinary)]),
@@ -163,27 +165,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Compression
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` ids and marks
-    rows = (docs.select("doc_id", F.substring(text_of(), 1, SAMPLE_CHARS).alias("text"))
+    rows = (docs.select("doc_id", text_of().alias("text"))
             .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic"), F.min("text")).orderBy("doc_id").collect())
     return train([r[2] for r in rows if r[1] == 1], [r[2] for r in rows if r[1] == 0])
 
 
 def score(docs: DataFrame, model: CompressionModel | None, keep_text: bool = False) -> DataFrame:
     """docs with score, the probability that a document is toxic, and their text if asked for."""
-    others = [c for c in docs.columns if c != "score"]
-
-    def run(batches):
-        compressors = model.compressors() if model else None
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                scores = [model.score(t, compressors) if model else 0.0 for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), *batch.columns[1:]],
-                                                 ["score", *batch.schema.names[1:]])
-
-    rows = docs.select(text_of().alias("_text"), *(F.col(f"`{c}`") for c in others if keep_text or c != "text"))
-    rest = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, "score double" + rest)
+    made: list = []  # filled once a task
+
+    def run(batch):
+        if model and not made:
+            made.extend(model.compressors())
+        return [pa.array([model.score(t, made) if model else 0.0 for t in batch.column(0).to_pylist()], pa.float64())]
+
+    return mapped(docs, {"text": text_of()}, run, "score double", without=[] if keep_text else ["text"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
