@@ -15,13 +15,13 @@ are indexed once with the k + 1 smallest ids, as no more can be in a result,
 so a vector that a third of all rows share is one entry.
 
 Rotations are fitted on ``sample`` vectors chosen by a hash; the first radius
-is the one that holds all but 2 % of the exact neighbours of ``calibration``
+is the one that holds all but 5 % of the exact neighbours of ``calibration``
 distinct query vectors, chosen by id, which are compared with every row.
 Queries that find fewer than k within it are asked again by the same index
 with twice the radius, until they have k or the radius is all bits.
 
-Defined results: vectors that are null, zero, of another length than the
-first, or hold null or non-finite components take no part; rows with a null
+Defined results: vectors that are null, zero, of another length than most,
+or hold null or non-finite components take no part; rows with a null
 id neither; a repeated id counts once for each distinct vector; ties go to
 the smaller id; with fewer candidates than k all are returned; an empty table
 gives an empty result; columns other than vec_id and embedding are ignored.
@@ -42,7 +42,7 @@ SAMPLE = 4000
 #: Queries whose exact neighbours set the radius.
 CALIBRATION = 128
 #: Share of those queries' exact neighbours that the radius holds.
-HELD = 0.98
+HELD = 0.95
 BYTES = 16
 #: Distinct vectors and queries that one task holds.
 BLOCK = 16_384
@@ -60,8 +60,13 @@ def usable(vectors: DataFrame) -> DataFrame:
             & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
             & F.exists(v, lambda x: x != 0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding")).filter(F.coalesce(fine, F.lit(False)))
-    size = rows.select(F.min(F.struct("vec_id", F.size("embedding").alias("n")))["n"]).first()[0]
-    return rows.filter(F.size("embedding") == F.lit(size or 0)).withColumn("_hash", F.xxhash64("embedding"))
+    return rows.withColumn("_hash", F.xxhash64("embedding"))
+
+
+def commonest_length(rows: DataFrame) -> int:
+    """The length that most vectors have, the smallest of several; 0 if there are none."""
+    row = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return row.n if row else 0
 
 
 def learn(sample: np.ndarray, n_bits: int = 8 * BYTES, rounds: int = 20, seed: int = 7) -> np.ndarray:
@@ -174,8 +179,9 @@ def _meet(index: DataFrame, queries: DataFrame, blocks: int, query_blocks: int,
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, calibration: int = CALIBRATION) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each query, nearest first."""
     rows = usable(vectors)
-    index = materialize(distinct_vectors(rows, k), "nearest-index")
-    asked = usable(queries)
+    length = F.lit(commonest_length(rows))
+    index = materialize(distinct_vectors(rows.filter(F.size("embedding") == length), k), "nearest-index")
+    asked = usable(queries).filter(F.size("embedding") == length)
     n, n_queries = index.count(), asked.count()
     if not n or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
