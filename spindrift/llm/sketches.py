@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import documents, let, text_of, words_of
+from spindrift.llm.common import documents, let, materialize, small, text_of, words_of
 
 K = 128
 SHINGLE = 5
@@ -90,29 +90,41 @@ def range_of(value: Column, cuts: list[int]) -> Column:
     return let(below(coarse) * step, lambda at: at + below(F.slice(F.lit(cuts).cast("array<long>"), at + 1, step)))
 
 
-def in_order(docs: DataFrame, rows_a_range: int = 1_000, most_ranges: int = 16_384) -> DataFrame:
+def in_order(docs: DataFrame, rows_a_range: int = 1_000, most_cuts: int = 16_384) -> DataFrame:
     """doc_id, text, and what a window needs to see the next row by doc_id.
 
-    Rows are dealt into ranges of doc_id, so that no task orders all of them.
-    Each range ends with a copy of the first row of the range after it (after
-    the last one: of the first), marked by ``_copy``; next_row() orders a range.
+    Rows are dealt into ranges of doc_id, so that no task orders all of them;
+    ranges between most_cuts cuts are dealt further by equal steps of doc_id
+    where they would hold more rows. Each range ends with a copy of the first
+    row of the range after it (after the last one: of the first), marked by
+    ``_copy``; next_row() orders a range.
     """
     at = F.coalesce("doc_id", F.lit(-(2**63)))
-    ranges = min(most_ranges, docs.count() // rows_a_range + 1)
+    wanted = docs.count() // rows_a_range + 1
+    ranges = min(most_cuts, wanted)
     shares = [i / ranges for i in range(1, ranges)]
     cuts = docs.select(F.percentile_approx(at, shares, 20 * ranges)).first()[0] if shares else []
     rows = docs.select("doc_id", at.alias("_at"), text_of().alias("text"), F.lit(0).alias("_copy"))
-    rows = rows.withColumn("_range", range_of(F.col("_at"), sorted(set(cuts))) if cuts else F.lit(0))
-    # at most most_ranges rows of two numbers
-    starts = F.broadcast(rows.select("_range", "_at").groupBy("_range").agg(F.min("_at").alias("_at")))
-    firsts = rows.join(starts, ["_range", "_at"]).groupBy("_range").agg(F.min("text").alias("text"))
+    coarse = range_of(F.col("_at"), sorted(set(cuts))) if cuts else F.lit(0)
+    rows = rows.withColumn("_range", F.struct(coarse.cast("int").alias("cut"), F.floor(F.col("_at") / _step(cuts, wanted)).cast("long").alias("part")))
+    # one row of a few numbers for each range; a window over them in order sees no text
+    starts = materialize(rows.groupBy("_range").agg(F.min("_at").alias("_at")), "ranges")
     by_range = Window.orderBy("_range")
     lead = F.coalesce(F.lag("_range").over(by_range), F.max("_range").over(Window.partitionBy()))
+    starts = small(materialize(starts.withColumn("_before", lead), "ranges"))
+    firsts = rows.join(starts, ["_range", "_at"]).groupBy("_range", "_before").agg(F.min("text").alias("text"))
     copies = firsts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(2**63 - 1).alias("_at"), "text",
-                           F.lit(1).alias("_copy"), lead.alias("_range"))
+                           F.lit(1).alias("_copy"), F.col("_before").alias("_range"))
     return rows.unionByName(copies)
 
 
+def _step(cuts: list[int], wanted: int) -> float:
+    """Width in doc_id of a range's parts; one part where the cuts are as many as wanted."""
+    if len(cuts) + 1 >= wanted:
+        return 2.0**63
+    return max(1.0, float(cuts[-1] - cuts[0]) / wanted)
+
+
 def next_row():
     """The window in which the next row of in_order() is the next one."""
     return Window.partitionBy("_range").orderBy("_at", "_copy", "text")
