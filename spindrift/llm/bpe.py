@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import documents, text_of
+from spindrift.llm.common import documents, mapped, text_of
 
 #: The vocabulary of the registered query.
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that one worker remembers before it starts afresh.
 REMEMBERED = 300_000
-#: Rows encoded at a time, for bounded memory.
-ROWS = 512
 
 
 def default_vocabulary() -> str:
@@ -162,40 +160,24 @@ def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> Da
     path is a vocabulary file that every executor can read.
     """
     path = path or default_vocabulary()
-    others = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
 
-    def run(batches):
+    def run(batch):
         bpe = _worker_bpe(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                ids = [bpe.encode(t) for t in batch.column(0).to_pylist()]
-                made = [pa.array(ids, pa.binary())] + ([pa.array(map(bpe.decode, ids), pa.string())] if decode else [])
-                names = ["ids", "decoded"][: len(made)]
-                yield pa.RecordBatch.from_arrays([*made, *batch.columns[1:]], [*names, *batch.schema.names[1:]])
+        ids = [bpe.encode(t) for t in batch.column(0).to_pylist()]
+        return [pa.array(ids, pa.binary())] + ([pa.array(map(bpe.decode, ids), pa.string())] if decode else [])
 
-    rows = docs.select(text_of().alias("_text"), *(F.col(f"`{c}`") for c in others))
-    rest = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, "ids binary" + (", decoded string" if decode else "") + rest)
+    return mapped(docs, {"text": text_of()}, run, "ids binary" + (", decoded string" if decode else ""), without=["text", "ids", "decoded"])
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (with ids) with decoded in place of ids; null ids decode to the empty text."""
     path = path or default_vocabulary()
-    others = [c for c in encoded.columns if c not in ("ids", "decoded")]
 
-    def run(batches):
+    def run(batch):
         bpe = _worker_bpe(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                texts = [bpe.decode(ids or b"") for ids in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]],
-                                                 ["decoded", *batch.schema.names[1:]])
-
-    rows = encoded.select(F.col("ids").alias("_ids"), *(F.col(f"`{c}`") for c in others))
-    rest = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, "decoded string" + rest)
+        return [pa.array([bpe.decode(ids or b"") for ids in batch.column(0).to_pylist()], pa.string())]
+
+    return mapped(encoded, {"ids": F.col("ids")}, run, "decoded string", without=["ids"])
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ The result is a compressed bitmap of kept lines for each document, no text.
 Defined results: null and empty texts have one empty line; null doc_ids are
 one document below all others; rows that repeat a doc_id count as one document, each with its
 own bitmap by text; an empty table gives an empty result; columns other than
-doc_id and text are kept by drop_lines and otherwise ignored.
+doc_id and text are kept by drop_lines, whatever their names, and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import documents, materialize, text_of
+from spindrift.llm.common import discard, documents, mapped, materialize, packed, text_of, unpacked
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -124,8 +124,8 @@ def _stream(min_docs: int):
     return merged
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_did": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(text_of())})
+def _keys_of() -> list:
+    return [F.coalesce("doc_id", F.lit(NO_ID)).alias("_did"), F.xxhash64(text_of()).alias("_th")]
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -135,14 +135,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     each kept line up to the last dropped one; later lines are kept. A
     document with no row here keeps all its lines.
     """
-    keyed = (_with_keys(docs).select("_did", "_th", text_of().cast("binary").alias("text"))
-             .mapInArrow(_line_keys(min_chars), KEYS))
+    keyed = docs.select(*_keys_of(), text_of().cast("binary").alias("text")).mapInArrow(_line_keys(min_chars), KEYS)
+    keyed = materialize(keyed, "line-keys")  # read twice, for the ranges too
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streamed = (keyed.repartitionByRange(ranges, "h1", "h2", F.col("did").desc())
                 .sortWithinPartitions("h1", "h2", F.col("did").desc(), "th", "pos")
                 .select("h1", "h2", "did", "th", "pos")
                 .mapInArrow(_stream(min_docs), "kind byte, h1 long, h2 long, did long, th long, pos int, n long"))
     streamed = materialize(streamed, "line-events")
+    discard(keyed)
     settled = (streamed.filter(F.col("kind") == NOTE).groupBy("h1", "h2")
                .agg(F.sum("n").alias("docs"), F.max("did").alias("holder")).filter(F.col("docs") >= min_docs))
     # at most two notes for each partition of the sorted lines
@@ -171,33 +172,27 @@ def unpack(keep: bytes, n_lines: int) -> np.ndarray:
     return np.r_[bits, np.ones(n_lines - len(bits), np.uint8)].astype(bool)
 
 
-def _kept(batches):
-    for batch in batches:
-        texts, counts = [], []
-        for text, keep in zip(batch.column(0), batch.column(1).to_pylist()):
-            lines = text.as_buffer().to_pybytes().split(b"\n")
-            counts.append(len(lines))
-            if keep is not None:
-                lines = [x for x, k in zip(lines, unpack(keep, len(lines))) if k]
-            texts.append(b"\n".join(lines))
-        rest = [batch.column(i) for i in range(2, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), *rest],
-                                         ["kept", "n_lines", *batch.schema.names[2:]])
+def _kept(batch):
+    texts, counts = [], []
+    for text, keep in zip(batch.column(0), batch.column(1).to_pylist()):
+        lines = text.as_buffer().to_pybytes().split(b"\n")
+        counts.append(len(lines))
+        if keep is not None:
+            lines = [x for x, k in zip(lines, unpack(keep, len(lines))) if k]
+        texts.append(b"\n".join(lines))
+    return [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), batch.column(2), batch.column(3)]
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with _kept (the text without dropped lines), _n_lines and _n_dropped."""
+    """docs, without text, with _kept (the text without dropped lines), _n_lines, _n_dropped and _null (no text)."""
     maps = keep_bitmaps(docs, min_docs, min_chars).hint("shuffle_hash")
-    d, m = _with_keys(docs).alias("d"), maps.alias("m")
-    joined = d.join(m, (F.col("d._did") == F.col("m.did")) & (F.col("d._th") == F.col("m.th")), "left")
-    others = [c for c in docs.columns if c != "text"]
-    rows = joined.select(text_of("d.text").cast("binary").alias("_text"), F.col("m.keep").alias("_keep"),
-                         F.coalesce("m.n_dropped", F.lit(0)).alias("_n_dropped"), F.col("d.text").isNull().alias("_null"),
-                         *(F.col(f"d.`{c}`") for c in others))
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    out = rows.mapInArrow(_kept, f"kept binary, n_lines long, {rest}")
-    return out.select(*others, F.col("kept").cast("string").alias("_kept"), F.col("n_lines").alias("_n_lines"),
-                      "_n_dropped", "_null")
+    others, rest = packed(docs, ["text", "_kept", "_n_lines", "_n_dropped", "_null"])
+    rows = docs.select(*_keys_of(), F.col("text"), *rest)
+    joined = rows.join(maps, (F.col("_did") == F.col("did")) & (F.col("_th") == F.col("th")), "left")
+    inputs = {"text": text_of().cast("binary"), "keep": F.col("keep"), "dropped": F.coalesce("n_dropped", F.lit(0)), "null": F.col("text").isNull()}
+    out = mapped(joined, inputs, _kept, "_kept string, _n_lines long, _n_dropped long, _null boolean",
+                 without=["_did", "_th", "did", "th", "text", "keep", "n_dropped"])
+    return out.select("_kept", "_n_lines", "_n_dropped", "_null", *unpacked(others))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import lm_scoring, mixing, nearest, ngram_join, queries, sharding
 from spindrift.llm.components import components
+from test_text_operators import brute_lines
 
 
 def words(text):
@@ -278,6 +279,15 @@ def test_mixing_of_odd_rows(odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_pipeline_keeps_one_of_equal_rows(spark, odd):
+    import corpus_pipeline as p
+
+    texts = ["a b c d e f g", None, "x y z"]
+    rows = [(3, texts[0]), (None, texts[0]), (2, texts[0]), (2, texts[0]), (None, texts[2]), (None, texts[2]), (7, None), (8, "")]
+    out = p.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(2, texts[0]), (None, texts[2]), (7, None), (8, "")], key=str)
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as p
 
@@ -292,6 +302,18 @@ def test_pipeline(spark, sf, docs):
     before, after = steps["n-gram Jaccard join"]
     wanted = brute_join([(r.doc_id, r.text) for r in before.collect()], 5, 80)
     assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, (_, c) in wanted.items() if c == i)
+    before, after = steps["line dedup"]
+    lines = brute_lines([(r.doc_id, r.text or "") for r in before.collect()])
+    assert {(r.doc_id, r.text or "") for r in after.collect()} == {(i, "\n".join(kept)) for (i, _), kept in lines.items()}
+    before, after = steps["mixing sources"]
+    size, sizes = {r.doc_id: len(words(r.text)) for r in before.collect()}, collections.Counter()
+    for r in before.collect():
+        sizes[r.source] += size[r.doc_id]
+    target = fill(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}, 1.5 * sum(sizes.values()))
+    taken = collections.Counter()
+    for r in after.collect():
+        taken[r.source] += size[r.doc_id]
+    assert all(abs(taken[s] - target[s]) <= max(size.values()) for s in sizes)
     before, after = steps["byte-pair encoding"]
     assert after.count() == before.count() and after.filter("n_tokens > 0").count() > 0
     before, after = steps["toxicity"]

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -123,6 +124,15 @@ def test_sketches_merge_and_estimate(spark):
     assert abs(r.j - 1 / 3) < 0.15 and r["in"] > 0.8 and abs(r.n / 2996 - 1) < 0.3 and r.back and r.m > 0.95
 
 
+def test_order_by_further_parts(spark, docs):
+    """With few cuts ranges are dealt by steps of doc_id; the next rows stay the same."""
+    rows = sketches.in_order(docs, rows_a_range=10, most_cuts=3)
+    got = rows.withColumn("next", F.lead("text", 1, "").over(sketches.next_row())).filter("_copy = 0").collect()
+    texts = [(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").collect()]
+    wanted = {i: texts[(k + 1) % len(texts)][1] for k, (i, _) in enumerate(texts)}
+    assert len({tuple(r._range) for r in got}) > 5 and {r.doc_id: r.next for r in got} == wanted
+
+
 def test_fingerprints_of_odd_rows(odd, none):
     rows = sketches.fingerprints(odd).collect()
     assert len(rows) == odd.count() and all(r.sketch == [] for r in rows if r.doc_id in (0, 1, 2, 3))
@@ -218,6 +228,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum((a > b) + (a == b) / 2 for a in toxic for b in plain) / len(toxic) / len(plain) > 0.7
 
 
+def test_toxicity_query_equals_plain_scores(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    tools = model.compressors()
+    rows = {r.doc_id: r for r in queries.QUERIES["op8_toxicity"](spark, sf).collect()}
+    for d in docs.collect():
+        r = rows[d.doc_id]
+        assert abs(r.score - model.score(d.text or "", tools)) < 1e-12 and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert (toxicity.fit(docs, flipped).weights == model.weights).all()
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(16)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(odd, labels).count() == odd.count()
