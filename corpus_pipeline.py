@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from spindrift.llm.common import documents, materialize
+from spindrift.llm.common import documents, materialize, small
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,23 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group linked by five-word shingles at 0.8."""
-    found = ngram_join.jaccard_components(docs, ngram_join.Join(5, 80, 100))
-    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.select(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return kept if ids[0] == ids[1] else kept.dropDuplicates(["doc_id", "text"])
+    """One document, that with the least id (null last), of each group linked by five-word shingles at 0.8.
+
+    Rows are known by a hash of doc_id and text, so null and repeated ids are rows like all others.
+    """
+    key = F.xxhash64("doc_id", "text")
+    ids = docs.select("doc_id", key.alias("key"))
+    found = ngram_join.jaccard_components(docs.select(key.alias("doc_id"), "text"), ngram_join.Join(5, 80, 100))
+    members = ids.join(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"]
+    members = materialize(members, "near-members")
+    leaders = members.groupBy("component_id").agg(first.alias("key")).select("key")
+    gone = small(materialize(members.select("key").distinct().join(leaders, "key", "left_anti"), "near-copies"))
+    again = small(materialize(members.groupBy("key").count().filter("count > 1").select("key"), "near-repeats"))
+    kept = docs.withColumn("_key", key).join(gone.withColumnRenamed("key", "_key"), "_key", "left_anti")
+    repeats = again.withColumnRenamed("key", "_key")
+    once = kept.join(repeats, "_key", "left_anti").select(*docs.columns)
+    return once.union(kept.join(repeats, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
