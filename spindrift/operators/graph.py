@@ -87,20 +87,37 @@ def co_change_edges(files: DataFrame, **options) -> DataFrame:
     return edges(pairs.groupBy("a", "b").agg(F.min("n").alias("n")), F.col("a"), "module", "co_changes", F.col("b"), "module", F.col("n"))
 
 
-def within_days(probes: DataFrame, events: DataFrame, days: int = 14, most: int = 5, ties: tuple[str, ...] = ()) -> DataFrame:
+def within_days(probes: DataFrame, events: DataFrame, days: int = 14, most: int = 5, ties: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """For each probe (probe, at) the latest events (event_at, ...) of the days before, at most a few.
 
-    Both sides are dealt by the number of whole spans of days, a probe into its own and the one
-    before, so the range join is an equi-join with a residual condition.
+    by names columns that both sides have and that must be equal. Probes and events are ordered
+    together within each hour, so an event gets its rank and a probe the number of events before it;
+    the hours' offsets, one row an hour, make both global. A probe then meets just the events of
+    its last few ranks, an equi-join on a unique key: work and rows are linear in both sides.
+    Rows with a null time are left out.
     """
-    span = F.lit(days * 86400)
-    bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 1_000_000 / span)
-    p = probes.withColumn("_b", F.explode(F.array(bucket(F.col("at")), bucket(F.col("at")) - 1)))
-    e = events.withColumn("_b", bucket(F.col("event_at")))
-    since = F.unix_micros(F.col("at").cast("timestamp")) - days * 86_400_000_000
-    joined = p.join(e, "_b").filter((F.col("event_at") < F.col("at")) & (F.unix_micros(F.col("event_at").cast("timestamp")) > since)).drop("_b")
-    order = Window.partitionBy("probe", "at").orderBy(F.desc("event_at"), *ties)
-    return joined.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    own, other = [c for c in probes.columns if c not in by], [c for c in events.columns if c not in by]
+    p, e = probes.filter("at is not null"), events.filter("event_at is not null")
+    none = [F.lit(None).cast(events.schema[c].dataType).alias(f"_tie_{c}") for c in ties]
+    rows = (p.select(*by, micros("at").alias("_t"), F.lit(0).alias("_event"), *none, F.struct(*own).alias("_p"))
+            .unionByName(e.select(*by, micros("event_at").alias("_t"), F.lit(1).alias("_event"), *(F.col(c).alias(f"_tie_{c}") for c in ties),
+                                  F.struct(*other).alias("_e")), allowMissingColumns=True)
+            .withColumn("_hour", F.floor(F.col("_t") / 3_600_000_000)))
+    in_hour = Window.partitionBy(*by, "_hour").orderBy("_t", "_event", *(F.desc(f"_tie_{c}") for c in ties))
+    hours = rows.groupBy(*by, "_hour").agg(F.sum("_event").alias("_events"))
+    earlier = Window.partitionBy(*by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hours.select(*by, "_hour", F.coalesce(F.sum("_events").over(earlier), F.lit(0)).alias("_offset"))
+    counted = rows.withColumn("_n", F.sum("_event").over(in_hour.rowsBetween(Window.unboundedPreceding, 0)))
+    same = counted["_hour"] == offsets["_hour"]
+    for c in by:
+        same = same & counted[c].eqNullSafe(offsets[c])
+    ranked = counted.join(offsets, same).select(*(counted[c] for c in by), "_t", "_event", "_p", "_e", (F.col("_n") + F.col("_offset")).alias("_n"))
+    asked = ranked.filter("_event = 0 and _n > 0").select(*by, "_p", F.col("_t").alias("_at"), F.col("_n").alias("_last"), F.explode(
+        F.sequence(F.greatest(F.col("_n") - (most - 1), F.lit(1).cast("long")), F.col("_n"))).alias("_n"))
+    found = asked.join(ranked.filter("_event = 1").select(*by, "_e", "_t", "_n"), [*by, "_n"]).filter(F.col("_t") > F.col("_at") - days * 86_400_000_000)
+    return found.select(*by, *(F.col("_p").getField(c).alias(c) for c in own), *(F.col("_e").getField(c).alias(c) for c in other),
+                        (F.col("_last") - F.col("_n") + 1).cast("int").alias("place"))
 
 
 def regressions(changelogs: DataFrame, prs: DataFrame) -> DataFrame:
@@ -120,9 +137,9 @@ def bug_causes(issues: DataFrame, prs: DataFrame, refs: DataFrame, asof: str, kn
     name = lambda n: F.concat("repo_full_name", F.lit("#"), n)
     merged = prs.filter("merged_at is not null").select(name("number").alias("pr"), F.col("merged_at").alias("event_at"))
     touched = linked.select(name("pr_number").alias("pr"), "component").distinct().join(merged, "pr")
-    probes = by_component.select(F.struct("bug", "component").alias("probe"), F.col("created").alias("at"), F.col("component").alias("c"))
-    pairs = within_days(probes, touched, most=2**31 - 1, ties=("pr",)).filter(F.col("c") == F.col("component"))
-    pairs = pairs.select(F.col("probe.bug").alias("bug"), "pr", "event_at").distinct()
+    # the latest five of a bug are among the latest five of its components
+    probes = by_component.select(F.col("bug").alias("probe"), F.col("created").alias("at"), "component")
+    pairs = within_days(probes, touched, ties=("pr",), by=("component",)).select(F.col("probe").alias("bug"), "pr", "event_at").distinct()
     order = Window.partitionBy("bug").orderBy(F.desc("event_at"), "pr")
     found = edges(pairs.withColumn("_n", F.row_number().over(order)).filter("_n <= 5"), F.col("bug"), "issue", "probably_caused_by", F.col("pr"), "pull_request")
     return found if known is None else found.join(known.select("source", "target", "type"), ["source", "target", "type"], "left_anti")

@@ -333,15 +333,24 @@ def orphan_entities(t):
 
 
 @query("""WITH r AS (SELECT DISTINCT issue_key, changed_at FROM issue_changelogs WHERE field = 'status' AND to_value = 'Reopened'),
-    m AS (SELECT concat('h', o_orderkey) AS pr, o_orderdate AS merged_at FROM orders WHERE o_orderkey % 50 = 0)
+    m AS (SELECT concat('h', o_orderkey) AS pr, o_orderdate AS merged_at FROM orders)
     SELECT issue_key AS source, pr AS target FROM r JOIN m ON merged_at < changed_at AND merged_at > changed_at - INTERVAL 14 DAY
     QUALIFY row_number() OVER (PARTITION BY issue_key, changed_at ORDER BY merged_at DESC, pr) <= 5""")
 def regression_suspects(t):
     reopened = t.issue_changelogs.filter("field = 'status' and to_value = 'Reopened'").select(F.col("issue_key").alias("probe"), F.col("changed_at").alias("at")).distinct()
-    merged = t.raw("orders").filter("o_orderkey % 50 = 0").select(F.concat(F.lit("h"), "o_orderkey").alias("pr"), F.col("o_orderdate").alias("event_at"))
+    merged = t.raw("orders").select(F.concat(F.lit("h"), "o_orderkey").alias("pr"), F.col("o_orderdate").alias("event_at"))
     return graph.within_days(reopened, merged, ties=("pr",)).select(F.col("probe").alias("source"), F.col("pr").alias("target"))
 
 
+@query("""WITH r AS (SELECT DISTINCT issue_key, changed_at FROM issue_changelogs WHERE field = 'status' AND to_value = 'Reopened'),
+    m AS (SELECT concat(repo_full_name, '#', number) AS pr, merged_at FROM pull_requests WHERE merged_at IS NOT NULL),
+    f AS (SELECT issue_key, pr FROM r JOIN m ON merged_at < changed_at AND merged_at > changed_at - INTERVAL 14 DAY
+        QUALIFY row_number() OVER (PARTITION BY issue_key, changed_at ORDER BY merged_at DESC, pr) <= 5)
+    SELECT DISTINCT issue_key AS source, 'issue' AS source_type, 'probably_caused_by' AS type, pr AS target, 'pull_request' AS target_type FROM f""")
+def regression_edges(t):
+    return graph.regressions(t.issue_changelogs, t.pull_requests).select("source", "source_type", "type", "target", "target_type").distinct()
+
+
 @query("SELECT commit_hash, issue_key FROM commit_issue_refs")
 def issue_key_extract(t):
     from spindrift.sources.dumps import commit_refs
