@@ -13,18 +13,93 @@ def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """old with new's rows in place of those of the same key. Columns in keep stay as they were where they were set."""
-    rows = new
+def _without(old: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """old without the rows of those keys; null keys equal one another."""
+    gone = keys.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(names)))
+    same = [old[k].eqNullSafe(gone[f"_k{i}"]) for i, k in enumerate(names)]
+    return old.join(gone, same, "left_anti")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """old with new's rows in place of those of the same key. Columns in keep stay as they were where they were set.
+
+    Where new repeats a key, null ones included, the last row by order stays, or any one without an order.
+    """
+    rows = new = last_of(new, keys, order) if order else new.dropDuplicates(keys)
     if keep:
         before = old.select(*keys, *(F.col(c).alias(f"_{c}") for c in keep))
         rows = new.join(before, keys, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in keep}).select(*old.columns)
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(rows)
+    return _without(old, new, keys).unionByName(rows)
 
 
-def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: str | list[str]) -> DataFrame:
     """old without the children of parents, and new."""
-    return old.join(parents.select(key).distinct(), key, "left_anti").unionByName(new)
+    keys = [key] if isinstance(key, str) else key
+    return _without(old, parents.select(*keys).distinct(), keys).unionByName(new)
+
+
+#: Per kind of batch: its parent table and key, and its child tables with the columns that name the parent.
+BATCHES = {
+    "issues": ("issues", ["issue_key"], {"issue_comments": ["issue_key"], "issue_changelogs": ["issue_key"], "issue_worklogs": ["issue_key"],
+                                         "issue_links": ["source_key"]}),
+    "commits": ("commits", ["hash"], {"commit_files": ["commit_hash"], "commit_issue_refs": ["commit_hash"]}),
+    "pull_requests": ("pull_requests", ["repo_full_name", "number"], {
+        t: ["repo_full_name", "pr_number"] for t in ("pr_reviews", "pr_comments", "pr_files", "pr_issue_refs")}),
+    "releases": ("releases", ["repo_full_name", "id"], {}),
+}
+#: Keys of the catalog tables, which a batch upserts side by side.
+CATALOG = {
+    "db_tables": ["source_name", "schema_name", "table_name"], "db_columns": ["source_name", "table_name", "column_name"],
+    "db_foreign_keys": ["source_name", "table_name", "column_name", "referenced_table", "referenced_column"],
+    "db_indexes": ["source_name", "table_name", "index_name"],
+}
+
+
+def save_batch(kind: str, old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after a batch: parents upserted, and all children of the batch's parents replaced by the batch's.
+
+    Child tables that the batch lacks lose those parents' rows. References are kept once.
+    """
+    parent, keys, children = BATCHES[kind]
+    out = {parent: upsert(old[parent], new[parent], keys)}
+    for child, names in children.items():
+        parents = new[parent].select(*(F.col(k).alias(n) for k, n in zip(keys, names)))
+        rows = new.get(child, old[child].limit(0))
+        out[child] = replace_children(old[child], rows.distinct() if child.endswith("_refs") else rows, parents, names)
+    return out
+
+
+def save_schema(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {t: upsert(old[t], new[t], CATALOG[t]) for t in CATALOG if t in new}
+
+
+def delete_schema(tables: dict[str, DataFrame], source: str) -> dict[str, DataFrame]:
+    """The catalog tables without one source."""
+    return {t: tables[t].filter(~F.col("source_name").eqNullSafe(source)) for t in CATALOG if t in tables}
+
+
+def save_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(issue_key, embedding) rows in place of those of the same key."""
+    return upsert(old, new, ["issue_key"])
+
+
+def update_source(issues: DataFrame, key: str, source: str) -> DataFrame:
+    return issues.withColumn("source", F.when(F.col("issue_key") == key, source).otherwise(F.col("source")))
+
+
+def save_entities(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Graph entities by name and type; the new properties stay."""
+    return upsert(old, new, ["name", "type"])
+
+
+def observations_of(observations: DataFrame, entity: str) -> DataFrame:
+    return observations.filter(F.col("entity") == entity).orderBy(F.col("created_at").asc_nulls_last(), "content")
+
+
+def initialize(spark, path: str, schemas: dict[str, str]) -> None:
+    """Empty Parquet tables for those that a workspace folder lacks; running it again changes nothing."""
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{name}.parquet")
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

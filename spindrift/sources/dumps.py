@@ -73,6 +73,28 @@ def links(rows: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
+def _children(rows: DataFrame, path: str) -> DataFrame:
+    """issue_key and doc (JSON text) of each element of an array."""
+    found = F.from_json(F.get_json_object("doc", f"$.{path}"), "array<string>")
+    return rows.select(at("key").alias("issue_key"), F.explode(found).alias("doc"))
+
+
+def _time(name: str, alias: str | None = None) -> Column:
+    return at(name).try_cast("timestamp").alias(alias or name)
+
+
+def comments(rows: DataFrame) -> DataFrame:
+    return _children(rows, "fields.comment.comments").select(
+        "issue_key", F.coalesce(at("id"), F.lit("")).alias("comment_id"), at("author.displayName").alias("author"),
+        markdown_of(F.get_json_object("doc", "$.body")).alias("body"), _time("created"), _time("updated"))
+
+
+def worklogs(rows: DataFrame) -> DataFrame:
+    return _children(rows, "fields.worklog.worklogs").select(
+        "issue_key", at("author.displayName").alias("author"), at("timeSpent").alias("time_spent"),
+        at("timeSpentSeconds", "int").alias("time_spent_seconds"), markdown_of(F.get_json_object("doc", "$.comment")).alias("comment"), _time("started"))
+
+
 def file_status(status: Column) -> Column:
     names = F.create_map(*(F.lit(x) for pair in FILE_STATUS.items() for x in pair))
     return F.coalesce(F.try_element_at(names, status), F.lit("modified"))
@@ -98,6 +120,35 @@ def pr_refs(prs: DataFrame) -> DataFrame:
     return prs.select("repo_full_name", F.col("number").alias("pr_number"), F.explode(keys).alias("issue_key")).distinct()
 
 
+def _of_pr(repo: str) -> list[Column]:
+    """Repository and number: the landed pr_number or else the one that pull_request_url ends with."""
+    number = F.coalesce(at("pr_number", "int"), F.regexp_extract(at("pull_request_url"), r"/(\d+)$", 1).try_cast("int"))
+    return [F.lit(repo).alias("repo_full_name"), number.alias("pr_number")]
+
+
+def reviews(rows: DataFrame, repo: str) -> DataFrame:
+    return rows.select(*_of_pr(repo), at("id", "long").alias("review_id"), at("user.login").alias("reviewer"), at("state").alias("state"),
+                       at("body").alias("body"), _time("submitted_at"))
+
+
+def review_comments(rows: DataFrame, repo: str) -> DataFrame:
+    return rows.select(*_of_pr(repo), at("id", "long").alias("comment_id"), at("user.login").alias("author"), at("body").alias("body"),
+                       at("path").alias("path"), at("line", "int").alias("line"), _time("created_at"), _time("updated_at"))
+
+
+def pr_files(rows: DataFrame, repo: str) -> DataFrame:
+    """Missing counts are 0; a status of another name is a modification."""
+    count = lambda n: F.coalesce(at(n, "int"), F.lit(0)).alias(n)
+    return rows.select(*_of_pr(repo), at("filename").alias("file_path"), file_status(at("status")).alias("status"), count("additions"), count("deletions"))
+
+
+def releases(rows: DataFrame, repo: str) -> DataFrame:
+    flag = lambda n: F.coalesce(at(n, "boolean"), F.lit(False)).alias(n)
+    return rows.select(F.lit(repo).alias("repo_full_name"), at("id", "long").alias("id"), at("tag_name").alias("tag_name"), at("name").alias("name"),
+                       at("body").alias("body"), at("author.login").alias("author"), flag("draft"), flag("prerelease"),
+                       _time("created_at"), _time("published_at"), F.col("doc").alias("raw_json"))
+
+
 def board_tasks(spark: SparkSession, folder: str) -> DataFrame:
     """Tasks from Markdown files: the first heading is the title; front matter and folders tell the rest."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")

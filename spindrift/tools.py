@@ -15,21 +15,25 @@ from spindrift.operators import graph, lookup, search, stats, store, vectors
 from spindrift.session import Workspace
 
 
+#: The tools search by stems unless they are told otherwise.
+STEMMED = {"stemmed": True}
+
+
 class Tools:
     def __init__(self, workspace: Workspace):
         self.ws, self.t = workspace, workspace.table
 
     def query_issues(self, sql: str | None = None, **filters) -> DataFrame:
-        return self.query(sql) if sql else search.query_issues(self.t("issues"), **filters)
+        return self.query(sql) if sql else search.query_issues(self.t("issues"), **STEMMED | filters)
 
     def query_commits(self, sql: str | None = None, **filters) -> DataFrame:
-        return self.query(sql) if sql else search.query_commits(self.t("commits"), self.t("commit_files"), **filters)
+        return self.query(sql) if sql else search.query_commits(self.t("commits"), self.t("commit_files"), **STEMMED | filters)
 
     def query_prs(self, sql: str | None = None, **filters) -> DataFrame:
-        return self.query(sql) if sql else search.query_prs(self.t("pull_requests"), **filters)
+        return self.query(sql) if sql else search.query_prs(self.t("pull_requests"), **STEMMED | filters)
 
     def query_releases(self, **filters) -> DataFrame:
-        return search.query_releases(self.t("releases"), **filters)
+        return search.query_releases(self.t("releases"), **STEMMED | filters)
 
     def query(self, sql: str) -> DataFrame:
         """A statement over the workspace's registered views, checked to be a reading one."""
