@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import rendering, text
 from spindrift.operators import estimate, graph, lookup, search, stats, store, vectors
 from spindrift.plans.domain import table, with_views
+from spindrift.sources import catalog, dumps, proxy
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -65,6 +66,50 @@ def issue_text_search(t):
     return search.query_issues(t.issues, search="the URGENT customer")
 
 
+@query(f"""SELECT {ISSUE_COLUMNS} FROM (SELECT *, string_split_regex(lower(summary || ' ' || description), '[^a-z0-9]+') AS w FROM issues)
+    WHERE list_has_any(w, ['urgent']) AND list_has_any(w, ['order', 'orders', 'ordered']) AND list_has_any(w, ['ask', 'asks', 'asked'])
+    ORDER BY updated DESC NULLS LAST, issue_key LIMIT 50""")
+def stemmed_search(t):
+    return search.query_issues(t.issues, search="urgent orders asked", stemmed=True)
+
+
+@query("""SELECT commit_hash, file_path, status, additions, deletions FROM commit_files WHERE commit_hash NOT IN (SELECT hash FROM commits WHERE author = 'dev3')
+    UNION ALL SELECT hash, 'all.py', 'added', 1, 0 FROM commits WHERE author = 'dev3'""")
+def saved_commit_files(t):
+    old = {n: getattr(t, n) for n in ("commits", "commit_files", "commit_issue_refs")}
+    mine = t.commits.filter("author = 'dev3'")
+    files = mine.select(F.col("hash").alias("commit_hash"), F.lit("all.py").alias("file_path"), F.lit("added").alias("status"),
+                        F.lit(1).cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
+    return store.save_batch("commits", old, {"commits": mine, "commit_files": files})["commit_files"]
+
+
+@query("""SELECT 'db' AS source_name, concat('t', l_suppkey % 5) AS table_name, concat('i', l_partkey % 10) AS index_name,
+        string_agg(concat('c', l_linenumber), ',' ORDER BY l_orderkey * 10 + l_linenumber) AS column_list,
+        arg_min(l_tax > 0.04, l_orderkey * 10 + l_linenumber) AS is_unique, arg_min(l_discount > 0.05, l_orderkey * 10 + l_linenumber) AS is_primary
+    FROM lineitem GROUP BY ALL""")
+def folded_indexes(t):
+    rows = t.raw("lineitem").selectExpr("concat('t', l_suppkey % 5) table_name", "concat('i', l_partkey % 10) index_name", "concat('c', l_linenumber) column_name",
+                                        "l_tax > 0.04 is_unique", "l_discount > 0.05 is_primary", "l_orderkey * 10 + l_linenumber position")
+    return catalog.indexes(rows, "db").withColumn("column_list", F.array_join("columns", ",")).drop("columns")
+
+
+@query("""SELECT 'org/r' AS repo_full_name, CAST(event_id % 90 AS INTEGER) AS pr_number, event_id AS review_id, concat('dev', user_id % 40) AS reviewer,
+        event_type AS state, CASE WHEN event_id % 2 = 0 THEN 'fine' END AS body, CAST(NULL AS TIMESTAMP) AS submitted_at FROM events""")
+def landed_reviews(t):
+    doc = """to_json(named_struct('id', event_id, 'user', named_struct('login', concat('dev', user_id % 40)), 'state', event_type,
+        'body', if(event_id % 2 = 0, 'fine', null), 'pull_request_url', concat('https://host/pulls/', event_id % 90))) doc"""
+    return dumps.reviews(t.raw("events").selectExpr(doc), "org/r")
+
+
+@query("""SELECT concat('P-', o_orderkey) AS issue_key, 'P' AS project_key, concat('s', o_custkey) AS summary, o_orderstatus AS status,
+        concat('c', o_custkey % 6, ',c', o_custkey % 4) AS component_list, CAST(o_custkey % 9 AS DOUBLE) AS story_points FROM orders""")
+def proxied_issues(t):
+    doc = """to_json(named_struct('key', concat('P-', o_orderkey), 'fields', named_struct('summary', concat('s', o_custkey), 'status', named_struct('name', o_orderstatus),
+        'story_points', o_custkey % 9, 'components', array(named_struct('name', concat('c', o_custkey % 6)), named_struct('name', concat('c', o_custkey % 4)))))) doc"""
+    found = proxy.issues(t.raw("orders").selectExpr(doc)).withColumn("component_list", F.array_join("components", ","))
+    return found.select("issue_key", "project_key", "summary", "status", "component_list", "story_points")
+
+
 @query("""SELECT doc_id FROM documents WHERE list_has_all(string_split_regex(lower(text), '[^a-z0-9]+'), ['thing', 'tion'])""")
 def fts_and_match(t):
     return t.raw("documents").filter(text.matches(F.col("text"), "thing tion")).select("doc_id")
