@@ -145,6 +145,25 @@ def bug_causes(issues: DataFrame, prs: DataFrame, refs: DataFrame, asof: str, kn
     return found if known is None else found.join(known.select("source", "target", "type"), ["source", "target", "type"], "left_anti")
 
 
+def build(tables: dict[str, DataFrame], asof: str, since: str | None = None, **options) -> DataFrame:
+    """All edges that the project tables imply, each once.
+
+    tables holds issues, commits, commit_issue_refs, commit_files, pull_requests, pr_issue_refs,
+    issue_links and issue_changelogs, and pr_reviews where reviewers are wanted. With since, issues
+    and commits before it give no edges of their own, for adding to a graph that holds those; all other
+    edges come from all rows. Options go to co_changes.
+    """
+    t = tables
+    issues, commits, prs = t["issues"], t["commits"], t["pull_requests"]
+    causes = regressions(t["issue_changelogs"], prs)
+    others = [pr_edges(prs, t["pr_issue_refs"], t.get("pr_reviews")), link_edges(t["issue_links"]), co_change_edges(t["commit_files"], **options),
+              causes, bug_causes(issues, prs, t["pr_issue_refs"], asof, causes)]
+    if since is not None:
+        start = F.lit(since).cast("timestamp")
+        issues, commits = issues.filter(F.col("updated") >= start), commits.filter(F.col("committed_at") >= start)
+    return reduce(DataFrame.unionByName, [issue_edges(issues), commit_edges(commits, t["commit_issue_refs"], t["commit_files"]), *others])
+
+
 def entities(graph: DataFrame) -> DataFrame:
     ends = graph.select(F.col("source").alias("name"), F.col("source_type").alias("type")).union(graph.select("target", "target_type"))
     return ends.distinct()
@@ -172,8 +191,7 @@ def seeds(graph: DataFrame, part: str) -> DataFrame:
 
 def edges_of(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with either end among the nodes."""
-    n = nodes.select("name", "type")
-    end = lambda s: graph.join(n, (graph[s] == n["name"]) & (graph[f"{s}_type"] == n["type"]), "left_semi")
+    end = lambda s: graph.join(nodes.select(F.col("name").alias(s), F.col("type").alias(f"{s}_type")), [s, f"{s}_type"], "left_semi").select(*graph.columns)
     return end("source").union(end("target")).distinct()
 
 
@@ -192,10 +210,14 @@ def impact(graph: DataFrame, part: str, depth: int = 2) -> dict[str, DataFrame]:
 
 def expertise(graph: DataFrame, area: str, limit: int = 10) -> DataFrame:
     """Developers around an area by what joins them to it."""
-    found = incident(edges_of(graph, walk(graph, seeds(graph, area), 2)), "developer")
+    return busiest(edges_of(graph, walk(graph, seeds(graph, area), 2)), limit)
+
+
+def busiest(graph: DataFrame, limit: int = 10) -> DataFrame:
+    """Developers by their number of edges, and how many of those are commits, reviews and assignments."""
     is_any = lambda *k: F.count_if(F.col("edge").isin(*k))
-    return (found.groupBy("name").agg(F.count("*").alias("total"), is_any("authored_commit_for", "changed").alias("commits"),
-                                      is_any("reviewed").alias("reviews"), is_any("assigned_to").alias("assigned"))
+    return (incident(graph, "developer").groupBy("name").agg(F.count("*").alias("total"), is_any("authored_commit_for", "changed").alias("commits"),
+                                                             is_any("reviewed").alias("reviews"), is_any("assigned_to").alias("assigned"))
             .orderBy(F.desc("total"), "name").limit(limit))
 
 

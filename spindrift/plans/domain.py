@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 ISSUE = "concat('PRJ', {0} % 7, '-', {0})"
 
+# events are of one month; pull requests are spread over the years of the orders, so that they meet issues
+MERGED = "(ts - (event_id % 2400) * INTERVAL '1' DAY - INTERVAL '8200' DAY)"
+
 VIEWS = {
     "issues": ("orders", f"""
         SELECT {ISSUE.format('o_orderkey')} AS issue_key, concat('PRJ', o_orderkey % 7) AS project_key,
@@ -21,6 +24,7 @@ VIEWS = {
             CASE WHEN o_orderkey % 3 = 0 THEN concat('PRJ', CAST(floor(o_orderkey / 4) AS BIGINT) % 7, '-', CAST(floor(o_orderkey / 4) AS BIGINT)) END AS parent_key,
             CAST(floor(o_totalprice) AS BIGINT) % 90000 AS time_spent, 3600 * (1 + o_orderkey % 24) AS original_estimate,
             concat('c', o_custkey % 6, ',c', o_orderkey % 9) AS component_list,
+            CASE WHEN o_orderkey % 4 > 0 THEN concat('l', o_custkey % 3, ',l', o_orderkey % 5) END AS label_list,
             o_orderdate AS created, o_orderdate AS updated,
             CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL '5' DAY END AS resolved
         FROM orders"""),
@@ -35,12 +39,12 @@ VIEWS = {
     "commit_issue_refs": ("orders", f"""
         SELECT concat('h', o_orderkey) AS commit_hash, {ISSUE.format('o_orderkey')} AS issue_key FROM orders
         UNION SELECT concat('h', o_orderkey), concat('PRJ1-', o_custkey % 50) FROM orders"""),
-    "pull_requests": ("events", """
+    "pull_requests": ("events", f"""
         SELECT event_id AS number, concat('org/r', user_id % 3) AS repo_full_name, concat(event_type, ' by ', user_id) AS title,
             concat('Implements PRJ', event_id % 7, '-', event_id) AS body,
             CASE event_type WHEN 'purchase' THEN 'merged' WHEN 'error' THEN 'closed' ELSE 'open' END AS state,
-            concat('dev', user_id % 40) AS author, ts AS created_at, ts AS updated_at,
-            CASE WHEN event_type = 'purchase' THEN ts END AS merged_at, 'main' AS base_ref
+            concat('dev', user_id % 40) AS author, {MERGED} AS created_at, {MERGED} AS updated_at,
+            CASE WHEN event_type = 'purchase' THEN {MERGED} END AS merged_at, 'main' AS base_ref
         FROM events"""),
     "pr_issue_refs": ("events", f"""
         SELECT concat('org/r', user_id % 3) AS repo_full_name, event_id AS pr_number, {ISSUE.format('event_id')} AS issue_key FROM events"""),
@@ -68,10 +72,12 @@ VIEWS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A project table; components come as an array."""
+    """A project table; components and labels come as arrays."""
     source, text = VIEWS[name]
     found = spark.sql(text.replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
-    return found.withColumn("components", F.split("component_list", ",")) if name == "issues" else found
+    if name != "issues":
+        return found
+    return found.withColumns({"components": F.split("component_list", ","), "labels": F.split("label_list", ",")})
 
 
 def with_views(query: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import rendering, text
 from spindrift.operators import estimate, graph, lookup, search, stats, store, vectors
 from spindrift.plans.domain import table, with_views
+from spindrift.session import settled
 from spindrift.sources import catalog, dumps, proxy
 
 QUERIES: dict = {}
@@ -319,19 +320,47 @@ def range_join_suspects(t):
     return found.select("probe", "event_id", F.col("place").cast("long").alias("place"))
 
 
-EDGE_COLUMNS = "source, source_type, type, target, target_type"
-ALL_EDGES = """SELECT issue_key AS source, 'issue' AS source_type, 'assigned_to' AS type, assignee AS target, 'developer' AS target_type, 1.0::DOUBLE AS weight
+REOPENED = """SELECT issue_key AS source, pr AS target FROM (SELECT DISTINCT issue_key, changed_at FROM issue_changelogs WHERE field = 'status' AND to_value = 'Reopened')
+        JOIN (SELECT concat(repo_full_name, '#', number) AS pr, merged_at FROM pull_requests WHERE merged_at IS NOT NULL)
+        ON merged_at < changed_at AND merged_at > changed_at - INTERVAL 14 DAY
+        QUALIFY row_number() OVER (PARTITION BY issue_key, changed_at ORDER BY merged_at DESC, pr) <= 5"""
+ASOF = "2001-08-01"
+BUG_CAUSES = """SELECT bug AS source, pr AS target FROM (SELECT DISTINCT bug, pr, merged_at FROM (SELECT issue_key AS bug, created, unnest(string_split(component_list, ',')) AS component
+            FROM issues WHERE issue_type IN ('Bug', 'Defect') AND created >= TIMESTAMP '2001-02-01')
+        JOIN (SELECT concat(r.repo_full_name, '#', pr_number) AS pr, merged_at, unnest(string_split(component_list, ',')) AS component FROM pr_issue_refs r
+            JOIN issues USING (issue_key) JOIN pull_requests p ON r.repo_full_name = p.repo_full_name AND pr_number = number WHERE merged_at IS NOT NULL) USING (component)
+        WHERE merged_at < created AND merged_at > created - INTERVAL 14 DAY)
+        QUALIFY row_number() OVER (PARTITION BY bug ORDER BY merged_at DESC, pr) <= 5"""
+ALL_EDGES = f"""SELECT issue_key AS source, 'issue' AS source_type, 'assigned_to' AS type, assignee AS target, 'developer' AS target_type, 1.0::DOUBLE AS weight
         FROM issues WHERE assignee IS NOT NULL
     UNION ALL SELECT issue_key, 'issue', 'reported_by', reporter, 'developer', 1 FROM issues
+    UNION ALL SELECT DISTINCT issue_key, 'issue', 'labeled', unnest(string_split(label_list, ',')), 'label', 1 FROM issues
     UNION ALL SELECT DISTINCT issue_key, 'issue', 'in_component', unnest(string_split(component_list, ',')), 'component', 1 FROM issues
     UNION ALL SELECT parent_key, 'issue', 'parent_of', issue_key, 'issue', 1 FROM issues WHERE parent_key IS NOT NULL
     UNION ALL SELECT DISTINCT author, 'developer', 'authored_commit_for', issue_key, 'issue', 1 FROM commits JOIN commit_issue_refs ON hash = commit_hash
-    UNION ALL SELECT author, 'developer', 'changed', 'src/' || split_part(file_path, '/', 2), 'module', count(*) FROM commits JOIN commit_files ON hash = commit_hash GROUP BY ALL"""
+    UNION ALL SELECT author, 'developer', 'changed', 'src/' || split_part(file_path, '/', 2), 'module', count(*) FROM commits JOIN commit_files ON hash = commit_hash GROUP BY ALL
+    UNION ALL SELECT DISTINCT concat(repo_full_name, '#', pr_number), 'pull_request', 'implements', issue_key, 'issue', 1 FROM pr_issue_refs
+    UNION ALL SELECT DISTINCT author, 'developer', 'authored_pr', concat(repo_full_name, '#', number), 'pull_request', 1 FROM pull_requests
+    UNION ALL SELECT DISTINCT reviewer, 'developer', 'reviewed', concat(repo_full_name, '#', pr_number), 'pull_request', 1 FROM pr_reviews
+    UNION ALL SELECT DISTINCT source_key, 'issue', CASE WHEN link_type = 'Blocks' THEN 'blocked_by' ELSE 'root_causes' END, target_key, 'issue', 1
+        FROM issue_links WHERE link_type <> 'Related'
+    UNION ALL SELECT a, 'module', 'co_changes', b, 'module', min(n) FROM (SELECT 'src/' || split_part(first, '/', 2) AS a, 'src/' || split_part(second, '/', 2) AS b, n
+        FROM (SELECT f.file_path AS first, g.file_path AS second, count(*) AS n FROM commit_files f JOIN commit_files g
+            ON f.commit_hash = g.commit_hash AND f.file_path < g.file_path GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, 1, 2 LIMIT 500)) WHERE a <> b GROUP BY ALL
+    UNION ALL SELECT source, 'issue', 'probably_caused_by', target, 'pull_request', 1 FROM (({REOPENED}) UNION ({BUG_CAUSES}))"""
+WALK = """WITH RECURSIVE e AS MATERIALIZED (%s), u AS MATERIALIZED (SELECT source, source_type, target, target_type FROM e UNION SELECT target, target_type, source, source_type FROM e),
+    w AS (SELECT DISTINCT source AS name, source_type AS type, 0 AS depth FROM u WHERE source ILIKE '%%m7%%'
+        UNION SELECT target, target_type, depth + 1 FROM w JOIN u ON name = source AND type = source_type WHERE depth < %d),
+    n AS MATERIALIZED (SELECT name, type, min(depth) AS depth FROM w GROUP BY 1, 2 ORDER BY 3, 2, 1 LIMIT 200),
+    b AS MATERIALIZED (SELECT e.* FROM e WHERE (source, source_type) IN (SELECT (name, type) FROM n) OR (target, target_type) IN (SELECT (name, type) FROM n))"""
+BUSIEST = """SELECT name, count(*) AS total, CAST(count_if(type IN ('authored_commit_for', 'changed')) AS BIGINT) AS commits, CAST(count_if(type = 'reviewed') AS BIGINT) AS reviews,
+    CAST(count_if(type = 'assigned_to') AS BIGINT) AS assigned FROM (SELECT source AS name, type FROM {0} WHERE source_type = 'developer'
+        UNION ALL SELECT target, type FROM {0} WHERE target_type = 'developer') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
+GRAPH_TABLES = ("issues", "commits", "commit_issue_refs", "commit_files", "pull_requests", "pr_issue_refs", "pr_reviews", "issue_links", "issue_changelogs")
 
 
 def _graph(t) -> DataFrame:
-    issues = t.issues.withColumn("labels", F.array().cast("array<string>"))
-    return graph.issue_edges(issues).unionByName(graph.commit_edges(t.commits, t.commit_issue_refs, t.commit_files))
+    return graph.build({n: getattr(t, n) for n in GRAPH_TABLES}, ASOF)
 
 
 @query(ALL_EDGES)
@@ -339,30 +368,43 @@ def graph_build_edges(t):
     return _graph(t)
 
 
-@query(f"""WITH RECURSIVE e AS ({ALL_EDGES}), u AS (SELECT source, source_type, target, target_type FROM e UNION SELECT target, target_type, source, source_type FROM e),
-    w AS (SELECT DISTINCT source AS name, source_type AS type, 0 AS depth FROM u WHERE source ILIKE '%m7%'
-        UNION SELECT target, target_type, depth + 1 FROM w JOIN u ON name = source AND type = source_type WHERE depth < 2)
-    SELECT name, type, min(depth) AS depth FROM w GROUP BY 1, 2 ORDER BY 3, 2, 1 LIMIT 200""")
+@query(WALK % (ALL_EDGES, 2) + " SELECT * FROM n")
 def graph_walk(t):
-    g = _graph(t)
+    g = settled(_graph(t))
     return graph.walk(g, graph.seeds(g, "m7"), 2)
 
 
-@query(f"""WITH e AS ({ALL_EDGES}), i AS (SELECT source AS name, type FROM e WHERE source_type = 'developer' UNION ALL SELECT target, type FROM e WHERE target_type = 'developer')
-    SELECT name, count(*) AS total, CAST(count_if(type IN ('authored_commit_for', 'changed')) AS BIGINT) AS commits, CAST(count_if(type = 'reviewed') AS BIGINT) AS reviews,
-        CAST(count_if(type = 'assigned_to') AS BIGINT) AS assigned FROM i GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+@query(WALK % (ALL_EDGES, 2) + BUSIEST.format("b"))
+def developer_expertise(t):
+    return graph.expertise(settled(_graph(t)), "m7")
+
+
+@query(WALK % (ALL_EDGES, 2) + """ SELECT name, count(*) AS edges FROM (SELECT source AS name FROM b WHERE source_type = 'developer'
+    UNION ALL SELECT target FROM b WHERE target_type = 'developer') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def impact_developers(t):
+    return graph.impact(settled(_graph(t)), "m7")["developers"]
+
+
+@query(WALK % (ALL_EDGES, 2) + """ SELECT * FROM b WHERE type IN ('co_changes', 'imports', 'depends_on_pkg')
+    QUALIFY row_number() OVER (PARTITION BY type ORDER BY weight DESC, source, target) <= CASE type WHEN 'co_changes' THEN 15 ELSE 20 END""")
+def code_dependencies(t):
+    return graph.dependencies(settled(_graph(t)), "m7")
+
+
+@query((WALK % (ALL_EDGES, 1)).replace("%m7%", "%prj3-10%") + " SELECT * FROM n WHERE type = 'issue' AND name <> 'PRJ3-10' ORDER BY depth, type, name LIMIT 30")
+def related_issues(t):
+    return graph.related_issues(settled(_graph(t)), "prj3-10", 1)
+
+
+@query(f"WITH e AS ({ALL_EDGES}) " + BUSIEST.format("e"))
 def graph_degree_rank(t):
-    found = graph.incident(_graph(t), "developer")
-    is_any = lambda *k: F.count_if(F.col("edge").isin(*k))
-    return (found.groupBy("name").agg(F.count("*").alias("total"), is_any("authored_commit_for", "changed").alias("commits"),
-                                      is_any("reviewed").alias("reviews"), is_any("assigned_to").alias("assigned"))
-            .orderBy(F.desc("total"), "name").limit(10))
+    return graph.busiest(_graph(t))
 
 
 @query(f"""WITH e AS ({ALL_EDGES}) SELECT 'entity' AS facet, type AS value, count(*) AS n FROM (SELECT source AS name, source_type AS type FROM e
     UNION SELECT target, target_type FROM e) GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM e GROUP BY 2""")
 def graph_stats(t):
-    return graph.stats(_graph(t))
+    return graph.stats(settled(_graph(t)))
 
 
 @query("""SELECT DISTINCT source_key AS source, CASE WHEN link_type = 'Blocks' THEN 'blocked_by' ELSE 'root_causes' END AS type, target_key AS target,
@@ -387,15 +429,16 @@ def regression_suspects(t):
     return graph.within_days(reopened, merged, ties=("pr",)).select(F.col("probe").alias("source"), F.col("pr").alias("target"))
 
 
-@query("""WITH r AS (SELECT DISTINCT issue_key, changed_at FROM issue_changelogs WHERE field = 'status' AND to_value = 'Reopened'),
-    m AS (SELECT concat(repo_full_name, '#', number) AS pr, merged_at FROM pull_requests WHERE merged_at IS NOT NULL),
-    f AS (SELECT issue_key, pr FROM r JOIN m ON merged_at < changed_at AND merged_at > changed_at - INTERVAL 14 DAY
-        QUALIFY row_number() OVER (PARTITION BY issue_key, changed_at ORDER BY merged_at DESC, pr) <= 5)
-    SELECT DISTINCT issue_key AS source, 'issue' AS source_type, 'probably_caused_by' AS type, pr AS target, 'pull_request' AS target_type FROM f""")
+@query(f"""SELECT DISTINCT source, 'issue' AS source_type, 'probably_caused_by' AS type, target, 'pull_request' AS target_type FROM ({REOPENED})""")
 def regression_edges(t):
     return graph.regressions(t.issue_changelogs, t.pull_requests).select("source", "source_type", "type", "target", "target_type").distinct()
 
 
+@query(f"""SELECT source, 'issue' AS source_type, 'probably_caused_by' AS type, target, 'pull_request' AS target_type, 1.0::DOUBLE AS weight FROM ({BUG_CAUSES})""")
+def bug_cause_edges(t):
+    return graph.bug_causes(t.issues, t.pull_requests, t.pr_issue_refs, ASOF)
+
+
 @query("SELECT commit_hash, issue_key FROM commit_issue_refs")
 def issue_key_extract(t):
     from spindrift.sources.dumps import commit_refs

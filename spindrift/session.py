@@ -16,6 +16,19 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that spark.checkpoint.dir names: made once for plans that read it often, and safe
+    from lost executors. Only a local master may leave the folder unset. Files stay until the cluster's cleaner takes them."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError(f"spark.checkpoint.dir is unset and {context.master} has no folder that all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
 class Workspace:
     """Tables of one project under a folder; switching workspaces is opening another folder."""
 

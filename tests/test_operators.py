@@ -104,3 +104,25 @@ def test_cosine_of_zero_vector_is_null(spark):
 def test_grouped_counts_show_nulls(spark):
     df = spark.createDataFrame([("x",), (None,), ("x",)], "a string")
     assert sorted((r.facet, r.value or "", r.n) for r in stats.grouped_counts(df, ["a"]).collect()) == [("a", "", 1), ("a", "x", 2), ("total", "", 3)]
+
+
+def test_edges_of_a_walk_and_incremental_build(spark):
+    g = make_graph(spark, [("a", "b"), ("b", "c"), ("x", "y")])
+    near = graph.walk(g, graph.seeds(g, "a"), 1)
+    assert {(r["source"], r["target"]) for r in graph.edges_of(g, near).collect()} == {("a", "b"), ("b", "c")}
+    none = lambda schema: spark.createDataFrame([], schema)
+    issue = "issue_key string, issue_type string, assignee string, reporter string, parent_key string, labels array<string>, components array<string>, created timestamp, updated timestamp"
+    issues = spark.sql("select i as issue_key, 'Bug' as issue_type, 'ann' as assignee, null as reporter, null as parent_key, array('l', null) as labels,"
+                       " cast(null as array<string>) as components, timestamp '2020-01-01' as created, at as updated"
+                       " from values ('A-1', timestamp '2020-01-01'), ('A-2', timestamp '2020-06-01'), (null, null) as v(i, at)")
+    assert issues.columns == [c.split()[0] for c in issue.split(", ")]
+    tables = {"issues": issues, "commits": none("hash string, author string, committed_at timestamp"), "commit_issue_refs": none("commit_hash string, issue_key string"),
+              "commit_files": none("commit_hash string, file_path string"),
+              "pull_requests": none("repo_full_name string, number long, author string, updated_at timestamp, merged_at timestamp"),
+              "pr_issue_refs": spark.sql("select 'o/r' as repo_full_name, 7L as pr_number, 'A-1' as issue_key"),
+              "issue_links": none("source_key string, target_key string, link_type string"),
+              "issue_changelogs": none("issue_key string, field string, to_value string, changed_at timestamp")}
+    built = lambda **kw: {(r["source"], r["type"], r["target"]) for r in graph.build(tables, "2020-07-01", **kw).collect()}
+    second = {("A-2", "assigned_to", "ann"), ("A-2", "labeled", "l"), ("o/r#7", "implements", "A-1")}
+    assert built() == second | {("A-1", "assigned_to", "ann"), ("A-1", "labeled", "l")}
+    assert built(since="2020-05-01") == second
