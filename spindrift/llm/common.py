@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError(f"spark.checkpoint.dir is unset and {master} has no folder that all executors share")
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
@@ -41,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and for all, to let shuffle files go when their execution ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     if spark.conf.get(RELEASE) != "true":
         spark.conf.set(RELEASE, "true")
     df.write.parquet(path)
@@ -53,9 +58,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by materialize() that nothing will read again."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.spindrift_path)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(table.sparkSession, table.spindrift_path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -12,6 +12,9 @@ from spindrift.llm.pii import op1_pii
 from spindrift.llm.sharding import op6_sharding
 from spindrift.llm.sketches import op2_fingerprints
 from spindrift.llm.toxicity import op8_toxicity
+from spindrift.llm.variants import op12_variants
+from spindrift.llm.warc import op13_warc
+from spindrift.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_variants": op12_variants,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -50,4 +56,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+        h AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS holder FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to FROM h""",
 }
