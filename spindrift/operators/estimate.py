@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.rendering import business_hours
-from spindrift.functions.text import has, matches, rank
+from spindrift.functions.text import has
+from spindrift.operators.postings import ranked_texts
+from spindrift.session import settled
 
 YEAR_S = 86400.0 * 365
 BUGS = ("Bug", "Sub-bug")
@@ -43,17 +45,19 @@ def scored(issues: DataFrame, relevance: Column, asof: str, issue_type: str | No
 
 
 def similar(issues: DataFrame, description: str, asof: str, issue_type: str | None = None, components: list[str] | None = None,
-            exclude_key: str | None = None, limit: int = 10) -> DataFrame:
+            exclude_key: str | None = None, limit: int = 10, stemmed: bool = False) -> DataFrame:
     """The most similar finished issues; where no text matches, the most recently resolved ones."""
-    text = F.concat_ws(" ", "summary", "description")
     rows = issues if exclude_key is None else issues.filter(F.col("issue_key") != exclude_key)
-    done = rows.filter((F.col("status_category") == "Done") & (F.col("status") != "Canceled") & matches(text, description))
-    found = scored(done, rank(text, description), asof, issue_type, components).orderBy(F.desc("composite_score"), "issue_key").limit(limit)
+    done = rows.filter((F.col("status_category") == "Done") & (F.col("status") != "Canceled"))
+    hits = ranked_texts(done.select("issue_key", F.concat_ws(" ", "summary", "description").alias("_text")), "issue_key", "_text", description, stemmed)
+    matched = done.join(hits.select(F.col("key").alias("issue_key"), F.col("hits").alias("_hits")), "issue_key")
+    found = scored(matched, F.col("_hits"), asof, issue_type, components).orderBy(F.desc("composite_score"), "issue_key").limit(limit).drop("_hits")
+    found = settled(found, "similar")  # a few rows that every later step reads
     if not found.isEmpty():
         return found
     recent = rows.filter("resolved is not null").orderBy(F.desc("resolved"), "issue_key").limit(limit)
-    return recent.withColumns({"type_match": F.lit(0.0), "component_overlap": F.lit(0.0), "temporal_weight": F.lit(0.5),
-                               "composite_score": F.lit(0.0)})
+    return settled(recent.withColumns({"type_match": F.lit(0.0), "component_overlap": F.lit(0.0), "temporal_weight": F.lit(0.5),
+                                       "composite_score": F.lit(0.0)}).select(*found.columns), "similar")
 
 
 def worklog_sums(worklogs: DataFrame) -> DataFrame:
@@ -167,17 +171,58 @@ def profiles(tasks: DataFrame) -> DataFrame:
         F.count("*").alias("tasks"), *map(total, ("cycle_hours", "coding_hours", "bugs", "commits")))
 
 
+#: Outcomes of a prediction.
+RANGE, NOTHING, PREDICTED = "range", "none", "predicted"
+
+
+def predictions(requests: DataFrame, tasks: DataFrame, chosen: DataFrame, assignee: str, by: list[str]) -> DataFrame:
+    """For each request, by the columns in by, one of three outcomes from its tasks (hours, weight, cycle_only).
+
+    Where all tasks have cycle times only, the range of these in working days. Where there are no hours, nothing. Else the
+    base hours times the coefficients of the assignee: of the first context row that names them, else the first general one, else none.
+    """
+    known = base_hours(tasks, by)
+    spans = tasks.groupBy(*by).agg(F.min("cycle_only").alias("_cycle"), F.min("hours").alias("_least"), F.max("hours").alias("_most"))
+    own = (chosen.filter(has("assignee", assignee)).orderBy("source", "assignee").limit(1)
+           .select(F.lit(1).alias("_one"), "coefficient", "coefficient_with_bugs", F.col("source").alias("coefficient_source")))
+    rows = (requests.select(*by).distinct().join(known, by, "left").join(spans, by, "left").withColumn("_one", F.lit(1))
+            .join(F.broadcast(own), "_one", "left"))
+    mode = F.when(F.coalesce("_cycle", F.lit(False)), RANGE).when(F.coalesce("base_hours", F.lit(0.0)) == 0, NOTHING).otherwise(PREDICTED)
+    rows = rows.withColumn("mode", mode)
+    only = lambda m, c: F.when(F.col("mode") == m, c)
+    times = lambda c: F.col("base_hours") * F.coalesce(c, F.lit(1.0))
+    return rows.select(*by, "mode", F.coalesce("tasks", F.lit(0)).cast("long").alias("tasks"), only(PREDICTED, F.col("base_hours")).alias("base_hours"),
+                       only(RANGE, F.round(F.col("_least") / 8)).cast("long").alias("least_days"), only(RANGE, F.round(F.col("_most") / 8)).cast("long").alias("most_days"),
+                       *(only(PREDICTED, F.col(c)).alias(c) for c in ("coefficient", "coefficient_with_bugs", "coefficient_source")),
+                       only(PREDICTED, times("coefficient")).alias("predicted_hours"), only(PREDICTED, times("coefficient_with_bugs")).alias("predicted_hours_with_bugs"))
+
+
+def measured(tables: dict[str, DataFrame], found: DataFrame) -> DataFrame:
+    """Similar issues with what is known of each: worklogs, commits, bugs, first assignee, cycle and coding hours."""
+    mine = lambda df, key="issue_key": df.join(F.broadcast(found.select(F.col("issue_key").alias(key))), key, "left_semi")
+    logs = mine(tables["issue_worklogs"]).groupBy("issue_key").agg(F.sum("time_spent_seconds").alias("worklog_seconds"), F.min("author").alias("worklog_author"))
+    commits = commit_rollup(mine(tables["commit_issue_refs"]), tables["commits"], tables["commit_files"])
+    commits = commits.withColumnRenamed("authors", "commit_authors").drop("additions", "deletions")
+    bugs = related_bugs(tables["issues"], tables["issue_links"], found.select("issue_key")).groupBy(F.col("parent").alias("issue_key")).agg(F.count("*").alias("bugs"))
+    first = real_developers(mine(tables["issue_changelogs"])).withColumnRenamed("to_value", "first_assignee")
+    rows = reduce(lambda a, b: a.join(b, "issue_key", "left"), (logs, commits, bugs, first), found)
+    hours = lambda a, b: seconds_between(F.col(a), F.col(b)) / 3600
+    return rows.withColumns({"cycle_hours": hours("created", "resolved"), "coding_hours": hours("first_commit", "last_commit")})
+
+
 def estimate(tables: dict[str, DataFrame], description: str, assignee: str, asof: str, issue_type: str | None = None,
-             components: list[str] | None = None, exclude_key: str | None = None, limit: int = 10) -> DataFrame:
-    """One row: tasks compared, base_hours, the assignee's coefficient, predicted_hours, and whether cycle times are all there is."""
+             components: list[str] | None = None, exclude_key: str | None = None, limit: int = 10, stemmed: bool = False) -> dict[str, DataFrame]:
+    """prediction (one row), tasks, profiles of their developers, familiarity and its factor, and the assignee's coefficients.
+
+    tables holds issues, issue_links, issue_worklogs, issue_changelogs, commits, commit_files and commit_issue_refs.
+    """
     issues, links = tables["issues"], tables["issue_links"]
-    found = similar(issues, description, asof, issue_type, components, exclude_key, limit)
-    logs = tables["issue_worklogs"].groupBy("issue_key").agg(F.sum("time_spent_seconds").alias("worklog_seconds"))
-    spans = commit_rollup(tables["commit_issue_refs"], tables["commits"], tables["commit_files"]).select("issue_key", "first_commit", "last_commit")
-    tasks = task_hours(reduce(lambda a, b: a.join(b, "issue_key", "left"), (logs, spans), found))
-    tasks = tasks.select(F.lit(1).alias("all"), "hours", F.col("temporal_weight").alias("weight"), "cycle_only")
-    base = base_hours(tasks, ["all"]).join(tasks.groupBy("all").agg(F.min("cycle_only").alias("cycle_only")), "all")
+    found = similar(issues, description, asof, issue_type, components, exclude_key, limit, stemmed)
+    tasks = settled(measured(tables, found), "estimate-tasks")
     chosen = with_fallback(coefficients(issues, links, [issue_type] if issue_type else None), coefficients(issues, links))
-    own = chosen.filter(has("assignee", assignee)).orderBy("source", "assignee").limit(1).select(F.lit(1).alias("all"), "coefficient")
-    return base.join(own, "all", "left").select(
-        "tasks", "base_hours", "coefficient", (F.col("base_hours") * F.coalesce("coefficient", F.lit(1.0))).alias("predicted_hours"), "cycle_only")
+    hours = task_hours(tasks).select(F.lit(1).alias("request"), "hours", F.col("temporal_weight").alias("weight"), "cycle_only")
+    request = issues.sparkSession.range(1).select(F.lit(1).alias("request"))
+    known = familiarity(issues, assignee)
+    return {"prediction": predictions(request, hours, chosen, assignee, ["request"]).drop("request"), "tasks": tasks,
+            "profiles": profiles(tasks), "familiarity": known, "familiarity_factor": familiarity_factor(known, components or []),
+            "coefficients": chosen.filter(has("assignee", assignee))}

@@ -13,18 +13,21 @@ NODES = 200
 
 # Link types that mean one issue holds up or causes another.
 CAUSAL_LINKS = ("Blocks", "Blocked", "is blocked by", "Causes", "Cause", "is caused by")
-# Edge types that explain an issue, and the origin of edges that were added by hand.
+# Edge types that explain an issue, and the origins of edges: read off the tables, inferred, added by hand.
 CAUSAL_EDGES = ("root_causes", "probably_caused_by", "blocked_by", "caused_by")
-BY_HAND = "claude"
+STRUCTURAL, INFERRED, BY_HAND = "structural", "auto", "claude"
 
+EDGE = ["source", "source_type", "type", "target", "target_type"]
 
-def edges(rows: DataFrame, source: Column, source_type: str, kind: str, target: Column, target_type: str, weight: Column | None = None) -> DataFrame:
-    """Distinct edges between named, typed entities; an edge met twice keeps its largest weight."""
+
+def edges(rows: DataFrame, source: Column, source_type: str, kind: str, target: Column, target_type: str, weight: Column | None = None,
+          origin: str = STRUCTURAL) -> DataFrame:
+    """Distinct edges between named, typed entities, with their origin; an edge met twice keeps its largest weight."""
     out = rows.select(source.cast("string").alias("source"), F.lit(source_type).alias("source_type"), F.lit(kind).alias("type"),
                       target.cast("string").alias("target"), F.lit(target_type).alias("target_type"),
                       (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"))
     out = out.filter("source is not null and target is not null")
-    return out.groupBy("source", "source_type", "type", "target", "target_type").agg(F.max("weight").alias("weight"))
+    return out.groupBy(*EDGE).agg(F.max("weight").alias("weight")).withColumn("origin", F.lit(origin))
 
 
 def issue_edges(issues: DataFrame) -> DataFrame:
@@ -61,8 +64,8 @@ def link_edges(links: DataFrame) -> DataFrame:
     kind = F.lower("link_type")
     causal = links.filter(F.col("link_type").isin(*CAUSAL_LINKS))
     blocks = causal.filter(kind.contains("block"))
-    return edges(blocks, F.col("source_key"), "issue", "blocked_by", F.col("target_key"), "issue").unionByName(
-        edges(causal.filter(~kind.contains("block")), F.col("source_key"), "issue", "root_causes", F.col("target_key"), "issue"))
+    return edges(blocks, F.col("source_key"), "issue", "blocked_by", F.col("target_key"), "issue", origin=INFERRED).unionByName(
+        edges(causal.filter(~kind.contains("block")), F.col("source_key"), "issue", "root_causes", F.col("target_key"), "issue", origin=INFERRED))
 
 
 def co_changes(files: DataFrame, commit: str = "commit_hash", path: str = "file_path", least: int = 3, limit: int = 500,
@@ -125,7 +128,7 @@ def regressions(changelogs: DataFrame, prs: DataFrame) -> DataFrame:
     reopened = changelogs.filter("field = 'status' and to_value = 'Reopened'").select(F.col("issue_key").alias("probe"), F.col("changed_at").alias("at")).distinct()
     merged = prs.filter("merged_at is not null").select(F.concat("repo_full_name", F.lit("#"), "number").alias("pr"), F.col("merged_at").alias("event_at"))
     found = within_days(reopened, merged, ties=("pr",))
-    return edges(found, F.col("probe"), "issue", "probably_caused_by", F.col("pr"), "pull_request")
+    return edges(found, F.col("pr"), "pull_request", "probably_caused_by", F.col("probe"), "issue", origin=INFERRED)
 
 
 def bug_causes(issues: DataFrame, prs: DataFrame, refs: DataFrame, asof: str, known: DataFrame | None = None) -> DataFrame:
@@ -141,27 +144,46 @@ def bug_causes(issues: DataFrame, prs: DataFrame, refs: DataFrame, asof: str, kn
     probes = by_component.select(F.col("bug").alias("probe"), F.col("created").alias("at"), "component")
     pairs = within_days(probes, touched, ties=("pr",), by=("component",)).select(F.col("probe").alias("bug"), "pr", "event_at").distinct()
     order = Window.partitionBy("bug").orderBy(F.desc("event_at"), "pr")
-    found = edges(pairs.withColumn("_n", F.row_number().over(order)).filter("_n <= 5"), F.col("bug"), "issue", "probably_caused_by", F.col("pr"), "pull_request")
+    latest = pairs.withColumn("_n", F.row_number().over(order)).filter("_n <= 5")
+    found = edges(latest, F.col("pr"), "pull_request", "probably_caused_by", F.col("bug"), "issue", origin=INFERRED)
     return found if known is None else found.join(known.select("source", "target", "type"), ["source", "target", "type"], "left_anti")
 
 
+def module_imports(rows: DataFrame) -> DataFrame:
+    """Edges between the modules of (path, target) rows, importing and imported files; a module's imports of itself give none."""
+    modules = rows.select(module_name(F.col("path")).alias("a"), module_name(F.col("target")).alias("b")).filter("a <> b")
+    return edges(modules, F.col("a"), "module", "imports", F.col("b"), "module")
+
+
+def package_edges(rows: DataFrame) -> DataFrame:
+    """Edges from a project to each package of (project, package) rows."""
+    return edges(rows, F.col("project"), "package", "depends_on_pkg", F.col("package"), "package")
+
+
 def build(tables: dict[str, DataFrame], asof: str, since: str | None = None, **options) -> DataFrame:
     """All edges that the project tables imply, each once.
 
     tables holds issues, commits, commit_issue_refs, commit_files, pull_requests, pr_issue_refs,
-    issue_links and issue_changelogs, and pr_reviews where reviewers are wanted. With since, issues
-    and commits before it give no edges of their own, for adding to a graph that holds those; all other
-    edges come from all rows. Options go to co_changes.
+    issue_links and issue_changelogs; pr_reviews where reviewers are wanted; imports (path, target) and
+    packages (project, package) where source code was scanned. With since, issues not updated from then on
+    give no edges of their own, for adding to a graph that holds those; all other edges come from
+    all rows, as their weights and limits do. Options go to co_changes.
     """
     t = tables
     issues, commits, prs = t["issues"], t["commits"], t["pull_requests"]
     causes = regressions(t["issue_changelogs"], prs)
-    others = [pr_edges(prs, t["pr_issue_refs"], t.get("pr_reviews")), link_edges(t["issue_links"]), co_change_edges(t["commit_files"], **options),
-              causes, bug_causes(issues, prs, t["pr_issue_refs"], asof, causes)]
-    if since is not None:
-        start = F.lit(since).cast("timestamp")
-        issues, commits = issues.filter(F.col("updated") >= start), commits.filter(F.col("committed_at") >= start)
-    return reduce(DataFrame.unionByName, [issue_edges(issues), commit_edges(commits, t["commit_issue_refs"], t["commit_files"]), *others])
+    parts = [issue_edges(changed_since(issues, since)), commit_edges(commits, t["commit_issue_refs"], t["commit_files"]),
+             pr_edges(prs, t["pr_issue_refs"], t.get("pr_reviews")), link_edges(t["issue_links"]), co_change_edges(t["commit_files"], **options),
+             causes, bug_causes(issues, prs, t["pr_issue_refs"], asof, causes)]
+    if "imports" in t:
+        parts.append(module_imports(t["imports"]))
+    if "packages" in t:
+        parts.append(package_edges(t["packages"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def changed_since(rows: DataFrame, since: str | None, at: str = "updated") -> DataFrame:
+    return rows if since is None else rows.filter(F.col(at) >= F.lit(since).cast("timestamp"))
 
 
 def entities(graph: DataFrame) -> DataFrame:
@@ -185,8 +207,9 @@ def walk(graph: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None =
     return seen.orderBy("depth", "type", "name").limit(limit) if limit else seen
 
 
-def seeds(graph: DataFrame, part: str) -> DataFrame:
-    return entities(graph).filter(F.col("name").ilike(f"%{part}%"))
+def seeds(graph: DataFrame, part: str, nodes: DataFrame | None = None) -> DataFrame:
+    """Entities with the part in their name, of a table of entities where there is one; it may hold some without edges."""
+    return (entities(graph) if nodes is None else nodes.select("name", "type")).filter(F.col("name").ilike(f"%{part}%"))
 
 
 def edges_of(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,11 +224,24 @@ def incident(graph: DataFrame, kind: str) -> DataFrame:
         graph.filter(F.col("target_type") == kind).select("target", "type"))
 
 
-def impact(graph: DataFrame, part: str, depth: int = 2) -> dict[str, DataFrame]:
-    """What a file or module touches: entities, 20 issues, and the 10 busiest developers."""
-    nodes = walk(graph, seeds(graph, part), depth)
+def notes_on(nodes: DataFrame, observations: DataFrame) -> DataFrame:
+    """Observations of the entities by name, oldest first."""
+    return observations.join(nodes.select("name").distinct(), "name", "left_semi").orderBy(F.col("created_at").asc_nulls_last(), "name", "content")
+
+
+def impact(graph: DataFrame, part: str, depth: int = 2, observations: DataFrame | None = None, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a file or module touches: entities, 20 issues, the 10 busiest developers, and what is noted on any of them."""
+    nodes = walk(graph, seeds(graph, part, known), depth)
     busy = incident(edges_of(graph, nodes), "developer").groupBy("name").agg(F.count("*").alias("edges"))
-    return {"entities": nodes, "issues": nodes.filter("type = 'issue'").limit(20), "developers": busy.orderBy(F.desc("edges"), "name").limit(10)}
+    out = {"entities": nodes, "issues": nodes.filter("type = 'issue'").limit(20), "developers": busy.orderBy(F.desc("edges"), "name").limit(10)}
+    return out if observations is None else out | {"observations": notes_on(nodes, observations)}
+
+
+def context(graph: DataFrame, topic: str, depth: int = 2, observations: DataFrame | None = None, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Business processes and features around a topic, 15 issues, and what is noted on any entity there."""
+    nodes = walk(graph, seeds(graph, topic, known), depth)
+    out = {kind: nodes.filter(F.col("type") == kind) for kind in ("business_process", "feature")} | {"issue": nodes.filter("type = 'issue'").limit(15)}
+    return out if observations is None else out | {"observations": notes_on(nodes, observations)}
 
 
 def expertise(graph: DataFrame, area: str, limit: int = 10) -> DataFrame:
@@ -233,22 +269,28 @@ def dependencies(graph: DataFrame, part: str, depth: int = 2) -> DataFrame:
     return found.withColumn("place", place).filter(F.col("place") <= F.when(F.col("type") == "co_changes", 15).otherwise(20)).drop("place")
 
 
+def causes(graph: DataFrame) -> DataFrame:
+    """Causal edges into issues, with how sure they are."""
+    return graph.filter((F.col("target_type") == "issue") & F.col("type").isin(*CAUSAL_EDGES)).withColumn("bucket", bucket())
+
+
 def root_causes(graph: DataFrame, key: str) -> DataFrame:
-    """Causal edges into an issue, with how sure they are."""
-    found = graph.filter((F.col("target") == key.upper()) & F.col("type").isin(*CAUSAL_EDGES))
-    return found.withColumn("bucket", bucket()).orderBy("type", F.desc("weight"), "source")
+    return causes(graph.filter(F.col("target") == key.upper())).orderBy("type", F.desc("weight"), "source")
 
 
 def bucket() -> Column:
-    auto = F.col("origin") == "auto"
+    auto = F.col("origin") == INFERRED
     return (F.when(auto & F.col("type").isin("root_causes", "blocked_by"), "confirmed")
             .when(auto & (F.col("type") == "probably_caused_by"), "probable").when(F.col("origin") == BY_HAND, "manual"))
 
 
-def stats(graph: DataFrame) -> DataFrame:
-    """(facet, value, n): entities by type, edges by type."""
+def stats(graph: DataFrame, nodes: DataFrame | None = None, observations: DataFrame | None = None) -> DataFrame:
+    """(facet, value, n): entities by type, edges by type, and the number of observations where there is a table of them."""
     part = lambda df, f: df.groupBy(F.col("type").alias("value")).agg(F.count("*").alias("n")).select(F.lit(f).alias("facet"), "value", "n")
-    return part(entities(graph), "entity").unionByName(part(graph, "edge"))
+    out = part(entities(graph) if nodes is None else nodes, "entity").unionByName(part(graph, "edge"))
+    if observations is None:
+        return out
+    return out.unionByName(observations.agg(F.count("*").alias("n")).select(F.lit("observation").alias("facet"), F.lit(None).cast("string").alias("value"), "n"))
 
 
 def orphans(nodes: DataFrame, graph: DataFrame, observations: DataFrame | None = None) -> DataFrame:

@@ -9,8 +9,10 @@ EDITABLE = ("summary", "description", "issue_type", "status", "priority", "assig
 
 
 def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key, the last by order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
+    """One row for each key, the last by order; of equally late ones the one with the largest hash of its columns."""
+    hashed = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
+    latest = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(F.xxhash64(*(F.col(f"`{c}`") for c in hashed))))
+    return rows.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
 
 
 def _without(old: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
@@ -93,7 +95,8 @@ def save_entities(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def observations_of(observations: DataFrame, entity: str) -> DataFrame:
-    return observations.filter(F.col("entity") == entity).orderBy(F.col("created_at").asc_nulls_last(), "content")
+    """Notes on the entities of a name, oldest first."""
+    return observations.filter(F.col("name") == entity).orderBy(F.col("created_at").asc_nulls_last(), "content")
 
 
 def initialize(spark, path: str, schemas: dict[str, str]) -> None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import rendering, text
-from spindrift.operators import estimate, graph, lookup, search, stats, store, vectors
+from spindrift.operators import board, estimate, graph, graph_store, lookup, postings, search, stats, store, vectors
 from spindrift.plans.domain import table, with_views
-from spindrift.session import settled
-from spindrift.sources import catalog, dumps, proxy
+from spindrift.session import settled, shared_folder
+from spindrift.sources import catalog, code, dumps, proxy
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -205,15 +207,53 @@ def cosine_threshold(t):
     return found.withColumn("similarity", F.round("similarity", 5))
 
 
-@query(f"""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY s DESC, doc_id) AS t FROM (SELECT doc_id, n_chars AS s FROM documents ORDER BY s DESC, doc_id LIMIT 20)),
+def _covers(texts: str, *terms: str) -> str:
+    """SQL for (key, score, hits) of texts (doc_id, text) with all terms: each word that ends a cover is the first that the cover's first word meets."""
+    last = ", ".join(f"max(CASE WHEN term = '{t}' THEN pos END) OVER w AS l{i}, max(CASE WHEN term = '{t}' THEN place END) OVER w AS a{i}" for i, t in enumerate(terms))
+    every = lambda c: ", ".join(f"{c}{i}" for i in range(len(terms)))
+    return f"""SELECT key, round(sum(0.1::DOUBLE / (1 + others)), 9) AS score, any_value(hits) AS hits FROM (
+        SELECT key, first, min(pos) AS last, arg_min((pos - first) - (place - first_place), pos) AS others, any_value(hits) AS hits FROM (
+            SELECT *, least({every('l')}) AS first, least({every('a')}) AS first_place FROM (SELECT *, {last} FROM (
+                SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS place, count(*) OVER (PARTITION BY key) / words AS hits FROM (
+                    SELECT doc_id AS key, len(w) AS words, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (
+                        SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM ({texts})))
+                WHERE term IN {terms}) WINDOW w AS (PARTITION BY key ORDER BY pos))
+            WHERE {' AND '.join(f'l{i} IS NOT NULL' for i in range(len(terms)))})
+        GROUP BY key, first) GROUP BY key"""
+
+
+def _rounded_ranks(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 9))
+
+
+@query(_covers("SELECT doc_id, text FROM documents", "thing", "tion"))
+def cover_density_search(t):
+    return _rounded_ranks(postings.ranked_texts(t.raw("documents"), "doc_id", "text", "tion thing", stemmed=False))
+
+
+CHANGED = "SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE concat('thing and ', lang, ' tion') END AS text FROM documents"
+
+
+@query(_covers(CHANGED, "thing", "tion"))
+def indexed_search(t):
+    """An index of the documents, refreshed by those in other languages than English, whose texts change."""
+    index = postings.Index(t.spark, f"{shared_folder(t.spark)}/spindrift/index-{uuid.uuid4().hex}", buckets=16, stemmed=False)
+    index.build(t.raw("documents"), "doc_id", "text")
+    changed = t.raw("documents").filter("lang is null or lang <> 'en'")
+    index.refresh(changed.select("doc_id", F.concat(F.lit("thing and "), "lang", F.lit(" tion")).alias("text")), "doc_id", "text")
+    return _rounded_ranks(index.search("thing tion"))
+
+
+@query(f"""WITH a AS (SELECT key AS id, row_number() OVER (ORDER BY s DESC, key) AS t FROM (SELECT key, score AS s FROM ({_covers("SELECT doc_id, text FROM documents", "thing", "tion")})
+        ORDER BY s DESC, key LIMIT 20)),
     b AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS v FROM (SELECT vec_id AS id, {COSINE} AS s FROM embeddings WHERE {COSINE} >= 0.1 ORDER BY s DESC, id LIMIT 20))
     SELECT id, round(1.0::DOUBLE / (60 + coalesce(t, 1000)) + 1.0::DOUBLE / (60 + coalesce(v, 1000)), 9) AS score,
         CASE WHEN t IS NOT NULL AND v IS NOT NULL THEN 'both' WHEN t IS NOT NULL THEN 'text' ELSE 'semantic' END AS source
     FROM a FULL JOIN b USING (id) ORDER BY 1.0::DOUBLE / (60 + coalesce(t, 1000)) + 1.0::DOUBLE / (60 + coalesce(v, 1000)) DESC, id LIMIT 10""")
 def rrf_hybrid(t):
     near = vectors.semantic_search(t.raw("embeddings").withColumnRenamed("vec_id", "id"), "id", "embedding", _query_vector(t), 20, 0.1)
-    words = t.raw("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
-    return vectors.hybrid_search(words, near.withColumnRenamed("similarity", "score"), "id").withColumn("score", F.round("score", 9))
+    words = _rounded_ranks(postings.ranked_texts(t.raw("documents"), "doc_id", "text", "thing tion", stemmed=False)).withColumnRenamed("key", "id")
+    return vectors.hybrid_search(words.select("id", "score"), near.withColumnRenamed("similarity", "score"), "id").withColumn("score", F.round("score", 9))
 
 
 @query("""SELECT issue_key, to_value FROM issue_changelogs WHERE field = 'assignee' AND to_value <> ''
@@ -281,6 +321,31 @@ def trimmed_weighted_mean(t):
     return estimate.base_hours(tasks, ["project_key"]).withColumn("base_hours", F.round("base_hours", 6))
 
 
+@query(f"""WITH {COEFFICIENTS}, c AS (SELECT {COEFFICIENT_COLUMNS} FROM r WHERE assignee IS NOT NULL GROUP BY assignee HAVING count(DISTINCT issue_key) >= 3 AND assignee ILIKE '%dev1%'
+        ORDER BY assignee LIMIT 1),
+    h AS (SELECT project_key, project_key = 'PRJ0' AS cycle_only, CASE project_key WHEN 'PRJ0' THEN 8.0::DOUBLE * len(list_filter(generate_series(CAST(created AS DATE),
+            CAST(resolved AS DATE), INTERVAL 1 DAY), lambda d: isodow(d) < 6)) WHEN 'PRJ1' THEN NULL ELSE coalesce(nullif(time_spent / 3600.0::DOUBLE, 0), original_estimate / 3600.0::DOUBLE) END AS hours,
+        CAST(1 + length(reporter) AS DOUBLE) / 10 AS weight FROM issues),
+    p AS (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY hours, weight) AS place, count(*) OVER (PARTITION BY project_key) AS n FROM h WHERE hours > 0),
+    m AS (SELECT project_key, max(n) AS tasks, bool_and(cycle_only) AS cycle, round(min(hours) / 8) AS least, round(max(hours) / 8) AS most, sum(hours * weight) FILTER (kept) / sum(weight) FILTER (kept) AS base
+        FROM (SELECT *, place > greatest(1, floor(n * 0.1)) AND place <= n - greatest(1, floor(n * 0.1)) AS kept FROM p) GROUP BY 1)
+    SELECT project_key, CASE WHEN tasks IS NULL THEN 'none' WHEN cycle THEN 'range' ELSE 'predicted' END AS mode, coalesce(tasks, 0) AS tasks, CASE WHEN NOT cycle THEN round(base, 5) END AS base_hours,
+        CAST(CASE WHEN cycle THEN least END AS BIGINT) AS least_days, CAST(CASE WHEN cycle THEN most END AS BIGINT) AS most_days,
+        CASE WHEN NOT cycle THEN round(coefficient, 5) END AS coefficient, CASE WHEN NOT cycle THEN 'general' END AS coefficient_source,
+        CASE WHEN NOT cycle THEN round(base * coefficient, 3) END AS predicted_hours, CASE WHEN NOT cycle THEN round(base * coefficient_with_bugs, 3) END AS predicted_hours_with_bugs
+    FROM (SELECT DISTINCT project_key FROM issues) LEFT JOIN m USING (project_key), (SELECT coefficient, coefficient_with_bugs FROM c)""")
+def estimate_modes(t):
+    """One outcome for each project: PRJ0 is known by cycle times only, PRJ1 not at all."""
+    none = lambda c, *keys: F.when(~F.col("project_key").isin(*keys), F.col(c)).alias(c)
+    rows = t.issues.select("project_key", none("time_spent", "PRJ0", "PRJ1"), none("original_estimate", "PRJ0", "PRJ1"), none("created", "PRJ1"), none("resolved", "PRJ1"),
+                           F.lit(None).cast("long").alias("worklog_seconds"), F.lit(None).cast("timestamp_ntz").alias("first_commit"),
+                           F.lit(None).cast("timestamp_ntz").alias("last_commit"), ((1 + F.length("reporter")).cast("double") / 10).alias("weight"))
+    chosen = estimate.coefficients(t.issues, t.issue_links).filter("assignee is not null").withColumn("source", F.lit("general"))
+    found = estimate.predictions(t.issues.select("project_key"), estimate.task_hours(rows), _rounded(chosen), "dev1", ["project_key"])
+    return found.select("project_key", "mode", "tasks", F.round("base_hours", 5).alias("base_hours"), "least_days", "most_days", F.round("coefficient", 5).alias("coefficient"), "coefficient_source",
+                        F.round("predicted_hours", 3).alias("predicted_hours"), F.round("predicted_hours_with_bugs", 3).alias("predicted_hours_with_bugs"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) THEN 0 ELSE 8 * len(list_filter(
         generate_series(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE), INTERVAL 1 DAY), lambda d: isodow(d) < 6)) END AS BIGINT) AS hours
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
@@ -320,18 +385,18 @@ def range_join_suspects(t):
     return found.select("probe", "event_id", F.col("place").cast("long").alias("place"))
 
 
-REOPENED = """SELECT issue_key AS source, pr AS target FROM (SELECT DISTINCT issue_key, changed_at FROM issue_changelogs WHERE field = 'status' AND to_value = 'Reopened')
+REOPENED = """SELECT pr AS source, issue_key AS target FROM (SELECT DISTINCT issue_key, changed_at FROM issue_changelogs WHERE field = 'status' AND to_value = 'Reopened')
         JOIN (SELECT concat(repo_full_name, '#', number) AS pr, merged_at FROM pull_requests WHERE merged_at IS NOT NULL)
         ON merged_at < changed_at AND merged_at > changed_at - INTERVAL 14 DAY
         QUALIFY row_number() OVER (PARTITION BY issue_key, changed_at ORDER BY merged_at DESC, pr) <= 5"""
 ASOF = "2001-08-01"
-BUG_CAUSES = """SELECT bug AS source, pr AS target FROM (SELECT DISTINCT bug, pr, merged_at FROM (SELECT issue_key AS bug, created, unnest(string_split(component_list, ',')) AS component
+BUG_CAUSES = """SELECT pr AS source, bug AS target FROM (SELECT DISTINCT bug, pr, merged_at FROM (SELECT issue_key AS bug, created, unnest(string_split(component_list, ',')) AS component
             FROM issues WHERE issue_type IN ('Bug', 'Defect') AND created >= TIMESTAMP '2001-02-01')
         JOIN (SELECT concat(r.repo_full_name, '#', pr_number) AS pr, merged_at, unnest(string_split(component_list, ',')) AS component FROM pr_issue_refs r
             JOIN issues USING (issue_key) JOIN pull_requests p ON r.repo_full_name = p.repo_full_name AND pr_number = number WHERE merged_at IS NOT NULL) USING (component)
         WHERE merged_at < created AND merged_at > created - INTERVAL 14 DAY)
         QUALIFY row_number() OVER (PARTITION BY bug ORDER BY merged_at DESC, pr) <= 5"""
-ALL_EDGES = f"""SELECT issue_key AS source, 'issue' AS source_type, 'assigned_to' AS type, assignee AS target, 'developer' AS target_type, 1.0::DOUBLE AS weight
+PLAIN_EDGES = f"""SELECT issue_key AS source, 'issue' AS source_type, 'assigned_to' AS type, assignee AS target, 'developer' AS target_type, 1.0::DOUBLE AS weight
         FROM issues WHERE assignee IS NOT NULL
     UNION ALL SELECT issue_key, 'issue', 'reported_by', reporter, 'developer', 1 FROM issues
     UNION ALL SELECT DISTINCT issue_key, 'issue', 'labeled', unnest(string_split(label_list, ',')), 'label', 1 FROM issues
@@ -347,7 +412,8 @@ ALL_EDGES = f"""SELECT issue_key AS source, 'issue' AS source_type, 'assigned_to
     UNION ALL SELECT a, 'module', 'co_changes', b, 'module', min(n) FROM (SELECT 'src/' || split_part(first, '/', 2) AS a, 'src/' || split_part(second, '/', 2) AS b, n
         FROM (SELECT f.file_path AS first, g.file_path AS second, count(*) AS n FROM commit_files f JOIN commit_files g
             ON f.commit_hash = g.commit_hash AND f.file_path < g.file_path GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, 1, 2 LIMIT 500)) WHERE a <> b GROUP BY ALL
-    UNION ALL SELECT source, 'issue', 'probably_caused_by', target, 'pull_request', 1 FROM (({REOPENED}) UNION ({BUG_CAUSES}))"""
+    UNION ALL SELECT source, 'pull_request', 'probably_caused_by', target, 'issue', 1 FROM (({REOPENED}) UNION ({BUG_CAUSES}))"""
+ALL_EDGES = f"""SELECT *, CASE WHEN type IN ('blocked_by', 'root_causes', 'probably_caused_by') THEN 'auto' ELSE 'structural' END AS origin FROM ({PLAIN_EDGES})"""
 WALK = """WITH RECURSIVE e AS MATERIALIZED (%s), u AS MATERIALIZED (SELECT source, source_type, target, target_type FROM e UNION SELECT target, target_type, source, source_type FROM e),
     w AS (SELECT DISTINCT source AS name, source_type AS type, 0 AS depth FROM u WHERE source ILIKE '%%m7%%'
         UNION SELECT target, target_type, depth + 1 FROM w JOIN u ON name = source AND type = source_type WHERE depth < %d),
@@ -385,10 +451,38 @@ def impact_developers(t):
     return graph.impact(settled(_graph(t)), "m7")["developers"]
 
 
-@query(WALK % (ALL_EDGES, 2) + """ SELECT * FROM b WHERE type IN ('co_changes', 'imports', 'depends_on_pkg')
+IMPORTS = """SELECT DISTINCT concat('src/m', l_partkey % 30, '/f', l_partkey % 200, '.py') AS path,
+        concat('src/m', l_suppkey % 30, '/f', l_suppkey % 400) || CASE WHEN concat('src/m', l_suppkey % 30, '/f', l_suppkey % 400, '.py') IN (
+            SELECT concat('src/m', l_partkey % 30, '/f', l_partkey % 200, '.py') FROM lineitem) THEN '.py' ELSE '' END AS target FROM lineitem"""
+PACKAGES = """SELECT DISTINCT concat('app', p_size % 5) AS project, concat('src/m', p_partkey % 40) AS package FROM part"""
+CODE_EDGES = f"""{ALL_EDGES} UNION ALL SELECT DISTINCT 'src/' || split_part(path, '/', 2), 'module', 'imports', 'src/' || split_part(target, '/', 2), 'module', 1.0::DOUBLE, 'structural'
+        FROM ({IMPORTS}) WHERE split_part(path, '/', 2) <> split_part(target, '/', 2)
+    UNION ALL SELECT project, 'package', 'depends_on_pkg', package, 'package', 1, 'structural' FROM ({PACKAGES})"""
+
+
+def _sources(t) -> DataFrame:
+    """Source files of the test tables: a line for each import."""
+    rows = t.raw("lineitem").selectExpr("concat('src/m', l_partkey % 30, '/f', l_partkey % 200, '.py') path",
+                                        "concat('import x from \\'./../m', l_suppkey % 30, '/./f', l_suppkey % 400, '\\'') line")
+    return rows.groupBy("path").agg(F.array_join(F.collect_set("line"), "\n").alias("value"))
+
+
+def _manifests(t) -> DataFrame:
+    named = F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.concat(F.lit("src/m"), F.col("p_partkey") % 40), F.lit("1")))))
+    rows = t.raw("part").groupBy(F.concat(F.lit("app"), F.col("p_size") % 5).alias("name")).agg(named.alias("dependencies"))
+    return rows.select(F.to_json(F.struct("name", "dependencies")).alias("doc"))
+
+
+@query(f"SELECT path, target, target LIKE '%.py' AS resolved FROM ({IMPORTS})")
+def resolved_imports(t):
+    return code.imports(_sources(t)).select("path", "target", "resolved").distinct()
+
+
+@query(WALK % (CODE_EDGES, 2) + """ SELECT * FROM b WHERE type IN ('co_changes', 'imports', 'depends_on_pkg')
     QUALIFY row_number() OVER (PARTITION BY type ORDER BY weight DESC, source, target) <= CASE type WHEN 'co_changes' THEN 15 ELSE 20 END""")
 def code_dependencies(t):
-    return graph.dependencies(settled(_graph(t)), "m7")
+    tables = {n: getattr(t, n) for n in GRAPH_TABLES} | {"imports": code.imports(_sources(t)), "packages": code.packages(_manifests(t))}
+    return graph.dependencies(settled(graph.build(tables, ASOF), "graph"), "m7")
 
 
 @query((WALK % (ALL_EDGES, 1)).replace("%m7%", "%prj3-10%") + " SELECT * FROM n WHERE type = 'issue' AND name <> 'PRJ3-10' ORDER BY depth, type, name LIMIT 30")
@@ -407,10 +501,35 @@ def graph_stats(t):
     return graph.stats(settled(_graph(t)))
 
 
-@query("""SELECT DISTINCT source_key AS source, CASE WHEN link_type = 'Blocks' THEN 'blocked_by' ELSE 'root_causes' END AS type, target_key AS target,
-    'confirmed' AS bucket FROM issue_links WHERE link_type <> 'Related'""")
+BY_HAND = """SELECT concat('P', o_custkey) AS source, 'business_process' AS source_type, CASE WHEN o_orderkey % 2 = 0 THEN 'caused_by' ELSE 'root_causes' END AS type,
+    concat('PRJ', o_orderkey % 7, '-', o_orderkey) AS target, 'issue' AS target_type, 1.0::DOUBLE AS weight FROM orders WHERE o_orderpriority = '1-URGENT'"""
+
+
+def _by_hand(t) -> DataFrame:
+    rows = t.raw("orders").filter("o_orderpriority = '1-URGENT'")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "caused_by").otherwise("root_causes")
+    return rows.select(F.concat(F.lit("P"), "o_custkey").alias("source"), F.lit("business_process").alias("source_type"), kind.alias("type"),
+                       F.concat(F.lit("PRJ"), F.col("o_orderkey") % 7, F.lit("-"), "o_orderkey").alias("target"), F.lit("issue").alias("target_type"),
+                       F.lit(1.0).alias("weight"), F.lit(graph.BY_HAND).alias("origin"))
+
+
+@query(f"""WITH g AS ({ALL_EDGES} UNION ALL SELECT *, 'claude' AS origin FROM ({BY_HAND}))
+    SELECT source, source_type, type, target, CASE WHEN origin = 'claude' THEN 'manual' WHEN type = 'probably_caused_by' THEN 'probable' ELSE 'confirmed' END AS bucket
+    FROM g WHERE target_type = 'issue' AND type IN ('root_causes', 'probably_caused_by', 'blocked_by', 'caused_by')""")
 def root_cause_buckets(t):
-    return graph.link_edges(t.issue_links).withColumn("origin", F.lit("auto")).withColumn("bucket", graph.bucket()).select("source", "type", "target", "bucket")
+    g = graph_store.merge(_graph(t), _by_hand(t))
+    return graph.causes(g).select("source", "source_type", "type", "target", "bucket")
+
+
+@query(f"{ALL_EDGES} UNION ALL SELECT *, 'claude' FROM ({BY_HAND})")
+def incremental_graph(t):
+    """The graph of former issues with manual edges, brought up to date by what was updated since; equal to one built anew."""
+    tables = {n: getattr(t, n) for n in GRAPH_TABLES}
+    now = F.col("updated") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    former = tables["issues"].withColumns({"assignee": F.when(now, "nobody").otherwise(F.col("assignee")), "labels": F.when(now, F.array(F.lit("old"))).otherwise(F.col("labels"))})
+    first = graph_store.rebuilt(graph_store.empty(t.spark), tables | {"issues": former}, ASOF)
+    held = graph_store.Graph(graph_store.merge(first.edges, _by_hand(t)), first.entities, first.observations)
+    return graph_store.rebuilt(held, tables, ASOF, since="1998-01-01").edges
 
 
 @query("""SELECT DISTINCT issue_key AS name, 'issue' AS type FROM issues WHERE issue_key NOT IN (SELECT source_key FROM issue_links WHERE link_type <> 'Related')
@@ -429,12 +548,12 @@ def regression_suspects(t):
     return graph.within_days(reopened, merged, ties=("pr",)).select(F.col("probe").alias("source"), F.col("pr").alias("target"))
 
 
-@query(f"""SELECT DISTINCT source, 'issue' AS source_type, 'probably_caused_by' AS type, target, 'pull_request' AS target_type FROM ({REOPENED})""")
+@query(f"""SELECT DISTINCT source, 'pull_request' AS source_type, 'probably_caused_by' AS type, target, 'issue' AS target_type FROM ({REOPENED})""")
 def regression_edges(t):
     return graph.regressions(t.issue_changelogs, t.pull_requests).select("source", "source_type", "type", "target", "target_type").distinct()
 
 
-@query(f"""SELECT source, 'issue' AS source_type, 'probably_caused_by' AS type, target, 'pull_request' AS target_type, 1.0::DOUBLE AS weight FROM ({BUG_CAUSES})""")
+@query(f"""SELECT source, 'pull_request' AS source_type, 'probably_caused_by' AS type, target, 'issue' AS target_type, 1.0::DOUBLE AS weight, 'auto' AS origin FROM ({BUG_CAUSES})""")
 def bug_cause_edges(t):
     return graph.bug_causes(t.issues, t.pull_requests, t.pr_issue_refs, ASOF)
 
@@ -484,6 +603,51 @@ def project_list(t):
     return search.projects(t.issues)
 
 
+CARDS = """SELECT concat('t', o_orderkey) AS md_path, concat('Task ', o_orderkey) AS title, CASE o_orderkey % 7 WHEN 0 THEN 'backlog' WHEN 1 THEN 'done' WHEN 2 THEN 'review' WHEN 3 THEN 'build'
+        WHEN 4 THEN 'lost' END AS column_name, concat('PRJ-', o_orderkey) AS jira_key, concat('dev', o_custkey % 40) AS assignee, o_orderdate AS created_at,
+        o_orderdate + INTERVAL '1' DAY AS updated_at, concat('e', o_custkey % 3) AS epic FROM orders"""
+COLUMNS = [(1, "backlog", "system"), (2, "build", "skill"), (3, "review", "skill"), (4, "done", "system")]
+
+
+def _cards(t) -> DataFrame:
+    return t.spark.sql(CARDS.replace("FROM orders", "FROM {orders}"), orders=t.raw("orders"))
+
+
+def _columns(t) -> DataFrame:
+    return t.spark.createDataFrame(COLUMNS, "place long, name string, type string")
+
+
+@query(f"SELECT * FROM ({CARDS}) WHERE column_name = 'review'")
+def board_by_column(t):
+    return board.by_column(_cards(t), "review")
+
+
+@query(f"""WITH c AS ({CARDS}) SELECT md_path, title, column_name, jira_key, assignee, created_at, updated_at FROM c
+    UNION ALL SELECT md_path, any_value(title), any_value(column_name), any_value(jira_key), any_value(assignee), TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-01' FROM (
+        SELECT concat('t', l_orderkey + l_linenumber * 3) AS md_path, concat('File ', l_orderkey + l_linenumber * 3) AS title, CASE (l_orderkey + l_linenumber * 3) % 4 WHEN 0 THEN 'review'
+            WHEN 1 THEN 'done' ELSE 'backlog' END AS column_name, CAST(NULL AS VARCHAR) AS jira_key, 'me' AS assignee FROM lineitem WHERE (l_orderkey + l_linenumber * 3) % 5 > 0)
+    WHERE md_path NOT IN (SELECT md_path FROM c) GROUP BY md_path""")
+def board_synced(t):
+    n = "(l_orderkey + l_linenumber * 3)"
+    files = t.raw("lineitem").selectExpr(
+        f"concat('t', {n}) md_path", f"concat('File ', {n}) title", f"case {n} % 4 when 0 then 'review' end named_column", "cast(null as string) jira_key", "'me' assignee",
+        f"case when {n} % 5 = 0 then 'Other' when {n} % 4 = 1 then 'Done' when {n} % 4 = 2 then 'ToDo' else 'Backlog' end folder")
+    return board.synced(_cards(t), files, "2025-01-01")
+
+
+@query(f"""SELECT *, CASE WHEN column_name IN ('backlog', 'build', 'done') THEN column_name ELSE 'backlog' END AS shown_in FROM ({CARDS}) WHERE epic = 'e1'
+    AND (column_name IS DISTINCT FROM 'done' OR updated_at >= TIMESTAMP '1998-08-02' - INTERVAL 90 DAY)""")
+def board_visible(t):
+    return board.shown(_cards(t), _columns(t), "1998-08-02", epic="e1", skills=["build"], done_value=3, done_unit="months")
+
+
+@query("""WITH s AS (SELECT p_type AS name, min(p_partkey) AS place FROM part WHERE p_type NOT IN ('backlog', 'build', 'review', 'done') GROUP BY 1)
+    SELECT place, name, type FROM (VALUES (1, 'backlog', 'system'), (2, 'build', 'skill'), (3, 'review', 'skill')) v(place, name, type)
+    UNION ALL SELECT 3 + row_number() OVER (ORDER BY place, name), name, 'skill' FROM s UNION ALL SELECT 4 + count(*), 'done', 'system' FROM s""")
+def board_pipeline(t):
+    return board.pipeline(_columns(t), t.raw("part").select(F.col("p_partkey").alias("place"), F.col("p_type").alias("name")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

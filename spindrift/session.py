@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,17 +18,24 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names: made once for plans that read it often, and safe
-    from lost executors. Only a local master may leave the folder unset. Files stay until the cluster's cleaner takes them."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir. Only a local master, as in tests, may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir is unset and {master} has no folder that all executors share")
+    return "/tmp/checkpoints"
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder: made once for plans that read it often, with its statistics, and safe from
+    lost executors. Files stay until the cluster's cleaner takes them."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError(f"spark.checkpoint.dir is unset and {context.master} has no folder that all executors share")
-        context.setCheckpointDir(folder or "/tmp/checkpoints")
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Workspace:

@@ -1,44 +1,49 @@
-"""Incremental ingest: files that land in a folder are upserted into a table snapshot."""
+"""Incremental ingest: files that land in a folder are upserted into a bucketed table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from spindrift.operators.store import last_of, upsert
+from spindrift.operators.commits import Conflict
+from spindrift.operators.tables import BucketedTable
+
+#: Times that a batch is merged again after another writer came first.
+TRIES = 5
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of a table's snapshots, oldest first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(path)
-                  if f.getPath().getName()[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+    from spindrift.operators import commits
+
+    return list(commits.all_of(spark, folder))
 
 
 def current(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    found = versions(spark, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/v{found[-1]}") if found else spark.createDataFrame([], schema)
+    return BucketedTable(spark, folder, schema, []).read()
 
 
-def write_next(rows: DataFrame, folder: str) -> int:
-    """A further snapshot; readers see it once it is complete."""
-    spark = rows.sparkSession
-    number = (versions(spark, folder) or [0])[-1] + 1
-    rows.write.mode("overwrite").parquet(f"{folder}/v{number}")
-    return number
+def patiently(merge: Callable[[], int], tries: int = TRIES) -> int:
+    """merge() until no other writer comes first; it begins from the last snapshot each time."""
+    for left in range(tries, 0, -1):
+        try:
+            return merge()
+        except Conflict:
+            if left == 1:
+                raise
+    raise ValueError("no tries")
 
 
 def ingest(spark: SparkSession, landing: str, table: str, schema: StructType, keys: list[str], order: str, checkpoint: str) -> None:
     """Upsert all that has landed since the last call, and stop.
 
-    A batch that is tried again writes the same rows, so reading a minute
-    twice around a high-water mark does no harm.
+    A batch rewrites the buckets of its keys only. One that is tried again writes the same rows, so reading
+    a minute twice around a high-water mark does no harm.
     """
     def merge(batch: DataFrame, number: int) -> None:
-        write_next(upsert(current(spark, table, schema), last_of(batch, keys, order), keys), table)
+        patiently(lambda: BucketedTable(batch.sparkSession, table, schema, keys).merge(batch, order))
 
     stream = spark.readStream.schema(schema).parquet(landing)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

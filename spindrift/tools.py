@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions import sql_gate, text
+from spindrift.functions import sql_gate
 from spindrift.operators import estimate as estimating
-from spindrift.operators import graph, lookup, search, stats, store, vectors
+from spindrift.operators import graph, graph_store, lookup, postings, search, stats, store, vectors
 from spindrift.session import Workspace
 
 
@@ -69,18 +69,19 @@ class Tools:
         return stats.commit_stats(self.t("commits"), self.t("commit_files"), self.t("commit_issue_refs"), **filters)
 
     def hybrid_search(self, query: str, vector: list[float] | None = None, limit: int = 10, threshold: float = 0.5) -> DataFrame:
+        """Issues by cover density of the query's stems, fused with the nearest vectors where one is given."""
         issues = self.t("issues")
-        words = F.concat_ws(" ", "summary", "description")
-        found = issues.filter(text.matches(words, query)).select("issue_key", text.rank(words, query).alias("score"))
+        texts = issues.select("issue_key", F.concat_ws(" ", "summary", "description").alias("text"))
+        found = postings.ranked_texts(texts, "issue_key", "text", query).select(F.col("key").alias("issue_key"), "score")
         near = None
         if vector is not None:
             near = vectors.semantic_search(issues, "issue_key", "embedding", vector, 2 * limit, threshold).withColumnRenamed("similarity", "score")
         best = vectors.hybrid_search(found, near, "issue_key", limit).withColumnRenamed("source", "found_by")
         return best.join(issues, "issue_key", "left").orderBy(F.desc("score"), "issue_key")
 
-    def estimate(self, description: str, assignee: str, asof: str, **options) -> DataFrame:
-        names = ("issues", "issue_links", "issue_worklogs", "commit_issue_refs", "commits", "commit_files")
-        return estimating.estimate({n: self.t(n) for n in names}, description, assignee, asof, **options)
+    def estimate(self, description: str, assignee: str, asof: str, **options) -> dict[str, DataFrame]:
+        names = ("issues", "issue_links", "issue_worklogs", "issue_changelogs", "commit_issue_refs", "commits", "commit_files")
+        return estimating.estimate({n: self.t(n) for n in names}, description, assignee, asof, **STEMMED | options)
 
     def _catalog(self):
         return [self.t(n) for n in ("db_tables", "db_columns", "db_foreign_keys", "db_indexes")]
@@ -106,7 +107,7 @@ class Tools:
         return store.modified_issues(self.t("issues")) if updates else store.local_issues(self.t("issues"))
 
     def impact_analysis(self, file_or_module: str, depth: int = 2) -> dict[str, DataFrame]:
-        return graph.impact(self.t("graph_edges"), file_or_module, depth)
+        return graph.impact(self.t("graph_edges"), file_or_module, depth, self.t("graph_observations"), self.t("graph_entities"))
 
     def developer_expertise(self, area: str, limit: int = 10) -> DataFrame:
         return graph.expertise(self.t("graph_edges"), area, limit)
@@ -117,10 +118,8 @@ class Tools:
     def code_dependencies(self, file_or_module: str, depth: int = 2) -> DataFrame:
         return graph.dependencies(self.t("graph_edges"), file_or_module, depth)
 
-    def business_context(self, topic: str, depth: int = 2) -> DataFrame:
-        edges = self.t("graph_edges")
-        nodes = graph.walk(edges, graph.seeds(edges, topic), depth)
-        return nodes.filter(F.col("type").isin("business_process", "feature", "issue"))
+    def business_context(self, topic: str, depth: int = 2) -> dict[str, DataFrame]:
+        return graph.context(self.t("graph_edges"), topic, depth, self.t("graph_observations"), self.t("graph_entities"))
 
     def build_business_graph(self, project: str | None = None, batch_size: int = 50) -> DataFrame:
         """The first issues by key, with descriptions cut short, for annotation."""
@@ -129,22 +128,38 @@ class Tools:
         short = F.when(F.length("description") > 200, F.concat(F.substring("description", 1, 200), F.lit("..."))).otherwise(F.col("description"))
         return rows.orderBy("issue_key").limit(batch_size).select("issue_key", "summary", short.alias("description"))
 
-    def add_relationship(self, source: str, source_type: str, target: str, target_type: str, kind: str) -> DataFrame:
-        """The edges with one more, or with its weight set; entities that exist keep their properties."""
-        edges = self.t("graph_edges")
-        new = self.ws.spark.range(1).select(*(F.lit(v).alias(c) for c, v in (
-            ("source", source), ("source_type", source_type), ("type", kind), ("target", target), ("target_type", target_type), ("weight", 1.0), ("origin", graph.BY_HAND))))
-        return store.upsert(edges.select(*new.columns), new, ["source", "source_type", "type", "target", "target_type"], keep=("origin",))
+    def graph_build(self, asof: str, since: str | None = None, **options) -> dict[str, DataFrame]:
+        """The graph's tables after a build: a whole one, or of what changed from since on."""
+        tables = {n: self.t(n) for n in graph_store.SOURCES}
+        held = graph_store.Graph(self.t("graph_edges"), self.t("graph_entities"), self.t("graph_observations"))
+        return graph_store.rebuilt(held, tables, asof, since, **options).tables()
+
+    def graph_stats(self) -> DataFrame:
+        return graph.stats(self.t("graph_edges"), self.t("graph_entities"), self.t("graph_observations"))
+
+    def add_relationship(self, source: str, source_type: str, target: str, target_type: str, kind: str) -> dict[str, DataFrame]:
+        """Edges and entities with one more edge, or with its weight set, and its ends; what exists keeps its origin and properties."""
+        row = [(source, source_type, kind, target, target_type, 1.0, graph.BY_HAND)]
+        new = self.ws.spark.createDataFrame(row, "source string, source_type string, type string, target string, target_type string, weight double, origin string")
+        ends = graph.entities(new).withColumn("properties", F.lit("{}"))
+        return {"graph_edges": graph_store.merge(self.t("graph_edges"), new),
+                "graph_entities": store.insert_missing(self.t("graph_entities"), ends, ["name", "type"])}
 
     def root_cause_analysis(self, issue_key: str) -> DataFrame:
         return graph.root_causes(self.t("graph_edges"), issue_key)
 
     def add_observation(self, entity: str, content: str, author: str, asof: str) -> DataFrame:
+        """The observations with one more; the entity must be in the graph."""
+        if self.t("graph_entities").filter(F.col("name") == entity).isEmpty():
+            raise KeyError(entity)
         notes = self.t("graph_observations")
         row = self.ws.spark.range(1).select(F.lit(entity).alias("name"), F.lit(content).alias("content"), F.lit(author).alias("author"),
                                             F.lit(asof).cast("timestamp_ntz").alias("created_at"))
         return notes.unionByName(row)
 
+    def observations(self, entity: str) -> DataFrame:
+        return store.observations_of(self.t("graph_observations"), entity)
+
     def list_projects(self) -> DataFrame:
         return search.projects(self.t("issues"))
 
