@@ -19,8 +19,13 @@ FIELDS = ("hash", "author", "email", "committed_at", "message", "changes")
 
 def read(spark: SparkSession, path: str, repo_path: str, since: str | None = None) -> DataFrame:
     """One row a commit, with its changes as text; since leaves out older commits. Parents are not kept."""
+    return parsed(spark.read.text(path, lineSep="\x1e"), repo_path, since)
+
+
+def parsed(records: DataFrame, repo_path: str, since: str | None = None) -> DataFrame:
+    """The commits of log records (value)."""
     parts = F.split("value", "\x1f", 6)
-    rows = spark.read.text(path, lineSep="\x1e").filter(F.size(parts) == len(FIELDS))
+    rows = records.filter(F.size(parts) == len(FIELDS))
     rows = rows.select(*(parts[i].alias(n) for i, n in enumerate(FIELDS)))
     rows = rows.withColumns({"committed_at": F.col("committed_at").try_cast("timestamp"), "message": F.rtrim(F.col("message"), F.lit("\n")),
                              "repo_path": F.lit(repo_path), "parents": F.array().cast("array<string>")})
