@@ -15,7 +15,7 @@ are indexed once with the k + 1 smallest ids, as no more can be in a result,
 so a vector that a third of all rows share is one entry.
 
 Rotations are fitted on ``sample`` vectors chosen by a hash; the first radius
-is the one that holds all but 5 % of the exact neighbours of ``calibration``
+is the one that holds all but 2 % of the exact neighbours of ``calibration``
 distinct query vectors, chosen by id, which are compared with every row.
 Queries that find fewer than k within it are asked again by the same index
 with twice the radius, until they have k or the radius is all bits.
@@ -42,7 +42,7 @@ SAMPLE = 4000
 #: Queries whose exact neighbours set the radius.
 CALIBRATION = 128
 #: Share of those queries' exact neighbours that the radius holds.
-HELD = 0.95
+HELD = 0.98
 BYTES = 16
 #: Distinct vectors and queries that one task holds.
 BLOCK = 16_384
