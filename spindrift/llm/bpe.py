@@ -18,10 +18,12 @@ an empty table gives an empty result; other columns are kept.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import sys
 import types
 import unicodedata
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,8 +56,9 @@ class ForcedBoundaryBPE:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import models
+        from tokenizers import Tokenizer, models
 
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         model = config["model"]
@@ -95,15 +98,32 @@ class ForcedBoundaryBPE:
         return out
 
     def _word(self, word: str) -> bytes:
-        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        return self._letters(word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()]))
+
+    def _letters(self, letters: str) -> bytes:
         *inner, last = self.fragments(letters)
         ids = [t.id for fragment in inner for t in self.inner.tokenize(fragment)]
         ids += [t.id for t in self.last.tokenize(last)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    @cached_property
+    def newer(self) -> re.Pattern:
+        """Characters that Python's tables do not know, and that the library's newer ones may."""
+        unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+        starts = [c for i, c in enumerate(unknown) if i == 0 or unknown[i - 1] != c - 1]
+        stops = [c for i, c in enumerate(unknown) if i + 1 == len(unknown) or unknown[i + 1] != c + 1]
+        return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, stops)) + "]")
+
+    def _by_library(self, text: str) -> bytes:
+        """As _plain, with the library's own normalizer and cuts."""
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return b"".join([self._letters(word) for word, _ in words])
+
     def _plain(self, text: str) -> bytes:
         """Ids of a text without white space and special tokens."""
         if not text.isascii():
+            if self.newer.search(text):
+                return self._by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         out, known = [], self.known_words
         for word in self.words.findall(text.lower()):

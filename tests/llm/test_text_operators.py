@@ -245,3 +245,17 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.toxicity(odd, labels).count() == odd.count()
     assert {r.score for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(none, labels).count() == 0
+
+
+def test_bpe_equals_the_library_on_every_code_point():
+    """Assigned or not: all up to U+31FFF, past which few are assigned, and a share of the rest."""
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(bpe.default_vocabulary()), bpe.ForcedBoundaryBPE(bpe.default_vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    points = [c for c in [*range(0x32000), *range(0x32000, 0x110000, 211)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 500):
+        text = " ".join(f"a{chr(c)}B {chr(c)}" for c in points[at:at + 500])
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert coder.encode(text) == b"".join(i.to_bytes(4, "little") for i in wanted), hex(points[at])
