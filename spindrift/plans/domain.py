@@ -68,6 +68,10 @@ VIEWS = {
         SELECT 'main' AS source_name, concat('s', n_regionkey) AS schema_name, n_name AS table_name,
             CASE WHEN n_nationkey % 4 > 0 THEN CAST(n_nationkey * 1000 AS BIGINT) END AS row_count FROM nation"""),
     "db_columns": ("nation", "SELECT 'main' AS source_name, n_name AS table_name, concat('k', n_nationkey) AS column_name FROM nation"),
+    "db_foreign_keys": ("supplier", """
+        SELECT DISTINCT 'main' AS source_name, concat('t', s_nationkey) AS table_name, 's_nationkey' AS column_name, 'nation' AS referenced_table,
+            'n_nationkey' AS referenced_column FROM supplier"""),
+    "db_indexes": ("region", "SELECT 'main' AS source_name, r_name AS table_name, concat('i', r_regionkey) AS index_name FROM region"),
 }
 
 

@@ -181,12 +181,12 @@ def commit_stats_topn(t):
 
 
 @query("""SELECT 'tables' AS facet, NULL AS value, count(*) AS n, CAST(NULL AS BIGINT) AS row_count FROM db_tables
-    UNION ALL SELECT 'columns', NULL, count(*), NULL FROM db_columns UNION ALL SELECT 'foreign_keys', NULL, count(*), NULL FROM db_columns
-    UNION ALL SELECT 'indexes', NULL, count(*), NULL FROM db_columns
+    UNION ALL SELECT 'columns', NULL, count(*), NULL FROM db_columns UNION ALL SELECT 'foreign_keys', NULL, count(*), NULL FROM db_foreign_keys
+    UNION ALL SELECT 'indexes', NULL, count(*), NULL FROM db_indexes
     UNION ALL SELECT 'schema', schema_name, count(*), CAST(coalesce(sum(row_count), 0) AS BIGINT) FROM db_tables GROUP BY schema_name
     UNION ALL (SELECT 'largest', table_name, 1, coalesce(row_count, 0) AS r FROM db_tables ORDER BY r DESC, schema_name, table_name LIMIT 10)""")
 def catalog_stats(t):
-    return stats.db_stats(t.db_tables, t.db_columns, t.db_columns, t.db_columns, "main")
+    return stats.db_stats(t.db_tables, t.db_columns, t.db_foreign_keys, t.db_indexes, "main")
 
 
 def _query_vector(t) -> list[float]:
