@@ -7,15 +7,22 @@ Neighbours share a chain potential; distant tokens that repeat one another
 alike (the same shape) share skip potentials. All tokens of such a group are
 joined to one hidden label of the group, so any two are two steps apart, how
 far they stand from one another, and a group of k tokens has k edges. Tokens
-under a rule's match are fixed, loopy message passing runs until no message
-changes, and tokens that end up with a label at high probability become
-further spans. Rules' spans stay.
+under a rule's match are fixed, and so is the label of a group of repeated
+tokens whose found members are of one kind. Loopy message passing runs until
+no message changes, and tokens that end up with a label at high probability
+become further spans. Rules' spans stay.
 
 The potentials are trained by pseudo-likelihood with the rules as labels, on
 about ``sample`` documents chosen by a hash; a token that no rule found but
-that repeats a found one trains nothing. Tasks turn these documents into rows
-of features and labels and Spark counts equal rows, so no text goes through
-the driver. Documents are labelled one by one in tasks, without a shuffle.
+that repeats a found one trains nothing. A rule's match shows by its own
+characters what it is, so from these rows alone the skip potentials would
+learn nothing. So each match trains more rows with its label hidden: a repeat
+in a plainer form that the rules miss, the same form where nothing it repeats
+was found, which is then no mention, and, where others repeat a token, the
+token without its own characters. Rare labels weigh more. Tasks turn these
+documents into rows of features and labels and Spark counts equal rows, so no
+text goes through the driver. Documents are labelled one by one in tasks,
+without a shuffle.
 
 Defined results: null and empty texts have no spans; rows are independent, so
 repeated rows get equal spans; with no tokens to train on the rules alone
@@ -39,6 +46,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 3000
 #: Probability from which the field's label adds a span.
 SURE = 0.95
+#: Weight decay in training, of what a token shows and of what others say about it.
+SHRINK = (1e-2, 1e-5)
 #: Rounds of messages at most; they end once none changes by STILL.
 ROUNDS = 300
 STILL = 1e-4
@@ -94,6 +103,15 @@ def rule_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def plainer(kind: str, match: str) -> str:
+    """A form of the match that no rule finds: no plus sign, other separators, or a domain cut off."""
+    if kind == "email":
+        name, _, domain = match.partition("@")
+        return f"{name}@{domain.partition('.')[0]}"
+    digits = NOT_DIGIT.sub("", match)
+    return {"ip": match.replace(".", "-"), "card": ".".join(digits[i:i + 4] for i in range(0, len(digits), 4)), "phone": digits}[kind]
+
+
 def shape(token: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", token))
 
@@ -123,22 +141,34 @@ class Field:
                 if self.at[k][1] > a:
                     self.labels[k], self.fixed[k] = KINDS.index(kind) + 1, True
                 k += 1
-        self.features = np.array([node_features(t) for t in tokens], float).reshape(len(tokens), -1)
+        self.shown = np.array([node_features(t) for t in tokens], float).reshape(len(tokens), -1)
+        self.repeats = [(KINDS.index(kind) + 1, node_features(plainer(kind, text[a:b]))) for kind, a, b in spans]
         self.chain = [(i - 1, i) for i in range(1, len(tokens)) if not text[self.at[i - 1][1]:self.at[i][0]].strip(" ")]
         groups: dict[tuple[str, str], list[int]] = {}
+        equal: dict[str, list[int]] = {}
+        seen: set[str] = set()
         for i, token in enumerate(tokens):
             core, digits = token.strip(EDGES).lower(), NOT_DIGIT.sub("", token)
-            keys = {("same", core), ("alike", shape(core))} if len(core) >= 4 else set()
+            if not self.fixed[i] and len(core) >= 4:
+                equal.setdefault(core, []).append(i)
+            keys = {("same", core)} if len(core) >= 4 else set()
+            if keys and core not in seen:  # equal tokens are tied already
+                keys.add(("alike", shape(core)))
+            seen.add(core)
             if "@" in core:
                 keys.add(("same", core.partition("@")[0]))
             if len(digits) >= 7:
                 keys |= {("same", digits), ("same", digits[-7:])}
             for key in keys:
                 groups.setdefault(key, []).append(i)
-        self.groups = [(kind, np.array(m)) for (kind, _), m in sorted(groups.items()) if len(m) > 1]
+        self.features = self.shown.copy()  # equal tokens show one and the same thing, so each has its share of it
+        for members in equal.values():
+            self.features[members] /= len(members)
+        distinct = {(kind, tuple(m)) for (kind, _), m in groups.items() if len(m) > 1}
+        self.groups = [(kind, np.array(m)) for kind, m in sorted(distinct)]
 
     def training_rows(self) -> np.ndarray:
-        """Features, neighbours' labels and label of each token that a rule tells something about."""
+        """Features, neighbours' labels and label of each token that a rule tells something about, and of matches with hidden labels."""
         k = len(KINDS) + 1
         one = np.eye(k)[self.labels]
         back, fore = np.zeros((len(one), k)), np.zeros((len(one), k))
@@ -151,8 +181,25 @@ class Field:
             said[kind][members] += np.eye(k)[others.argmax(1)]
             if kind == "same" and self.fixed[members].any():
                 known[members[~self.fixed[members]]] = False
-        rows = np.concatenate([self.features, back, fore, np.minimum(said["same"], 3), np.minimum(said["alike"], 3), self.labels[:, None]], 1)
-        return rows[known].astype(np.int8)
+        rows = np.concatenate([self.shown, back, fore, np.minimum(said["same"], 3), np.minimum(said["alike"], 3), self.labels[:, None]], 1)
+        bare = rows[known & said["same"].any(1)]
+        bare[:, 1:self.features.shape[1] + 2 * k] = 0
+        none = np.zeros(k)
+        repeats = np.array([[*features, *none, *none, *same, *none, y] for label, features in self.repeats
+                            for same, y in ((np.eye(k)[label], label), (np.eye(k)[0], 0), (none, 0))])
+        return np.concatenate([rows[known], bare, repeats.reshape(-1, rows.shape[1])]).astype(np.int8)
+
+
+def halved(table: np.ndarray) -> np.ndarray:
+    """The table from a token to its group's label, of which two in a row are the given table from token to token.
+
+    Summed over the group's label, two steps multiply the tables' exponentials, so it is a matrix square root.
+    Its diagonal is then evened out, so that tokens nobody knows cannot talk one another into a label.
+    """
+    values, vectors = np.linalg.eigh(np.exp(table - table.max()))
+    root = np.log(np.maximum((vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T, 1e-6))
+    own = np.diag(root) / 2
+    return root - own - own[:, None]
 
 
 class SkipChainModel:
@@ -161,32 +208,47 @@ class SkipChainModel:
     def __init__(self, n_features: int):
         k = len(KINDS) + 1
         self.nodes = np.zeros((n_features, k))
+        self.learnt = np.ones(k, bool)  # labels that training met; the field gives no other
         self.tables = {e: np.zeros((k, k)) for e in ("chain", "same", "alike")}
 
-    def fit(self, rows: np.ndarray, counts: np.ndarray, steps: int = 300, rate: float = 0.1, shrink: float = 1e-3) -> None:
-        """Pseudo-likelihood: each token given its features and its neighbours' labels; counts are the rows' numbers."""
+    def fit(self, rows: np.ndarray, counts: np.ndarray, steps: int = 300, rate: float = 0.1, shrink: tuple[float, float] = SHRINK) -> None:
+        """Pseudo-likelihood: each token given its features and its neighbours' labels; counts are the rows' numbers.
+
+        A label weighs by the root of its count, so that rare ones are learnt too.
+        """
         k = len(KINDS) + 1
         x, y = rows[:, :-1].astype(float), np.eye(k)[rows[:, -1].astype(int)]
-        share = (counts / counts.sum())[:, None]
+        share = counts / np.sqrt(np.maximum(counts @ y, 1))[rows[:, -1].astype(int)]
+        share = (share / share.sum())[:, None]
+        n = x.shape[1] - 4 * k
         w, m, v = np.zeros((x.shape[1], k)), 0.0, 0.0
+        decay = np.repeat(shrink, [n, 4 * k])[:, None]
         for t in range(1, steps + 1):
             p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = x.T @ (share * (p - y)) + shrink * w
+            g = x.T @ (share * (p - y)) + decay * w
+            back, fore, same, alike = g[n:].reshape(4, k, k)  # an edge has one table, whichever of its ends is asked
+            g[n:] = np.concatenate([back + fore.T, fore + back.T, same + same.T, alike + alike.T]) / 2
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        n = x.shape[1] - 4 * k
-        self.nodes = w[:n]
-        back, fore, same, alike = w[n:].reshape(4, k, k)
-        self.tables = {"chain": (back + fore.T) / 2, "same": (same + same.T) / 2, "alike": (alike + alike.T) / 2}
+        self.nodes, self.learnt = w[:n], y.any(0)
+        back, _, same, alike = w[n:].reshape(4, k, k)
+        self.tables = {"chain": back, "same": halved(same), "alike": halved(alike)}
 
     def marginals(self, field: Field, rounds: int = ROUNDS) -> np.ndarray:
         """Each token's label probabilities by loopy belief propagation over tokens and groups."""
         n, k = len(field.at), len(KINDS) + 1
         base = field.features @ self.nodes
-        base[field.fixed] = -1e3
-        base[field.fixed, field.labels[field.fixed]] = 0.0
         base = np.concatenate([base, np.zeros((len(field.groups), k))])
+        base[:, ~self.learnt] = -1e3
+        fixed = np.flatnonzero(field.fixed)
+        base[fixed] = -1e3
+        base[fixed, field.labels[fixed]] = 0.0
+        for g, (kind, members) in enumerate(field.groups):
+            found = set(field.labels[members[field.fixed[members]]])
+            if kind == "same" and len(found) == 1:
+                base[n + g] = -1e3
+                base[n + g, found.pop()] = 0.0
         parts = [(np.array(field.chain, int).reshape(-1, 2), self.tables["chain"])]
         for g, (kind, members) in enumerate(field.groups):
             parts.append((np.stack([members, np.full(len(members), n + g)], 1), self.tables[kind]))

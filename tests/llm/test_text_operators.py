@@ -87,6 +87,44 @@ def test_pii_query(spark, sf, docs):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in plain) for k in RULES)
 
 
+def test_pii_query_finds_plainer_repeats(spark, tmp_path):
+    """Texts that repeat a found mention in a form without a rule, and texts with such a form that repeats nothing."""
+    rng = random.Random(5)
+    found, decoys, rows = {}, set(), []
+    for d in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        text, ruled = d.text or "", pii.rule_spans(d.text or "")
+        if ruled and d.doc_id % 2:
+            kind, a, b = rng.choice(ruled)
+            if d.doc_id % 4 == 1:
+                form = pii.plainer(kind, text[a:b])
+            else:  # digits and names of nobody here
+                form = pii.plainer(kind, re.sub("[a-z0-9]", lambda m: rng.choice("123456789" if m[0].isdigit() else "qxzj"), text[a:b]))
+            text = f"{text} zz {form}"
+            if len(pii.rule_spans(text)) == len(ruled) and d.doc_id % 4 == 1:
+                found[d.doc_id] = f"{kind}:{len(text) - len(form)}:{len(text)}"
+            elif len(pii.rule_spans(text)) == len(ruled):
+                decoys.add(d.doc_id)
+        rows.append((d.doc_id, text))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r.doc_id: r.spans.split(",") for r in queries.QUERIES["op1_pii"](spark, str(tmp_path)).collect()}
+    texts = dict(rows)
+    assert len(found) > 50 and sum(s in spans[i] for i, s in found.items()) >= 0.95 * len(found)
+    assert len(decoys) > 50 and sum(len(spans[i]) > len(pii.rule_spans(texts[i])) for i in decoys) <= 0.05 * len(decoys)
+
+
+def test_group_tables_pass_on_the_trained_potential():
+    even = np.array([[2.0, -1.0, -1.0], [-1.0, 2.0, -1.0], [-1.0, -1.0, 2.0]])
+    two = np.exp(pii.halved(even))
+    two = np.log(two @ two)
+    assert abs(two - two[0, 0] - (even - even[0, 0])).max() < 1e-9
+    assert abs(np.diag(pii.halved(np.array([[3.0, -1.0], [-1.0, 2.0]])))).max() < 1e-9
+
+
+def test_unknown_tokens_cannot_make_themselves_known():
+    model = field_model(TEXTS)
+    assert model.more_spans("take 4111111111111112 and 4111111111111112 or 4111111111111112", []) == []
+
+
 def test_pii_of_odd_rows(spark, odd, none):
     found = {(r.doc_id): r for r in pii.find(odd, pii.fit(odd)).collect()}
     assert [tuple(s) for s in found[13].base] == [("email", 11, 33), ("ip", 37, 45)]
