@@ -46,6 +46,8 @@ THRESHOLD = 0.3
 #: Bytes that a window's distance must exceed to count.
 NOISE = 2
 HELD_OUT = 2
+#: Fixed value of the dictionary format: three offsets (1, 4 and 8) end the header, and the dictionary's text follows.
+HEADER_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -70,7 +72,7 @@ def _met_in(texts: list[str], among: frozenset | None = None) -> Counter:
 
 
 def telling_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words of the toxic texts that hold a telling n-gram, each as often as it occurs.
+    """Words of the toxic texts that hold a telling n-gram, each as often as it occurs, by threes.
 
     An n-gram is telling if a share of the toxic texts holds it, of the
     ordinary ones a fraction of that share at most, and if it stands in words
@@ -88,17 +90,19 @@ def telling_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
                 contexts[piece].add((before, after))
     telling = {p for p in telling if len(contexts[p]) >= 2 * least}
     held = {w for words in texts for w in words if _pieces(w) & telling}
-    return [f" {w} ".encode() for words in texts for w in words if w in held]
+    found = [w for words in texts for w in words if w in held]
+    return [f" {' '.join(found[i:i + 3])} ".encode() for i in range(0, len(found), 3)]  # the trainer skips samples below eight bytes
 
 
 def trained(samples: list[bytes], size: int, **how: int) -> bytes:
-    """A dictionary of at most size bytes trained on the samples; their end where there are too few to train on."""
+    """The text of a dictionary of about size bytes trained on the samples, which are repeated where they are too few to train on."""
     import zstandard
 
-    try:
-        return zstandard.train_dictionary(size + 1200, samples, **how).as_bytes()[-size:]
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    while samples and sum(map(len, samples)) < 100 * size:
+        samples = samples * 2
+    if not samples:
+        return b""
+    return zstandard.train_dictionary(size + 1200, samples, **how).as_bytes().partition(HEADER_END)[2][-size:]
 
 
 class CompressionModel:

@@ -256,6 +256,38 @@ def test_bitmaps_round_trip():
     assert line_dedup.unpack(zlib.compress(np.packbits(keep).tobytes()), 11).tolist() == [True, False] + [True] * 9
 
 
+def test_dictionaries_hold_text_alone_at_every_size():
+    """The trainer's header, entropy tables and padding are no text of a dictionary."""
+    few = [b" worthless idiot scum ", b" loser moron clown ", b" stupid trash idiot "]
+    for samples in (few, few * 7, few * 3000):
+        text = toxicity.trained(samples, 4096, k=50, d=8)
+        assert b"\0" not in text and b"idiot" in text and set(text.split()) & {b"worthless", b"loser", b"stupid"}
+    assert toxicity.trained([], 4096) == b""
+
+
+def test_windows_of_learnt_words_compress_better():
+    """Independent of the operator's own features: zstandard's lengths with either dictionary, window by window."""
+    rng = random.Random(2)
+    plain = ["".join(rng.choice("bcdfgl") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    bad = ["worthless", "disgusting", "pathetic", "idiotic"]
+
+    def text(toxic):
+        words = [rng.choice(plain) for _ in range(60)]
+        for at in rng.sample(range(60), 6 if toxic else 0):
+            words[at] = rng.choice(bad)
+        return " ".join(words)
+
+    model = toxicity.train([text(True) for _ in range(60)], [text(False) for _ in range(200)])
+    ordinary, toxic = model.compressors()
+    over, level = [], []
+    for _ in range(50):
+        words = [rng.choice(plain) for _ in range(10)]
+        level.append(len(ordinary(" ".join(words).encode())) - len(toxic(" ".join(words).encode())))
+        words[3], words[7] = rng.sample(bad, 2)
+        over.append(len(ordinary(" ".join(words).encode())) - len(toxic(" ".join(words).encode())))
+    assert min(over) > max(level)
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
