@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: how trackers write issue keys.
 ISSUE_KEY = r"\b([A-Z][A-Z0-9]+-\d+)\b"
 
-# English function words that full-text search leaves out.
+# English function words that full-text search leaves out; a choice of this library.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that",
               "the", "this", "to", "was", "with")
 

@@ -16,6 +16,7 @@ from spindrift.functions.rendering import format_time_spent
 
 # Headers that an export repeats for each value.
 REPEATED = ("Log Work", "Comment", "Attachment", "Watchers", "Watchers Id", "Fix versions", "Components", "Labels")
+# Headers of links, custom fields and points as exports write them.
 LINK = re.compile(r"(Inward|Outward) issue link \((.+)\)")
 CUSTOM = re.compile(r"Custom field \((.+)\)")
 POINTS = ("Story Points", "Story point estimate")
