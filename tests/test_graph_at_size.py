@@ -1,0 +1,56 @@
+"""What the graph's steps cost as tables grow: shuffles, rows of a file, and lookups by distinct times; and results where rows repeat."""
+
+import datetime as dt
+
+from spindrift.operators import graph
+from spindrift.session import FILE_ROWS, settled
+
+DAY = dt.datetime(2020, 6, 1)
+EDGE = "source string, source_type string, type string, target string, target_type string, weight double, origin string"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_issue_edges_take_one_shuffle_and_repeat_none(spark):
+    issue = "issue_key string, assignee string, reporter string, parent_key string, labels array<string>, components array<string>"
+    issues = spark.createDataFrame([("A-1", "ann", "bob", None, ["l", "l", None], ["c"]), ("A-1", "ann", "eve", "A-0", ["m"], None), (None, "x", "y", "z", ["l"], ["c"])], issue)
+    found = graph.issue_edges(issues)
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    assert [r[:5:2] for r in rows(found.select("source", "source_type", "type", "target_type", "target"))] == [
+        ("A-0", "parent_of", "A-1"), ("A-1", "assigned_to", "ann"), ("A-1", "in_component", "c"), ("A-1", "labeled", "l"), ("A-1", "labeled", "m"),
+        ("A-1", "reported_by", "bob"), ("A-1", "reported_by", "eve")]
+
+
+def test_probes_of_one_time_are_looked_up_once(spark):
+    probes = spark.range(500).selectExpr("concat('p', id) probe", "timestamp_ntz '2020-06-01' at")
+    events = spark.createDataFrame([(f"e{i}", DAY - dt.timedelta(days=i)) for i in range(1, 8)], "id string, event_at timestamp_ntz")
+    found = graph.within_days(probes, events, ties=("id",))
+    assert "_p#" not in plan(found)  # windows and ranks hold times, no probes
+    got = rows(found.filter("probe = 'p7'").select("id", "place"))
+    assert got == [("e1", 1), ("e2", 2), ("e3", 3), ("e4", 4), ("e5", 5)] and found.count() == 2500
+
+
+def test_a_repeated_pull_request_crowds_out_no_other(spark):
+    issues = spark.createDataFrame([("A-1", "Bug", ["c"], DAY), ("A-2", "Task", ["c"], DAY)], "issue_key string, issue_type string, components array<string>, created timestamp_ntz")
+    merged = [("o/r", 1, DAY - dt.timedelta(days=1))] * 6 + [("o/r", 2, DAY - dt.timedelta(days=2))]
+    prs = spark.createDataFrame(merged, "repo_full_name string, number long, merged_at timestamp_ntz")
+    refs = spark.createDataFrame([("o/r", 1, "A-2"), ("o/r", 2, "A-2")], "repo_full_name string, pr_number long, issue_key string")
+    assert [r.source for r in graph.bug_causes(issues, prs, refs, "2020-07-01").orderBy("source").collect()] == ["o/r#1", "o/r#2"]
+
+
+def test_a_walk_over_a_stored_graph_shuffles_no_edges(spark):
+    g = settled(spark.createDataFrame([(f"i{i}", "issue", "assigned_to", f"d{i % 3}", "developer", 1.0, "structural") for i in range(60)], EDGE))
+    near = graph.walk(g, graph.seeds(g, "d1"), 1, None)
+    assert "SortMergeJoin" not in plan(near) and near.count() == 21
+    assert graph.edges_of(g, near).count() == 20 and "SortMergeJoin" not in plan(graph.edges_of(g, settled(near)))
+
+
+def test_settled_files_hold_few_rows_and_shuffles_are_let_go(spark):
+    found = settled(spark.range(FILE_ROWS * 2 + 10).coalesce(1))
+    assert len(found.inputFiles()) == 3 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
