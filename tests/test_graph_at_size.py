@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from spindrift.operators import graph
+from spindrift.operators import graph, graph_store
 from spindrift.session import FILE_ROWS, settled
 
 DAY = dt.datetime(2020, 6, 1)
@@ -44,6 +44,13 @@ def test_a_repeated_pull_request_crowds_out_no_other(spark):
     assert [r.source for r in graph.bug_causes(issues, prs, refs, "2020-07-01").orderBy("source").collect()] == ["o/r#1", "o/r#2"]
 
 
+def test_edges_of_other_kinds_merge_without_a_shuffle(spark):
+    old = spark.createDataFrame([("a", "x", "t", "b", "y", 1.0, "claude")], EDGE)
+    new = settled(spark.range(10).selectExpr("concat('a', id) source", "'x' source_type", "'u' type", "'b' target", "'y' target_type", "1.0D weight", "'auto' origin"))
+    found = graph_store.merge(old, new, unique=True)
+    assert "Exchange" not in plan(found) and found.count() == 11
+
+
 def test_a_walk_over_a_stored_graph_shuffles_no_edges(spark):
     g = settled(spark.createDataFrame([(f"i{i}", "issue", "assigned_to", f"d{i % 3}", "developer", 1.0, "structural") for i in range(60)], EDGE))
     near = graph.walk(g, graph.seeds(g, "d1"), 1, None)
