@@ -61,3 +61,25 @@ def test_a_walk_over_a_stored_graph_shuffles_no_edges(spark):
 def test_settled_files_hold_few_rows_and_shuffles_are_let_go(spark):
     found = settled(spark.range(FILE_ROWS * 2 + 10).coalesce(1))
     assert len(found.inputFiles()) == 3 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_issues_of_single_keys_are_not_shuffled(spark):
+    issue = "issue_key string, assignee string, reporter string, parent_key string, labels array<string>, components array<string>"
+    issues = spark.createDataFrame([(f"A-{i}", "ann", None, None if i % 2 else "A-0", ["l", "l", None], None) for i in range(20)] + [("A-7", "bob", None, None, ["l"], ["c"])], issue)
+    found = graph.issue_edges(issues)
+    assert plan(found).count("LeftAnti") == 5 and "SortMergeJoin" not in plan(found)
+    assert found.count() == found.distinct().count() == 21 + 20 + 10 + 1  # assignees, labels, parents, component
+
+
+def test_reopenings_of_few_times_are_not_shuffled(spark):
+    changes = spark.range(50).selectExpr("concat('A-', id) issue_key", "'status' field", "'Reopened' to_value", "timestamp_ntz '2020-06-01' changed_at")
+    prs = spark.createDataFrame([("o/r", i, DAY - dt.timedelta(days=i)) for i in range(1, 4)], "repo_full_name string, number long, merged_at timestamp_ntz")
+    found = graph.before_reopenings(changes, prs)
+    assert "Exchange hashpartitioning" not in plan(found) and found.count() == 50 and {len(r.prs) for r in found.collect()} == {3}
+
+
+def test_paths_of_a_commit_are_paired_without_a_join(spark):
+    files = spark.createDataFrame([("c1", "a"), ("c1", "b"), ("c1", "b"), ("c1", None), ("c2", "b"), ("c2", "a"), ("c2", "c"), (None, "a"), (None, "b")], "commit_hash string, file_path string")
+    found = graph.co_changes(files, least=1)
+    assert "Join" not in plan(found) and [tuple(r) for r in found.collect()] == [("a", "b", 3), ("a", "c", 1), ("b", "c", 1)]
+    assert [tuple(r) for r in graph.co_changes(files, least=1, widest=3).collect()] == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1)]
