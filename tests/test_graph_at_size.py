@@ -83,3 +83,20 @@ def test_paths_of_a_commit_are_paired_without_a_join(spark):
     found = graph.co_changes(files, least=1)
     assert "Join" not in plan(found) and [tuple(r) for r in found.collect()] == [("a", "b", 3), ("a", "c", 1), ("b", "c", 1)]
     assert [tuple(r) for r in graph.co_changes(files, least=1, widest=3).collect()] == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1)]
+
+
+def test_a_walk_of_a_limit_makes_no_needless_steps(spark):
+    g = settled(spark.range(3000).selectExpr("concat('i', id) source", "'issue' source_type", "'assigned_to' type", "concat('d', id % 3) target", "'developer' target_type", "1.0D weight",
+                                             "'structural' origin"))
+    enough = graph.walk(g, graph.seeds(g, "i1"), 1, 5)
+    assert "Join" not in plan(enough) and [r.name for r in enough.collect()] == ["i1", "i10", "i100", "i1000", "i1001"]
+    for part, limit in (("d1", 1), ("d1", 7), ("d", 4), ("i2999", 3), ("d2", 2000)):
+        whole = graph.walk(g, graph.seeds(g, part), 2, None).orderBy("depth", "type", "name").limit(limit)
+        assert graph.walk(g, graph.seeds(g, part), 2, limit).collect() == whole.collect()
+
+
+def test_nodes_after_the_first_are_left_out_early(spark):
+    nodes = spark.range(20_000).selectExpr("concat('n', id % 5000) name", "if(id % 7 = 0, 'x', 'y') type")
+    some = graph.first_distinct(nodes, 4)
+    first = lambda df: df.distinct().orderBy("type", "name").limit(4).collect()
+    assert some.count() < 2000 and first(some) == first(nodes) and graph.first_distinct(nodes, 9_000).count() == 20_000
