@@ -54,6 +54,33 @@ def test_lm_scores_know_words_past_any_rank(spark):
     assert min(got[i].score for i in range(400)) > max(got[400].score, got[401].score)
 
 
+def test_lm_scores_shuffle_lists_and_no_row_for_each_pair(spark, docs, monkeypatch):
+    plans, keep = [], lm_scoring.materialize
+    monkeypatch.setattr(lm_scoring, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    lm_scoring.score(docs)
+    assert len(plans) > 3 and not any("HashAggregate" in p for p in plans)  # grams and documents are summed from lists
+    assert all("hashpartitioning(bucket#" in p for p in plans)
+
+
+@pytest.mark.parametrize("hot,size", [(0, 1 << 22), (10**9, 30_000)])
+def test_lm_scores_by_broadcast_and_by_bucket(spark, docs, monkeypatch, hot, size):
+    """All that others have scored where it is found, and nothing; ids repeated and null."""
+    monkeypatch.setattr(lm_scoring, "HOT", 10**12)
+    monkeypatch.setattr(lm_scoring, "LEAST_HOT", hot)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", size)
+    texts = [r.text for r in docs.limit(60).collect()] + ["", None, "alone", "the the the the", "the the"]
+    ids = [None if i % 9 == 4 else i // 2 - 5 for i in range(len(texts))]
+    wanted = collections.defaultdict(lambda: [0, 0.0])
+    for i, (n, mean) in brute_scores([(i, words(t)) for i, t in enumerate(texts)]).items():
+        wanted[ids[i]][0] += n
+        wanted[ids[i]][1] += n * (mean or 0)
+    got = lm_scoring.score(spark.createDataFrame([*zip(ids, texts)], "doc_id long, text string")).collect()
+    assert len(got) == len(wanted) == len({r.doc_id for r in got})
+    for r in got:
+        n, total = wanted[r.doc_id]
+        assert r.n_words == n and (abs(r.score - total / n) < 2e-6 if n else r.score is None)
+
+
 def brute_join(rows, width, num):
     sets = {i: frozenset(tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
             for i, w in ((i, words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows)}
