@@ -100,3 +100,26 @@ def test_nodes_after_the_first_are_left_out_early(spark):
     some = graph.first_distinct(nodes, 4)
     first = lambda df: df.distinct().orderBy("type", "name").limit(4).collect()
     assert some.count() < 2000 and first(some) == first(nodes) and graph.first_distinct(nodes, 9_000).count() == 20_000
+
+
+def test_regressions_keep_every_merge_of_the_two_weeks(spark):
+    days = lambda n: DAY - dt.timedelta(days=n)
+    changes = [("A-1", "status", "Reopened", DAY), ("A-1", "status", "Reopened", days(3)), ("A-1", "status", "Reopened", days(3)), ("A-2", "status", "Reopened", days(60)),
+               ("A-2", "status", "Open", DAY), ("A-3", "status", "Reopened", days(14)), ("A-3", "status", "Reopened", DAY), (None, "status", "Reopened", DAY), ("A-4", "status", "Reopened", None)]
+    changes = spark.createDataFrame(changes, "issue_key string, field string, to_value string, changed_at timestamp_ntz")
+    merged = [("o/r", i, days(i)) for i in range(0, 31)] + [("o/r", 2, days(5)), ("o/r", 2, days(20)), ("o/r", 50, None), ("o/r", 51, days(17) + dt.timedelta(microseconds=1)),
+                                                           (None, 52, days(1)), ("o/r", 53, dt.datetime(1969, 12, 31, 23))]
+    prs = spark.createDataFrame(merged, "repo_full_name string, number long, merged_at timestamp_ntz")
+    found = [(r.target, int(r.source.split("#")[1])) for r in graph.regressions(changes, prs).collect()]
+    ends = {"A-1": [DAY, days(3)], "A-2": [days(60)], "A-3": [days(14), DAY]}
+    wanted = {(k, n) for k, at in ends.items() for a in at for repo, n, t in merged if repo and t and a - dt.timedelta(days=14) < t < a}
+    assert len(found) == len(set(found)) and set(found) == wanted
+    assert ("A-1", 51) in wanted and ("A-1", 17) not in wanted and ("A-3", 14) not in wanted and len(wanted) == 44
+
+
+def test_regressions_know_times_before_1970(spark):
+    epoch = dt.datetime(1970, 1, 1)
+    changes = spark.createDataFrame([("A-1", "status", "Reopened", epoch + dt.timedelta(hours=1))], "issue_key string, field string, to_value string, changed_at timestamp_ntz")
+    prs = spark.range(40).selectExpr("'o/r' repo_full_name", "id number", "timestamp_ntz '1970-01-01' - make_dt_interval(cast(id as int), 1) merged_at")
+    found = graph.regressions(changes, prs)
+    assert sorted(int(r.source.split("#")[1]) for r in found.collect()) == list(range(14))
