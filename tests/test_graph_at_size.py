@@ -123,3 +123,27 @@ def test_regressions_know_times_before_1970(spark):
     prs = spark.range(40).selectExpr("'o/r' repo_full_name", "id number", "timestamp_ntz '1970-01-01' - make_dt_interval(cast(id as int), 1) merged_at")
     found = graph.regressions(changes, prs)
     assert sorted(int(r.source.split("#")[1]) for r in found.collect()) == list(range(14))
+
+
+def test_related_issues_walk_every_step_however_many_seeds_there_are(spark):
+    own = [(f"A-1{i:03}", "issue", "assigned_to", "ann", "developer", 1.0, "structural") for i in range(260)] + [("A-1", "issue", "assigned_to", "ann", "developer", 1.0, "structural")]
+    far = [("A-2", "issue", "reported_by", "ann", "developer", 1.0, "structural"), ("A-2", "issue", "in_component", "c", "component", 1.0, "structural"),
+           ("A-30", "issue", "blocked_by", "A-2", "issue", 1.0, "auto"), ("B-4", "issue", "in_component", "c", "component", 1.0, "structural"),
+           ("pay", "business_process", "caused_by", "A-2", "issue", 1.0, "claude"), ("A-1007", "issue", "caused_by", "A-1008", "issue", 1.0, "claude")]
+    g = settled(spark.createDataFrame(own + far, EDGE))
+    found = {r.name: (r.depth, r.semantic) for r in graph.related_issues(g, "a-1", limit=None).collect()}
+    seeds = {f"A-1{i:03}": (0, i in (7, 8)) for i in range(260)}
+    assert found == seeds | {"A-2": (2, True), "A-30": (3, False)}
+    assert {r.name for r in graph.related_issues(g, "a-1", 2, limit=None).collect()} == set(seeds) | {"A-2"}
+    assert {r.name: r.depth for r in graph.related_issues(g, "a-1", 4, limit=None).collect()} == {k: v[0] for k, v in found.items()} | {"B-4": 4}
+
+
+def test_related_issues_take_the_nearest_and_say_what_is_known(spark):
+    g = spark.createDataFrame([("A-1", "issue", "assigned_to", "ann", "developer", 1.0, "structural"), ("A-9", "issue", "assigned_to", "ann", "developer", 1.0, "structural"),
+                               ("A-2", "issue", "blocked_by", "A-1", "issue", 1.0, "claude")], EDGE)
+    known = spark.createDataFrame([("A-1", "issue", "{}"), ("A-12", "issue", "{}"), ("A-9", "issue", '{"status": "Done", "summary": "pay"}'), ("A-9", "label", '{"status": "no"}')],
+                                  "name string, type string, properties string")
+    found = graph.related_issues(g, "A-1", known=known)
+    assert [tuple(r) for r in found.select("name", "depth", "semantic", "status", "summary").collect()] == [
+        ("A-12", 0, False, None, None), ("A-2", 1, True, None, None), ("A-9", 2, False, "Done", "pay")]
+    assert [r.name for r in graph.related_issues(g, "A-1", limit=1).collect()] == ["A-2"]
